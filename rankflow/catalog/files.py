@@ -370,12 +370,12 @@ def placement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
        CAST((event_id // 1000 + 1) * 8 + user_id * 4 + event_id % 1000 AS BIGINT) AS small,
        CAST(floor((event_id // 1000 + 1) * CAST(1.3 AS DOUBLE) + user_id + event_id % 1000) AS BIGINT) AS tiny,
        round((event_id // 1000 + 1) * CAST(1.00000001 AS DOUBLE) + user_id * CAST(1.001001 AS DOUBLE)
-             + (event_id % 1000) * CAST(1.000001 AS DOUBLE), 6) AS floating FROM events""",
+             + (event_id % 1000) * CAST(1.000001 AS DOUBLE), 8) AS floating FROM events""",
 )
 def payload_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = (F.expr("event_id div 1000"), F.col("user_id"), F.col("event_id") % 1000)
     values = [payload_value(*where, mode).alias(mode) for mode in ("positional", "small", "tiny")]
-    floating = F.round(payload_value(*where, "floating"), 6).alias("floating")
+    floating = F.round(payload_value(*where, "floating"), 8).alias("floating")
     return table(spark, sf_dir, "events").select("event_id", *values, floating)
 
 

@@ -119,6 +119,6 @@ def counter_delta(end: Column, start: Column, width: int) -> Column:
     """``end - start`` of a counter of ``width`` bits that may have wrapped once."""
     if not 0 < width <= 64:
         raise ValueError(f"counter width {width}")
-    wrapped = end.cast("decimal(20,0)") + F.lit(2**width).cast("decimal(20,0)") - start.cast("decimal(20,0)")
+    wrapped = end.cast("decimal(20,0)") + F.lit(str(2**width)).cast("decimal(20,0)") - start.cast("decimal(20,0)")
     plain = (end - start).cast("bigint")
     return F.when(end >= start, plain).otherwise(wrapped.cast("bigint") if width < 63 else wrapped)

@@ -41,7 +41,7 @@ def read_counters(spark: SparkSession, path: str, names: list[str]) -> DataFrame
     return rows.groupBy("file").pivot("event", names).agg(F.first("value"))
 
 
-def read_csvs(spark: SparkSession, path: str, schema: T.StructType, file_regex: str | None = None) -> DataFrame:
+def read_csvs(spark: SparkSession, path: str, schema: T.StructType | str, file_regex: str | None = None) -> DataFrame:
     """All CSV files of a directory whose path matches, row-bound; no file is an error."""
     df = spark.read.csv(path, schema=schema, header=True, pathGlobFilter="*.csv")
     if file_regex is not None:

@@ -17,7 +17,7 @@ from rankflow.operators.experiments import completeness, minutes_left, progress
 from rankflow.plans import new_path
 
 
-def open_table(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+def open_table(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """Parquet files as a stream; a single file must be named by a glob such as ``{name}.parquet``."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
