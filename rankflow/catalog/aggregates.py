@@ -11,7 +11,7 @@ from rankflow.functions.ratios import hundredths, percent
 from rankflow.operators import experiments, profiles, timers, traces
 from rankflow.operators.collectives import all_reduce, reduce, reduce_to_root, reduce_value, to_elements
 from rankflow.operators.placement import ranks_per_process
-from rankflow.plans import attach
+from rankflow.plans import attach, cut
 from rankflow.sources.logs import lines_of
 
 SQL_ELEMENTS = """SELECT label AS comm, vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS idx,
@@ -29,13 +29,9 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(product(1 + v), 6) AS prod_v FROM ({SQL_ELEMENTS}) GROUP BY comm, idx""",
 )
 def reduce_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = elements(spark, sf_dir)
-    sums = reduce(rows, ["comm"], {"sum_v": "sum", "min_v": "min", "max_v": "max"})
-    prods = reduce(rows.withColumn("value", F.col("value") + 1), ["comm"], {"prod_v": "prod"})
-    out = sums.join(prods, ["comm", "idx"])
-    return out.select(
-        "comm", "idx", F.round("sum_v", 6).alias("sum_v"), "min_v", "max_v", F.round("prod_v", 6).alias("prod_v")
-    )
+    rows = elements(spark, sf_dir).withColumn("above_one", F.col("value") + 1)
+    ops = {"sum_v": "sum", "min_v": "min", "max_v": "max", "prod_v": ("prod", "above_one")}
+    return reduce(rows, ["comm"], ops).withColumns({c: F.round(c, 6) for c in ("sum_v", "prod_v")})
 
 
 @query(
@@ -85,8 +81,8 @@ def timer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time of each timer and in total per user: one row per (user, timer)."""
     sums = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum(hundredths("value")).alias("elapsed"))
-    totals = sums.groupBy("user_id").agg(F.sum("elapsed").alias("total"))
-    return attach(sums, totals, ["user_id"])
+    sums = cut(sums)
+    return attach(sums, sums.groupBy("user_id").agg(F.sum("elapsed").alias("total")), ["user_id"])
 
 
 SQL_USER_TIMERS = f"""SELECT user_id, event_type, CAST(sum({cents("value")}) AS BIGINT) AS elapsed,
@@ -235,7 +231,7 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(hundredths("l_extendedprice")).alias("v")
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    rows = lines.join(parts, "l_partkey").groupBy("p_brand", "year").agg(F.sum("v").alias("v"))
+    rows = cut(lines.join(parts, "l_partkey").groupBy("p_brand", "year").agg(F.sum("v").alias("v")))
     years = rows.groupBy("year").agg(F.sum("v").alias("total"))
     shares = attach(rows, years, ["year"]).withColumn("percent", percent(F.col("v"), F.col("total")))
     out = profiles.profile_summary(shares, "p_brand", "year", "percent")
@@ -307,8 +303,8 @@ def nth_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    return profiles.symbol_counts(first.select(F.split("text", " ")[0].alias("symbol")))
+    words = turns.select("conv_id", "turn", F.substring_index("text", " ", 1).alias("symbol"))
+    return profiles.symbol_counts(words.groupBy("conv_id").agg(F.min_by("symbol", "turn").alias("symbol")))
 
 
 @query(

@@ -11,6 +11,7 @@ from rankflow.operators.collectives import all_to_all, broadcast_root, split, to
 from rankflow.operators.experiments import chunked_channel, parameter_grid, star, with_common_values
 from rankflow.operators.stencil import neighbours
 from rankflow.operators.traces import match_messages, unmatched_endpoints
+from rankflow.plans import cut
 
 
 def sides(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -188,6 +189,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nations = split(world, "c_nationkey", "c_custkey").withColumn("nation_comm", F.concat(F.lit("n"), "c_nationkey"))
+    nations = cut(nations, "comms")
     level_1 = nations.select(
         F.col("nation_comm").alias("comm"), F.lit("world").alias("parent_comm"),
         F.col("c_custkey").alias("origin_rank"), "new_rank",
@@ -198,5 +200,6 @@ def rank_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", "nation_comm", "c_mktsegment").alias("comm"), F.col("nation_comm").alias("parent_comm"),
         "origin_rank", "new_rank",
     )
+    level_2 = cut(level_2, "comms")
     children = level_2.select("comm", F.col("new_rank").alias("rank"))
     return translate(children, "comm", "rank", level_1.unionByName(level_2), 2)

@@ -21,7 +21,7 @@ from rankflow.operators.collectives import all_to_all
 from rankflow.operators.placement import block_process, ranks_per_process
 from rankflow.operators.profiles import match_lines
 from rankflow.operators.timers import rebase, within_run
-from rankflow.plans import attach
+from rankflow.plans import attach, cut
 from rankflow.sources.traces import check_trace
 
 
@@ -184,6 +184,7 @@ def payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def share_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum(hundredths("value")).alias("v"))
+    sums = cut(sums)
     totals = sums.groupBy("user_id").agg(F.sum("v").alias("total"))
     shares = attach(sums, totals, ["user_id"])
     share = percent(F.col("v"), F.col("total"))

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from rankflow.catalog.registry import cents, query, table
 from rankflow.functions.ratios import hundredths
-from rankflow.operators.tasks import Stage, chunk_reduce, chunk_task, chunk_task_python, run_stages, with_chunks
+from rankflow.operators.tasks import (
+    Stage,
+    chunk_reduce,
+    chunk_reduce_python,
+    chunk_task,
+    chunk_task_python,
+    run_stages,
+    with_chunks,
+)
 
 CHUNKS = 24
 SQL_CHUNK = f"least(l_orderkey // ((SELECT count(*) FROM orders) // {CHUNKS}), {CHUNKS - 1})"
@@ -59,6 +67,16 @@ def chunk_reduce_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reduce(chunked_lines(spark, sf_dir), part, lambda a, b: F.greatest(a, b), F.lit(0.0))
 
 
+@query(
+    "chunk_reduce_python",
+    f"SELECT max(value * 2) AS result, CAST({CHUNKS} AS BIGINT) AS n_chunks FROM events",
+)
+def chunk_reduce_python_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    chunked = with_chunks(events, "event_id", events.agg(F.count(F.lit(1))).scalar(), CHUNKS)
+    return chunk_reduce_python(chunked, lambda rows: float((rows["value"] * 2).max()), "max")
+
+
 @query(
     "staged_tasks",
     f"""SELECT o_orderpriority, CAST(sum(v) AS DOUBLE) AS stage_0, CAST(NULL AS DOUBLE) AS stage_1,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.plans import attach, row_number
+from rankflow.plans import attach, cut, row_number
 
 OPS: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
@@ -27,13 +27,19 @@ def to_elements(df: DataFrame, keep: list[str], buffer: str, idx: str = "idx", v
     return rows.withColumn(value, F.col(value).cast("double")) if dict(rows.dtypes)[value] == "float" else rows
 
 
-def reduce(df: DataFrame, comm: list[str], ops: dict[str, str], idx: str = "idx", value: str = "value") -> DataFrame:
-    """Element-wise reduce of every communicator: ``ops`` maps an output column to an operation.
+Ops = dict[str, str | tuple[str, str]]
+
+
+def reduce(df: DataFrame, comm: list[str], ops: Ops, idx: str = "idx", value: str = "value") -> DataFrame:
+    """Element-wise reduce of every communicator.
+
+    ``ops`` maps an output column to an operation on ``value``, or to
+    (operation, column) for another column.
 
     Spark adds up each task's rows before the shuffle, so a communicator or an
     element of any size reaches its final task as one partial row per task.
     """
-    return df.groupBy(*comm, idx).agg(*[OPS[op](F.col(value)).alias(name) for name, op in ops.items()])
+    return reduce_value(df, [*comm, idx], {n: op if isinstance(op, tuple) else (op, value) for n, op in ops.items()})
 
 
 def reduce_to_root(
@@ -44,7 +50,7 @@ def reduce_to_root(
     return out.select(*comm, F.lit(root).alias("rank"), idx, value)
 
 
-def all_reduce(df: DataFrame, comm: list[str], ops: dict[str, str], idx: str = "idx", value: str = "value") -> DataFrame:
+def all_reduce(df: DataFrame, comm: list[str], ops: Ops, idx: str = "idx", value: str = "value") -> DataFrame:
     """Every rank's elements together with the reduced values."""
     return attach(df, reduce(df, comm, ops, idx, value), [*comm, idx])
 
@@ -105,6 +111,7 @@ def translate(ranks: DataFrame, comm: str, rank: str, table: DataFrame, levels:
     adds ``world_rank``.
     """
     out = ranks.withColumns({"_comm": F.col(comm), "_rank": F.col(rank)})
+    table = cut(table, "comms") if levels > 1 else table
     for _ in range(levels):
         up = table.select(
             F.col("comm").alias("_comm"),

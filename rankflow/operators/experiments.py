@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.ratios import percent
-from rankflow.plans import attach, row_number
+from rankflow.plans import attach, cut, row_number
+
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+WINDOW_LIMIT = 1000
 
 
 def star(experiments: DataFrame, runs: DataFrame, ranks: DataFrame, experiment: str, run: str) -> DataFrame:
@@ -70,7 +73,7 @@ def config_median(df: DataFrame, config: list[str], run: list[str], elapsed: str
     number of runs.
     """
     slowest = df.groupBy(*config, *run).agg(F.max(elapsed).alias("_slowest"))
-    runs = slowest.withColumn("_tie", F.xxhash64(*run) if run else F.lit(0))
+    runs = cut(slowest.withColumn("_tie", F.xxhash64(*run)), "runs")
     placed = row_number(runs, config, ["_slowest", "_tie"], "_place", **limits)
     counted = attach(placed, runs.groupBy(*config).agg(F.count(F.lit(1)).alias("n_runs")), config)
     low = F.call_function("div", F.col("n_runs") + 1, F.lit(2))
@@ -95,10 +98,19 @@ def union_results(tables: list[DataFrame], min_rows: int = 1) -> DataFrame:
 
 
 def newest(df: DataFrame, group: list[str], stamp: str, tie: str, n: int, **limits: int) -> DataFrame:
-    """The ``n`` newest rows of each group; ``stamp`` and ``tie`` are whole numbers."""
-    back = df.withColumns({"_stamp": -F.col(stamp), "_tie": -F.col(tie)})
-    placed = row_number(back, group, ["_stamp", "_tie"], "place", **limits)
-    return placed.filter(F.col("place") <= n).drop("_stamp", "_tie")
+    """The ``n`` newest rows of each group; ``stamp`` and ``tie`` are whole numbers.
+
+    Spark keeps the first ``n`` rows of a group in each task before the shuffle
+    when the number is compared right away, so a large group arrives small.  It
+    does so for small ``n`` only; beyond that, large groups are split.
+    """
+    if n > WINDOW_LIMIT:
+        back = df.withColumns({"_stamp": -F.col(stamp), "_tie": -F.col(tie)})
+        placed = row_number(back, group, ["_stamp", "_tie"], "place", **limits)
+        return placed.filter(F.col("place") <= n).drop("_stamp", "_tie")
+    window = Window.partitionBy(*group).orderBy(F.desc(stamp), F.desc(tie))
+    placed = df.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= n)
+    return placed.withColumn("place", F.col("place").cast("bigint"))
 
 
 def progress(done: Column, total: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.functions.ratios import percent
-from rankflow.plans import row_number, running_sum
+from rankflow.plans import cut, row_number, running_sum
 
 # Formats of the logs read here.
 PROFILE_LINE = r"\s*(\d+\.\d+)%\s*,(.*?),(.*?),\[.*\](.*)"
@@ -110,17 +110,17 @@ def with_class(rows: DataFrame, symbol: str, classes: dict[str, list[str]], rest
 
 def class_rollup(rows: DataFrame, mode: str, busy: str, wait: str) -> DataFrame:
     """Seconds, waits, their sum and percentage of the whole per class, with a TOTAL row."""
-    sums = rows.rollup(mode).agg(
-        F.grouping(mode).alias("_all"), F.sum(busy).alias("busy"), F.sum(wait).alias("wait")
-    )
-    total = rows.agg((F.sum(busy) + F.sum(wait)).alias("t"))
+    # The roll-up and the total see one row per class, not the report's rows.
+    classes = rows.groupBy(mode).agg(F.sum(busy).alias("_b"), F.sum(wait).alias("_w"))
+    sums = classes.rollup(mode).agg(F.grouping(mode).alias("_all"), F.sum("_b").alias("busy"), F.sum("_w").alias("wait"))
     both = F.col("busy") + F.col("wait")
+    whole = F.max(F.when(F.col("_all") == 1, both)).over(Window.partitionBy(F.lit(0)))
     return sums.select(
         F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(mode)).alias("class"),
         "busy",
         "wait",
         both.alias("total"),
-        F.round(percent(both, total.scalar()), 1).alias("percent"),
+        F.round(percent(both, whole), 1).alias("percent"),
     )
 
 
@@ -173,15 +173,14 @@ def stack_frames(lines: DataFrame, file_filter: str, wait: str = WAIT_SYMBOLS, *
     its waiting state on to the next one.
     """
     header = F.col("line").rlike(STACK_HEADER)
-    relevant = lines.filter(header | F.col("line").rlike(STACK_FRAME))
-    marked = relevant.withColumn("_head", header.cast("bigint"))
-    marked = running_sum(marked, ["file"], ["line_no"], {"_stack": "_head"}, **limits).filter("_head = 0 AND _stack > 0")
     name = F.trim(F.regexp_replace(F.regexp_extract("line", STACK_FRAME, 2), "^.*0x.* in ", ""))
-    frames = marked.select(
-        "file", "_stack", "line_no", name.alias("symbol"),
-        F.regexp_extract("line", STACK_FRAME, 3).rlike(file_filter).alias("_hit"),
-        name.rlike(wait).alias("_wait"),
+    parsed = lines.filter(header | F.col("line").rlike(STACK_FRAME)).select(
+        "file", "line_no", header.cast("bigint").alias("_head"), name.alias("symbol"),
+        F.regexp_extract("line", STACK_FRAME, 3).rlike(file_filter).alias("_hit"), name.rlike(wait).alias("_wait"),
     )
+    # Written, because numbering reads it more than once and the text is parsed only once this way.
+    marked = running_sum(cut(parsed, "frames"), ["file"], ["line_no"], {"_stack": "_head"}, **limits)
+    frames = marked.filter("_head = 0 AND _stack > 0")
     hit_line = F.when(F.col("_hit"), F.col("line_no"))
     stacks = frames.groupBy("file", "_stack").agg(
         F.min(hit_line).alias("_at"),
@@ -217,14 +216,14 @@ def coincidences(
     waiting rows are not counted.  A section has ``size`` rows.
     """
     waiting = F.col(waiting) if isinstance(waiting, str) else waiting
+    whole = Window.partitionBy(*file, "section")
+    in_order = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = sectioned.withColumn("_waiting", waiting)
-    key = [*file, "section"]
-    waiters = rows.groupBy(*key).agg(
-        F.min_by(F.when(F.col("_waiting"), F.col(symbol)), F.when(F.col("_waiting"), F.col(order))).alias("_w"),
-        F.count(F.lit(1)).alias("_n"),
-    ).filter(F.col("_n") == size)
-    named = waiters.select(*key, F.coalesce("_w", F.lit("Unknown")).alias("wait_symbol"))
-    others = rows.filter(~F.col("_waiting")).join(named, key)
+    rows = rows.withColumns({
+        "wait_symbol": F.first(F.when(F.col("_waiting"), F.col(symbol)), ignorenulls=True).over(in_order),
+        "_n": F.count(F.lit(1)).over(whole),
+    })
+    others = rows.filter((F.col("_n") == size) & ~F.col("_waiting")).fillna("Unknown", ["wait_symbol"])
     return others.groupBy("wait_symbol", F.col(symbol).alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.chunks import aligned_chunk_of, chunk_of
+from rankflow.operators.collectives import OPS
 
 
 def with_chunks(
@@ -66,6 +68,24 @@ def chunk_reduce(
     return parts.agg(F.reduce(checked, identity, merge).alias(name), F.count(F.lit(1)).alias("n_chunks"))
 
 
+def chunk_reduce_python(chunked: DataFrame, task: Callable, op: str, name: str = "result") -> DataFrame:
+    """A returning task written in Python.
+
+    ``task`` turns a pandas frame of one chunk's rows into a float; a chunk may
+    come in several frames.  Their values meet in ``op`` (sum, min, max or
+    prod), which like every reducer has to be associative.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            parts = [(chunk, task(rows)) for chunk, rows in batch.groupby("chunk_id")]
+            yield pd.DataFrame(parts, columns=["chunk_id", "_part"])
+
+    parts = chunked.mapInPandas(run, "chunk_id bigint, _part double")
+    chunks = parts.groupBy("chunk_id").agg(OPS[op](F.col("_part")).alias("_part"))
+    return chunks.agg(OPS[op](F.col("_part")).alias(name), F.count(F.lit(1)).alias("n_chunks"))
+
+
 @dataclass
 class Stage:
     """A step over the buffer: changed columns, then an optional aggregate of the buffer's state."""

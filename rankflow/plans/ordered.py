@@ -40,8 +40,9 @@ class OrderedGroups:
     def window(self):
         return Window.partitionBy(*(self.groups or [F.lit(0)])).orderBy(*self.order)
 
-    def done(self, df: DataFrame) -> DataFrame:
-        return df.drop(*self.splits)
+    def split_totals(self, *totals: Column) -> DataFrame:
+        """Aggregates of every piece of the groups that were split."""
+        return self.df.filter(F.col(self.splits[0]).isNotNull()).groupBy(*self.groups).agg(*totals)
 
 
 def split_groups(
@@ -124,22 +125,17 @@ def running_sum(
     out = split_groups(df, partition, order, group_rows)
     names = {name: f"_base_{i}" for i, name in enumerate(sums)}
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
-    work = out.df
+    frame = out.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = {n: F.sum(v).over(frame) for n, v in values.items()}
+    if not inclusive:
+        local = {n: F.coalesce(v, F.lit(0)) for n, v in local.items()}
+    work = out.df.withColumns(local)
     if out.splits:
-        totals = (
-            work.filter(F.col(out.splits[0]).isNotNull())
-            .groupBy(*out.groups)
-            .agg(*[F.sum(values[n]).alias(b) for n, b in names.items()])
-        )
+        totals = out.split_totals(*[F.sum(values[n]).alias(b) for n, b in names.items()])
+        # Joined after the window, so the shuffle does not carry the bases.
         work = _join_bases(out, work, _sum_bases(out, totals, list(names.values()), len(out.splits)))
-    frame = out.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    results = []
-    for name, base in names.items():
-        local = F.sum(values[name]).over(frame)
-        if not inclusive:
-            local = F.coalesce(local, F.lit(0))
-        results.append((local + F.coalesce(F.col(base), F.lit(0)) if out.splits else local).alias(name))
-    return work.select(*[c for c in work.columns if c not in out.splits + list(names.values())], *results)
+        work = work.withColumns({n: F.col(n) + F.coalesce(F.col(b), F.lit(0)) for n, b in names.items()})
+    return work.drop(*out.splits, *names.values())
 
 
 def row_number(
@@ -152,17 +148,12 @@ def row_number(
 ) -> DataFrame:
     """Number the rows of each ordered group from ``start``."""
     out = split_groups(df, partition, order, group_rows)
-    work = out.df
-    number = F.row_number().over(out.window()).cast("bigint") + F.lit(start - 1)
+    work = out.df.withColumn(name, F.row_number().over(out.window()).cast("bigint") + F.lit(start - 1))
     if out.splits:
-        totals = (
-            work.filter(F.col(out.splits[0]).isNotNull())
-            .groupBy(*out.groups)
-            .agg(F.count(F.lit(1)).alias("_base"))
-        )
+        totals = out.split_totals(F.count(F.lit(1)).alias("_base"))
         work = _join_bases(out, work, _sum_bases(out, totals, ["_base"], len(out.splits)))
-        number = number + F.coalesce(F.col("_base"), F.lit(0))
-    return work.select(*[c for c in work.columns if c not in [*out.splits, "_base"]], number.alias(name))
+        work = work.withColumn(name, F.col(name) + F.coalesce(F.col("_base"), F.lit(0)))
+    return work.drop(*out.splits, "_base")
 
 
 def previous_value(
@@ -175,20 +166,14 @@ def previous_value(
     """The value of the row before, per ordered group; null on its first row."""
     out = split_groups(df, partition, order, group_rows)
     row = F.struct(*[F.col(c).alias(name) for name, c in columns.items()])
-    work = out.df.withColumn("_row", row)
-    carries = []
+    work = out.df.withColumn("_before", F.lag(row).over(out.window()))
     if out.splits:
-        last = (
-            work.filter(F.col(out.splits[0]).isNotNull())
-            .groupBy(*out.groups)
-            .agg(F.max_by("_row", F.struct(*out.order)).alias("_last"), F.max(F.struct(*out.order)).alias("_at"))
-        )
+        at = F.struct(*out.order)
+        last = out.split_totals(F.max_by(row, at).alias("_last"), F.max(at).alias("_at"))
         work = _join_bases(out, work, _carry(out, last, len(out.splits)))
-        carries = ["_carry"]
-    before = F.coalesce(F.lag("_row").over(out.window()), *[F.col(c) for c in carries])
-    work = work.withColumn("_row", before)
-    keep = [c for c in work.columns if c not in [*out.splits, "_row", "_carry"]]
-    return work.select(*keep, *[F.col(f"_row.{name}").alias(name) for name in columns])
+        work = work.withColumn("_before", F.coalesce("_before", "_carry"))
+    keep = [c for c in out.df.columns if c not in out.splits]
+    return work.select(*keep, *[F.col(f"_before.{name}").alias(name) for name in columns])
 
 
 def _carry(out: OrderedGroups, last: DataFrame, depth: int) -> DataFrame:

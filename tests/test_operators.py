@@ -257,3 +257,6 @@ def test_tolerance(spark):
 def test_newest(spark):
     df = spark.createDataFrame([("g", 5, 1), ("g", 5, 2), ("g", 3, 3)], "g string, stamp bigint, id bigint")
     assert as_set(experiments.newest(df, ["g"], "stamp", "id", 2), "id", "place") == {(2, 1), (1, 2)}
+    many = spark.range(3000).selectExpr("id % 2 AS g", "id div 7 AS stamp", "id")
+    got = experiments.newest(many, ["g"], "stamp", "id", 1200, group_rows=200)
+    assert got.agg(F.count("*"), F.min("id"), F.max("place")).first() == (2400, 600, 1200)
