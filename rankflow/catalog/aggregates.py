@@ -58,12 +58,12 @@ def allreduce_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reduce_value",
-    f"""SELECT l_returnflag, CAST(sum({cents("l_extendedprice")}) AS BIGINT) AS total, min(l_shipdate::DATE) AS first_day,
+    f"""SELECT l_returnflag, CAST(sum({cents("l_extendedprice")}) AS BIGINT) AS total, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_day,
         max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag""",
 )
 def reduce_value_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_returnflag", "l_quantity", hundredths("l_extendedprice").alias("v"), F.to_date("l_shipdate").alias("day")
+        "l_returnflag", "l_quantity", hundredths("l_extendedprice").alias("v"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")
     )
     return reduce_value(rows, ["l_returnflag"], {"total": ("sum", "v"), "first_day": ("min", "day"), "most": ("max", "l_quantity")})
 

@@ -22,7 +22,7 @@ from rankflow.operators.placement import block_process, ranks_per_process
 from rankflow.operators.profiles import match_lines
 from rankflow.operators.timers import rebase, within_run
 from rankflow.plans import attach, cut
-from rankflow.sources.traces import check_trace
+from rankflow.sources.traces import row_is_good
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +152,8 @@ def strict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 10 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("sender_rank"),
         F.col("o_orderkey").cast("string").alias("receiver_rank"),
     )
-    good, rejected = check_trace(raw)
-    marked = good.withColumn("state", F.lit("good")).unionByName(rejected.withColumn("state", F.lit("rejected")))
-    return marked.groupBy("direction", "state").agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(row_is_good(), "good").otherwise("rejected")
+    return raw.groupBy("direction", state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("placement_block", f"SELECT {sql_div('c_custkey', 64)} AS process, count(*) AS n_ranks FROM customer GROUP BY 1")

@@ -11,15 +11,21 @@ from rankflow.functions.ratios import hundredths, micros
 from rankflow.operators.timers import timer_stats
 from rankflow.plans import new_path
 from rankflow.sources.stats import document_json
-from rankflow.streaming import arrivals, follow_lines, gate_late, open_table, run_to_table, seen_once
-from rankflow.streaming.follow import stats_to_table
+from rankflow.streaming import (
+    arrivals,
+    gate_late,
+    open_table,
+    run_to_table,
+    seen_once,
+    stats_to_table,
+    stripped_lines,
+)
 
 
 @query("stream_dedup", f"SELECT DISTINCT trim(line, ' ') AS line FROM ({SQL_LINES})")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "followed")
-    table(spark, sf_dir, "documents").select("text").write.text(path)
-    return run_to_table(seen_once(follow_lines(spark, path), ["line"]), "lines")
+    stream = open_table(spark, f"{sf_dir}/{{documents}}.parquet", table(spark, sf_dir, "documents").schema)
+    return run_to_table(seen_once(stripped_lines(stream, "text"), ["line"]), "lines")
 
 
 @query(
@@ -59,7 +65,7 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = open_table(spark, f"{sf_dir}/{{events}}.parquet", events.schema).select(
         "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")
     )
-    status, late = gate_late(stream, "ts", F.unix_micros("ts") <= int(SQL_GATE), expected, "user_id", "expected")
+    status, late = gate_late(stream, F.unix_micros("ts") <= int(SQL_GATE), expected, "user_id", "expected")
     n_late = late.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_late"))
     return status.join(n_late, "user_id", "left").fillna(0, ["n_late"])
 

@@ -171,8 +171,8 @@ def placement_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "placement_grid",
-    """SELECT c_nationkey AS node, place AS position, c_custkey AS rank,
-       c_nationkey * 2 + CASE WHEN place >= ceil(n / 2.0) THEN 1 ELSE 0 END AS process
+    """SELECT CAST(c_nationkey AS BIGINT) AS node, place AS position, c_custkey AS rank,
+       CAST(c_nationkey AS BIGINT) * 2 + CASE WHEN place >= ceil(n / 2.0) THEN 1 ELSE 0 END AS process
        FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place,
              count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)""",
 )

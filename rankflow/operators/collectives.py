@@ -97,9 +97,10 @@ def split(
 
     ``honor_key`` orders by ``key`` first.  A numeric color below 0 is an error.
     """
-    if dict(df.dtypes)[color] in ("tinyint", "smallint", "int", "bigint"):
-        bad = F.raise_error(F.concat(F.lit("negative color "), F.col(color).cast("string")))
-        df = df.withColumn(color, F.when(F.col(color) >= 0, F.col(color)).otherwise(bad.cast("bigint")))
+    kind = dict(df.dtypes)[color]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        bad = F.raise_error(F.concat(F.lit("negative color "), F.col(color).cast("string"))).cast(kind)
+        df = df.withColumn(color, F.when(F.col(color) >= 0, F.col(color)).otherwise(bad))
     order = [key, rank] if honor_key and key else [rank]
     return row_number(df, [*(parent or []), color], order, "new_rank", start=0, **limits)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow import schemas
@@ -49,14 +49,15 @@ def read_chunk_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.size("p") >= len(names)).select(*columns, F.get("p", F.lit(len(names))).alias("backtrace"))
 
 
-def check_trace(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good rows and rejects of a trace read as text columns.
-
-    Ranks must be numeric and the direction known.  With ``strict`` the first
-    bad row fails the job instead.
-    """
+def row_is_good() -> Column:
+    """Ranks of a trace row read as text are numeric and its direction is known."""
     numeric = F.col("sender_rank").rlike(r"\d") & F.col("receiver_rank").rlike(r"\d")
-    good = F.coalesce(numeric & F.col("direction").isin(*DIRECTIONS), F.lit(False))
+    return F.coalesce(numeric & F.col("direction").isin(*DIRECTIONS), F.lit(False))
+
+
+def check_trace(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects of a trace; with ``strict`` the first bad row fails the job instead."""
+    good = row_is_good()
     if strict:
         text = F.concat_ws(",", "direction", "sender_rank", "receiver_rank")
         failed = F.raise_error(F.concat(F.lit("bad trace row: "), text))

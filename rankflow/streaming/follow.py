@@ -17,6 +17,10 @@ from rankflow.operators.experiments import completeness, minutes_left, progress
 from rankflow.plans import new_path
 
 
+# Fixed value: looks at the output folder before giving up.
+TRIES = 60
+
+
 def open_table(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """Parquet files as a stream; a single file must be named by a glob such as ``{name}.parquet``."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
@@ -27,6 +31,11 @@ def follow_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path).select(F.trim("value").alias("line"))
 
 
+def stripped_lines(stream: DataFrame, text: str) -> DataFrame:
+    """The stripped lines of a text column."""
+    return stream.select(F.explode(F.split(text, "\n")).alias("line")).select(F.trim("line").alias("line"))
+
+
 def seen_once(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """Only rows whose keys have not been seen.
 
@@ -87,28 +96,47 @@ def arrivals(stream: DataFrame, job: str, total: Column, started: Column, now: C
     return spark.read.parquet(f"{out}/*")
 
 
+def first_wait_seconds(expected: Column) -> Column:
+    """How long to wait before the first look, by the number of expected files."""
+    # Size classes and their waits in seconds.
+    return F.when(expected > 20000, 900).when(expected > 2000, 300).otherwise(60)
+
+
 def gate_late(
-    stream: DataFrame, event_time: str, gate: Column, expected: DataFrame, job: str, want: str, name: str = "late"
+    stream: DataFrame,
+    gate: Column,
+    expected: DataFrame,
+    job: str,
+    want: str,
+    tries: int = TRIES,
+    name: str = "late",
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that arrive before and after the gate, and the jobs' completeness at the gate.
 
-    Returns the status table and the late rows.  ``gate`` is a condition on a
-    row of the stream that holds when it is on time.
+    A row is on time when ``gate`` holds and it comes within the first
+    ``tries`` batches, which stand for the looks at the output folder.
+    Returns the status of every job and the late rows.
     """
     spark = stream.sparkSession
     out = new_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        flagged = batch.withColumn("on_time", gate)
+        flagged = batch.withColumn("on_time", gate & F.lit(batch_id < tries))
         flagged.write.mode("overwrite").partitionBy("on_time").parquet(f"{out}/batch={batch_id}")
 
-    _each_batch(stream.withWatermark(event_time, "1 hour"), name, "append", write)
+    _each_batch(stream, name, "append", write)
     schema = stream.schema.add("on_time", T.BooleanType())
     rows = spark.read.schema(schema.add("batch", T.LongType())).option("basePath", out).parquet(out).drop("batch")
     found = rows.filter("on_time").groupBy(job).agg(F.count(F.lit(1)).alias("found"))
     return completeness(expected, found, [job], want, "found"), rows.filter("NOT on_time").drop("on_time")
 
 
+def require_complete(status: DataFrame, job: str) -> DataFrame:
+    """The status table, failing with the first job that lacks output."""
+    missing = F.raise_error(F.concat(F.lit("missing output of job "), F.col(job).cast("string"))).cast("boolean")
+    return status.filter(F.when(F.col("status") == "failed", missing).otherwise(F.lit(True)))
+
+
 def follow_rank_stats(spark: SparkSession, path: str, prefix: str = "", one_per_line: bool = False) -> DataFrame:
     """Rank statistics documents as they are written, a file or a line each."""
     reader = spark.readStream.schema(schemas.rank_stats_cycles(prefix)).option("multiLine", not one_per_line)

@@ -1,10 +1,20 @@
 """Streams over growing folders, compared with the batch result."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankflow.operators.timers import timer_stats
-from rankflow.streaming import arrivals, follow_lines, gate_late, open_table, run_to_table, seen_once
-from rankflow.streaming.follow import stats_to_table
+from rankflow.streaming import (
+    arrivals,
+    first_wait_seconds,
+    follow_lines,
+    gate_late,
+    open_table,
+    require_complete,
+    run_to_table,
+    seen_once,
+    stats_to_table,
+)
 
 
 def test_dedup_equals_distinct(spark, write):
@@ -38,9 +48,28 @@ def test_late_rows(spark, tmp_path):
     df = spark.sql("SELECT explode(sequence(0, 9)) AS id").selectExpr("id % 2 AS job", "timestamp_seconds(id) AS ts")
     df.write.parquet(str(tmp_path / "in"))
     expected = spark.createDataFrame([(0, 5), (1, 5)], "job int, want bigint")
-    status, late = gate_late(open_table(spark, str(tmp_path / "in"), df.schema), "ts", F.col("ts") < F.timestamp_seconds(F.lit(9)), expected, "job", "want")
+    stream = open_table(spark, str(tmp_path / "in"), df.schema)
+    status, late = gate_late(stream, F.col("ts") < F.timestamp_seconds(F.lit(9)), expected, "job", "want")
     assert {(r.job, r.found, r.status) for r in status.collect()} == {(0, 5, "ok"), (1, 4, "failed")}
     assert late.count() == 1
+    with pytest.raises(Exception, match="missing output of job 1"):
+        require_complete(status, "job").collect()
+
+
+def test_output_after_the_last_look_is_late(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    for i in range(3):
+        spark.range(i, i + 1).selectExpr("id AS job").coalesce(1).write.mode("append").parquet(path)
+    expected = spark.range(3).selectExpr("id AS job", "1 AS want")
+    stream = open_table(spark, path, "job bigint", maxFilesPerTrigger=1)
+    status, late = gate_late(stream, F.lit(True), expected, "job", "want", tries=2)
+    assert {(r.job, r.status) for r in status.collect()} == {(0, "ok"), (1, "ok"), (2, "failed")}
+    assert [r.job for r in late.collect()] == [2]
+
+
+def test_first_wait(spark):
+    waits = spark.createDataFrame([(10,), (2001,), (20001,)], "n int").select(first_wait_seconds(F.col("n")).alias("w"))
+    assert [r.w for r in waits.collect()] == [60, 300, 900]
 
 
 def test_rank_statistics_as_they_arrive(spark, write):
