@@ -26,6 +26,8 @@ def expand_ranges(df: DataFrame, spec: str, name: str = "item", keep: list[str]
     pieces = parts.select(*keep, lo.alias("_lo"), hi.alias("_hi")).select(
         *keep, F.explode(_pieces(F.col("_lo"), F.col("_hi"))).alias("_p")
     )
+    # The pieces of one wide range go to all tasks; a fixed number keeps them apart.
+    pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return pieces.select(*keep, F.explode(F.sequence("_p.lo", "_p.hi")).alias(name))
 
 

@@ -57,8 +57,9 @@ def check_placement(df: DataFrame, rank: str, process: str, position: str, total
     spark = df.sparkSession
     counts = df.groupBy(F.col(rank).alias("_rank")).agg(F.count(F.lit(1)).alias("_n"))
     expected = spark.range(total).withColumnRenamed("id", "_rank")
-    missing = expected.join(counts, "_rank", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counts.agg(F.count_if(F.col("_n") > 1).alias("n"))
+    found = expected.join(counts, "_rank", "full_outer").agg(
+        F.struct(F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated")).alias("f")
+    ).scalar()
     before = previous_value(df, [], [position], {"_before": process})
     foreign = ~F.col(rank).between(0, total - 1)
     wrong = ~F.col(process).between(0, processes - 1)
@@ -67,4 +68,4 @@ def check_placement(df: DataFrame, rank: str, process: str, position: str, total
         F.count_if(foreign).alias("n_foreign"),
         F.count_if(wrong).alias("n_bad_process"),
         F.count_if(F.col(process) < F.col("_before")).alias("n_steps_back"),
-    ).withColumns({"n_missing": missing.scalar(), "n_repeated": repeated.scalar()})
+    ).withColumns({"n_missing": found["missing"], "n_repeated": found["repeated"]})

@@ -63,6 +63,6 @@ def attach(fact: DataFrame, groups: DataFrame, keys: list[str], how: str = "left
     ``groups`` is written first, so the fact side is scanned without a shuffle
     whenever the table is small.  When it is not, this is a sort-merge join
     whose oversize partitions adaptive execution splits; a hot group is then
-    read by many tasks against one replicated row.
+    read by many tasks against one replicated row.  A null key is a group too.
     """
-    return fact.join(cut(groups, "groups"), keys, how)
+    return null_safe(fact, cut(groups, "groups"), keys, how)

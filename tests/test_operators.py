@@ -32,6 +32,12 @@ def test_all_to_all_twice_is_identity(spark):
     assert {tuple(r.buffer) for r in buffers.collect()} == {tuple(range(i, i + 12)) for i in (0, 12, 24, 36)}
 
 
+def test_a_null_communicator_is_a_group(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 0, 2), (1, 0, 5)], "comm int, idx int, value int")
+    out = collectives.all_reduce(df, ["comm"], {"total": "sum"})
+    assert as_set(out, "comm", "value", "total") == {(None, 1, 3), (None, 2, 3), (1, 5, 5)}
+
+
 def test_broadcast(spark):
     df = spark.createDataFrame([(0, 0, 7), (0, 1, 8), (1, 0, 9)], "comm int, rank int, v int")
     out = collectives.broadcast_root(df, ["comm"], F.col("rank") == 0, ["v"])
@@ -66,6 +72,12 @@ def test_stencil_is_independent_of_buckets(spark, bits, halo, iterations):
     assert [r.a for r in out.orderBy("i").collect()] == pytest.approx(plain_stencil(values, iterations))
 
 
+def test_a_straight_line_is_a_fixed_point(spark):
+    line = spark.range(256).selectExpr("id AS i", "CAST(id AS double) AS a")
+    out = stencil.stencil_rows(line, "i", "a", 10, bits=5)
+    assert out.filter("abs(a - i) > 1e-9").count() == 0
+
+
 @pytest.mark.parametrize("bits, halo", [(1, 2), (14, 8)])
 def test_array_stencil(spark, bits, halo):
     values = [float((i * 37) % 101) for i in range(80)]
