@@ -1,13 +1,14 @@
 """Numbering, prefix sums and previous values inside ordered groups of any size.
 
 A window runs one group in one task.  A group larger than ``group_rows`` is
-first split by the high bits of its order key; split groups still too large are
-split again, then by the next order key, until every piece is below the limit.
-The pieces' totals are scanned in small windows (at most ``2**FAN_BITS + 1``
-rows each) and added to the local results.  ``order`` must be unique inside a
-group and integral: any distribution of keys then ends in pieces of bounded
-size, and the pieces are a function of the row alone, so a retried task agrees
-with the first run.
+first split by the high bits of its order key, starting at the highest bit in
+which its keys differ; pieces still too large are split again the same way,
+then by the next order key, until every piece is below the limit.  The pieces'
+totals are scanned in small windows (at most ``2**FAN_BITS`` rows each) and
+added to the local results.  ``order`` must be unique inside a group and
+integral: any distribution of keys then ends in pieces of bounded size, and the
+piece is a function of the row alone, so a retried task agrees with the first
+run.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from rankflow.plans.shared import cut, null_safe
 
 GROUP_ROWS = 1 << 20
 FAN_BITS = 14
-MIN_PIECES = 8
+LEAST_BITS = 10
+# A table that would fit one window is still given a few tasks.
+SMALL_TABLE_BITS = 3
 
 
 @dataclass
@@ -40,9 +43,14 @@ class OrderedGroups:
     def window(self):
         return Window.partitionBy(*(self.groups or [F.lit(0)])).orderBy(*self.order)
 
+    def closed(self) -> OrderedGroups:
+        """Without the working column."""
+        self.df = self.df.drop("_open")
+        return self
+
     def split_totals(self, *totals: Column) -> DataFrame:
         """Aggregates of every piece of the groups that were split."""
-        return self.df.filter(F.col(self.splits[0]).isNotNull()).groupBy(*self.groups).agg(*totals)
+        return self.df.filter(F.coalesce(*self.splits).isNotNull()).groupBy(*self.groups).agg(*totals)
 
 
 def split_groups(
@@ -51,39 +59,53 @@ def split_groups(
     order: list[str],
     group_rows: int = GROUP_ROWS,
 ) -> OrderedGroups:
-    """Add split columns until no window group exceeds ``group_rows`` rows."""
+    """Add split columns until no window group exceeds ``group_rows`` rows.
+
+    Each round is one aggregation over the rows of the groups that were too
+    large in the round before; a table without large groups takes one round.
+    """
     out = OrderedGroups(df, list(partition), list(order))
     for key in order:
-        shift = 64
-        while shift > 0:
-            # Only children of the last split can still be too large.
-            rows = out.df.filter(F.col(out.splits[-1]).isNotNull()) if out.splits else out.df
+        while True:
+            rows = out.df.filter("_open") if "_open" in out.df.columns else out.df
             stats = rows.groupBy(*out.groups).agg(
                 F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi")
             )
-            # A table without groups is one group: always give it several tasks.
-            large = stats if not out.groups else stats.filter(F.col("_n") > group_rows)
-            if out.groups:
-                large = cut(large, "large")
-            seen = large.agg(F.max("_n").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
-            if seen.lo is None:
-                return out
-            bits = min(shift, (seen.hi - seen.lo).bit_length())
-            pieces = min(1 << FAN_BITS, max(MIN_PIECES, 4 * seen.n // group_rows))
-            shift = max(0, bits - (pieces - 1).bit_length())
-            _add_split(out, large, F.shiftright(F.col(key).cast("bigint"), shift))
+            large = _large_groups(stats, group_rows, whole=not out.groups)
+            seen = large.agg(F.max("_n").alias("n"), F.max("_shift").alias("shift")).first()
+            if seen.n is None:
+                return out.closed()
+            if seen.shift is None:
+                break  # all keys of these groups are equal: the next order key decides
+            _add_split(out, large, key, seen.shift)
             if seen.n <= group_rows:
-                return out
-    return out
+                return out.closed()
+    return out.closed()
+
+
+def _large_groups(stats: DataFrame, group_rows: int, whole: bool) -> DataFrame:
+    """Groups to split, with how far to shift their key; no shift where all keys are equal."""
+    bits = lambda c: F.length(F.bin(c))
+    wanted = F.least(F.lit(FAN_BITS), F.greatest(F.lit(LEAST_BITS), bits(F.call_function("div", F.col("_n") * 4, F.lit(group_rows)))))
+    if whole:
+        wanted = F.when(F.col("_n") <= group_rows, SMALL_TABLE_BITS).otherwise(wanted)
+    differ = F.col("_lo").cast("bigint").bitwiseXOR(F.col("_hi").cast("bigint"))
+    shift = F.when(differ != 0, F.greatest(bits(differ) - wanted, F.lit(0)))
+    # A table without groups is one group and always split.
+    large = stats.filter(F.col("_n") > (0 if whole else group_rows)).withColumn("_shift", shift)
+    return large if whole else cut(large, "large")
 
 
-def _add_split(out: OrderedGroups, large: DataFrame, piece: Column) -> None:
+def _add_split(out: OrderedGroups, large: DataFrame, key: str, shift: int) -> None:
     name = f"_split{len(out.splits)}"
+    at = F.col(key).cast("bigint")
     if out.groups:
-        marked = null_safe(out.df, large.select(*out.groups, F.lit(True).alias("_large")), out.groups)
-        out.df = marked.withColumn(name, F.when(F.col("_large"), piece)).drop("_large")
+        flags = large.select(*out.groups, F.lit(True).alias("_large"), "_shift")
+        marked = null_safe(out.df.drop("_open"), flags, out.groups)
+        piece = F.call_function("shiftright", at, F.col("_shift"))
+        out.df = marked.withColumns({name: piece, "_open": F.coalesce("_large", F.lit(False))}).drop("_large", "_shift")
     else:
-        out.df = out.df.withColumn(name, piece)
+        out.df = out.df.withColumns({name: F.shiftright(at, shift), "_open": F.lit(True)})
     out.splits.append(name)
 
 
@@ -94,7 +116,7 @@ def _level(out: OrderedGroups, depth: int) -> tuple[list[str], object]:
 
 
 def _join_bases(out: OrderedGroups, df: DataFrame, bases: DataFrame) -> DataFrame:
-    # One level below no partition has at most 2**FAN_BITS + 1 rows.
+    # One level below no partition has at most 2**FAN_BITS rows.
     if not out.partition and len(out.splits) == 1:
         return null_safe(df, F.broadcast(bases), out.groups)
     return null_safe(df, cut(bases, "bases"), out.groups)

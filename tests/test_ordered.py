@@ -66,6 +66,17 @@ def test_one_order_value_for_a_third_of_the_rows(spark):
     assert got == want
 
 
+def test_one_group_has_only_equal_first_keys(spark):
+    data = [(0, 7, i) for i in range(200)] + [(1, i // 2, i) for i in range(200)] + [(2, 3, i) for i in range(5)]
+    df = spark.createDataFrame(data, "g int, stamp bigint, id bigint")
+    got = {(r.g, r.id): (r.n, r.s) for r in running_sum(
+        row_number(df, ["g"], ["stamp", "id"], "n", group_rows=30), ["g"], ["stamp", "id"], {"s": "id"}, group_rows=30
+    ).collect()}
+    assert got == {(g, i): (i + 1, i * (i + 1) // 2) for g, _, i in data}
+    before = {(r.g, r.id): r.b for r in previous_value(df, ["g"], ["stamp", "id"], {"b": "id"}, group_rows=30).collect()}
+    assert before == {(g, i): (i - 1 if i else None) for g, _, i in data}
+
+
 def test_whole_table_and_null_groups(spark):
     data = [(None if i % 2 else 1, i) for i in range(200)]
     df = spark.createDataFrame(data, "g int, k bigint")
