@@ -74,8 +74,7 @@ def config_median(df: DataFrame, config: list[str], run: list[str], elapsed: str
     """
     slowest = df.groupBy(*config, *run).agg(F.max(elapsed).alias("_slowest"))
     runs = cut(slowest.withColumn("_tie", F.xxhash64(*run)), "runs")
-    placed = row_number(runs, config, ["_slowest", "_tie"], "_place", **limits)
-    counted = attach(placed, runs.groupBy(*config).agg(F.count(F.lit(1)).alias("n_runs")), config)
+    counted = row_number(runs, config, ["_slowest", "_tie"], "_place", total="n_runs", **limits)
     low = F.call_function("div", F.col("n_runs") + 1, F.lit(2))
     high = F.call_function("div", F.col("n_runs") + 2, F.lit(2))
     middle = counted.filter(F.col("_place").between(low, high))

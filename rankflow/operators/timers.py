@@ -68,9 +68,7 @@ def timer_share(timers: DataFrame, doc: list[str], name: str, index: str, elapse
 
 def sequence(df: DataFrame, group: list[str], order: list[str], **limits: int) -> DataFrame:
     """Sequence number from 0 in each group, and the group's row count on every row."""
-    numbered = row_number(df, group, order, "sequence_number", start=0, **limits)
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total_num"))
-    return attach(numbered, totals, group)
+    return row_number(df, group, order, "sequence_number", start=0, total="total_num", **limits)
 
 
 def order_intervals(df: DataFrame, rank: str, start: str, tie: str, **limits: int) -> DataFrame:

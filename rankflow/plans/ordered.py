@@ -40,8 +40,9 @@ class OrderedGroups:
     def groups(self) -> list[str]:
         return self.partition + self.splits
 
-    def window(self):
-        return Window.partitionBy(*(self.groups or [F.lit(0)])).orderBy(*self.order)
+    def window(self, ordered: bool = True):
+        window = Window.partitionBy(*(self.groups or [F.lit(0)]))
+        return window.orderBy(*self.order) if ordered else window
 
     def closed(self) -> OrderedGroups:
         """Without the working column."""
@@ -167,12 +168,21 @@ def row_number(
     name: str = "row_num",
     start: int = 1,
     group_rows: int = GROUP_ROWS,
+    total: str | None = None,
 ) -> DataFrame:
-    """Number the rows of each ordered group from ``start``."""
+    """Number the rows of each ordered group from ``start``; ``total`` also puts the group's size on every row."""
     out = split_groups(df, partition, order, group_rows)
     work = out.df.withColumn(name, F.row_number().over(out.window()).cast("bigint") + F.lit(start - 1))
+    if total:
+        work = work.withColumn(total, F.count(F.lit(1)).over(out.window(ordered=False)))
     if out.splits:
         totals = out.split_totals(F.count(F.lit(1)).alias("_base"))
+        if total and not out.partition:
+            work = work.withColumn(total, totals.agg(F.sum("_base")).scalar())
+        elif total:
+            sizes = totals.groupBy(*out.partition).agg(F.sum("_base").alias("_size"))
+            work = null_safe(work, cut(sizes, "sizes"), out.partition)
+            work = work.withColumn(total, F.coalesce("_size", total)).drop("_size")
         work = _join_bases(out, work, _sum_bases(out, totals, ["_base"], len(out.splits)))
         work = work.withColumn(name, F.col(name) + F.coalesce(F.col("_base"), F.lit(0)))
     return work.drop(*out.splits, "_base")

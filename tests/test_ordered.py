@@ -41,8 +41,10 @@ def test_groups_of_any_size(spark, spread):
     data = make(spread, 7, 400, list(SPREADS[spread]))
     df = spark.createDataFrame(data, "g bigint, k bigint, v bigint")
     want = expected(data)
-    numbered = row_number(df, ["g"], ["k"], "n", group_rows=20)
+    numbered = row_number(df, ["g"], ["k"], "n", group_rows=20, total="size")
     assert {tuple(r) for r in numbered.select("g", "k", "n").collect()} == {w[:3] for w in want}
+    sizes = {r.g: r.size for r in numbered.select("g", "size").distinct().collect()}
+    assert sizes == {g: sum(w[0] == g for w in want) for g in {w[0] for w in want}}
     inclusive = running_sum(df, ["g"], ["k"], {"s": "v"}, group_rows=20)
     assert {tuple(r) for r in inclusive.select("g", "k", "s").collect()} == {(w[0], w[1], w[3]) for w in want}
     exclusive = running_sum(df, ["g"], ["k"], {"s": "v"}, inclusive=False, group_rows=20)
@@ -80,8 +82,8 @@ def test_one_group_has_only_equal_first_keys(spark):
 def test_whole_table_and_null_groups(spark):
     data = [(None if i % 2 else 1, i) for i in range(200)]
     df = spark.createDataFrame(data, "g int, k bigint")
-    whole = {r.k: r.n for r in row_number(df, [], ["k"], "n", start=0).collect()}
-    assert whole == {i: i for i in range(200)}
+    whole = {(r.k, r.n, r.size) for r in row_number(df, [], ["k"], "n", start=0, total="size").collect()}
+    assert whole == {(i, i, 200) for i in range(200)}
     split = {r.k: r.n for r in row_number(df, ["g"], ["k"], "n", start=0, group_rows=9).collect()}
     assert split == {i: i // 2 for i in range(200)}
 
