@@ -63,9 +63,11 @@ def allreduce_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reduce_value_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_returnflag", "l_quantity", hundredths("l_extendedprice").alias("v"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")
+        "l_returnflag", "l_quantity", "l_shipdate", hundredths("l_extendedprice").alias("v")
     )
-    return reduce_value(rows, ["l_returnflag"], {"total": ("sum", "v"), "first_day": ("min", "day"), "most": ("max", "l_quantity")})
+    ops = {"total": ("sum", "v"), "first_day": ("min", "l_shipdate"), "most": ("max", "l_quantity")}
+    out = reduce_value(rows, ["l_returnflag"], ops)
+    return out.withColumn("first_day", F.date_format("first_day", "yyyy-MM-dd"))
 
 
 @query(

@@ -22,7 +22,7 @@ from rankflow.streaming import (
 )
 
 
-@query("stream_dedup", f"SELECT DISTINCT trim(line, ' ') AS line FROM ({SQL_LINES})")
+@query("stream_dedup", f"SELECT DISTINCT trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM ({SQL_LINES})")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = open_table(spark, f"{sf_dir}/{{documents}}.parquet", table(spark, sf_dir, "documents").schema)
     return run_to_table(seen_once(stripped_lines(stream, "text"), ["line"]), "lines")

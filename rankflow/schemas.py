@@ -19,16 +19,17 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields])
 
 
-def _custom(*measures: str) -> list[tuple[str, T.DataType]]:
+def _custom(*measures: str, kind: T.DataType | None = None) -> list[tuple[str, T.DataType]]:
     out: list[tuple[str, T.DataType]] = []
     for i in range(CUSTOM_TIMERS):
         out.append((f"custom{i}_timer_name", T.StringType()))
-        out += [(f"custom{i}_{m}", T.LongType()) for m in measures]
+        out += [(f"custom{i}_{m}", kind or T.LongType()) for m in measures]
     return out
 
 
-def rank_stats_cycles(prefix: str = "") -> T.StructType:
-    """Rank statistics document, cycle counts."""
+def rank_stats_cycles(prefix: str = "", unsigned: bool = False) -> T.StructType:
+    """Rank statistics document, cycle counts; ``unsigned`` also holds counts above 2**63."""
+    count = T.DecimalType(20, 0) if unsigned else T.LongType()
     return _struct(
         ("hostname", T.StringType()),
         (f"{prefix}thread_rank", T.IntegerType()),
@@ -38,8 +39,8 @@ def rank_stats_cycles(prefix: str = "") -> T.StructType:
         ("created_at", T.StringType()),
         (f"{prefix}run_unique_id", T.StringType()),
         ("json_stats_dir", T.StringType()),
-        ("elapsed_cycles", T.LongType()),
-        *_custom("elapsed_cycles"),
+        ("elapsed_cycles", count),
+        *_custom("elapsed_cycles", kind=count),
         ("cpu_number", T.IntegerType()),
         ("stats_filename", T.StringType()),
     )

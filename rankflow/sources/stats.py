@@ -19,9 +19,9 @@ def _finish(df: DataFrame, prefix: str) -> DataFrame:
     return _plain(df, prefix).withColumn("created_at", F.to_timestamp("created_at", CREATED_AT))
 
 
-def read_rank_stats(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+def read_rank_stats(spark: SparkSession, path: str, prefix: str = "", unsigned: bool = False) -> DataFrame:
     """Documents in cycles, one JSON object per file."""
-    df = spark.read.schema(schemas.rank_stats_cycles(prefix)).option("multiLine", True).json(path)
+    df = spark.read.schema(schemas.rank_stats_cycles(prefix, unsigned)).option("multiLine", True).json(path)
     return _finish(df, prefix)
 
 

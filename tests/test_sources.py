@@ -24,6 +24,11 @@ def test_rank_stats(spark, write):
     assert sorted(tuple(r) for r in timers.collect()) == [(0, 1000, 0, "send", 250), (0, 1000, 1, "send", 300)]
 
 
+def test_unsigned_cycles(spark, write):
+    path = write("u/stats_rank_0.json", '{"thread_rank": 3, "elapsed_cycles": 18446744073709551615}')
+    assert int(stats.read_rank_stats(spark, path, unsigned=True).first().elapsed_cycles) == 2**64 - 1
+
+
 def test_rank_stats_ns_and_union(spark, write):
     path = write("n/stats_rank_0.json", '{"thread_rank": 3, "elapsed_ns_monotonic": 7, "memory_footprint_bytes": 99}')
     ns = stats.read_rank_stats_ns(spark, path)

@@ -18,7 +18,7 @@ from rankflow.streaming import (
 
 
 def test_dedup_equals_distinct(spark, write):
-    write("f/1.txt", "a\nb\n a \n")
+    write("f/1.txt", "a\nb\n a \n" + "\ta\n" * 500)
     path = write("f/2.txt", "b\nc\n")
     got = run_to_table(seen_once(follow_lines(spark, path), ["line"]), "t")
     assert sorted(r.line for r in got.collect()) == ["a", "b", "c"]
