@@ -17,7 +17,10 @@ from rankflow.plans import cut
 def sides(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Clicks as sends and purchases as receives."""
     events = table(spark, sf_dir, "events")
-    pick = lambda kind: events.filter(F.col("event_type") == kind).select("event_id", *columns)
+
+    def pick(kind):
+        return events.filter(F.col("event_type") == kind).select("event_id", *columns)
+
     return pick("click"), pick("purchase")
 
 

@@ -160,7 +160,10 @@ def expand_ranges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT s_suppkey, unnest(generate_series(s_nationkey, s_nationkey + 2)) AS i FROM supplier)""",
 )
 def expand_hosts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+
     node = F.col("s_nationkey")
     spec = F.concat(F.lit("node["), two(node), F.lit("-"), two(node + 2), F.lit("]"))
     return expand_hosts(table(spark, sf_dir, "supplier").select("s_suppkey", spec.alias("spec")), "spec", "host")

@@ -85,7 +85,10 @@ def chunk_reduce_python_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def staged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", hundredths("o_totalprice").alias("v"))
-    total = lambda c: F.sum(c).cast("double")
+
+    def total(c):
+        return F.sum(c).cast("double")
+
     stages = [
         Stage(result=total, of=F.col("v")),
         Stage(columns={"v": F.col("v") * 2}),

@@ -25,7 +25,10 @@ def thread_name(rank: Column, process: Column, thread: Column) -> Column:
 
 def thread_fields(name: Column) -> Column:
     """Rank, process and thread of a thread name."""
-    part = lambda i: F.regexp_extract(name, THREAD_NAME, i).cast("int")
+
+    def part(i):
+        return F.regexp_extract(name, THREAD_NAME, i).cast("int")
+
     return F.struct(part(1).alias("rank"), part(2).alias("process"), part(3).alias("thread"))
 
 

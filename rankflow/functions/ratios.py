@@ -23,7 +23,10 @@ def band(share: Column) -> Column:
 def clock(cycles: Column, mhz: float) -> Column:
     """Cycles at ``mhz`` as ``HH:MM:SS:mmm``, hours wrapping at 24."""
     millis = F.floor(cycles / F.lit(mhz * 1000.0))
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+
     return F.concat_ws(
         ":",
         two(F.floor(millis / 3600000) % 24),

@@ -83,7 +83,10 @@ def config_median(df: DataFrame, config: list[str], run: list[str], elapsed: str
 
 def speed_up(medians: DataFrame, config: list[str], variant: str, baseline: str, tested: str, elapsed: str) -> DataFrame:
     """Baseline median over tested median per configuration."""
-    side = lambda value: F.max(F.when(F.col(variant) == value, F.col(elapsed)))
+
+    def side(value):
+        return F.max(F.when(F.col(variant) == value, F.col(elapsed)))
+
     both = medians.groupBy(*config).agg(side(baseline).alias("baseline"), side(tested).alias("tested"))
     return both.withColumn("speed_up", F.col("baseline") / F.nullif(F.col("tested"), F.lit(0.0)))
 

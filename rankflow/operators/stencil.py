@@ -39,7 +39,10 @@ def neighbours(
     """Values of the row one position below and one above; null at the ends of a line or at a gap."""
     window = Window.partitionBy(*line, "_bucket").orderBy(position)
     rows = with_halo(df, position, 1, bits)
-    next_to = lambda near, step: near(position).over(window) == F.col(position) + step
+
+    def next_to(near, step):
+        return near(position).over(window) == F.col(position) + step
+
     columns = {n: F.when(next_to(F.lag, -1), F.lag(c).over(window)) for n, c in below.items()}
     columns |= {n: F.when(next_to(F.lead, 1), F.lead(c).over(window)) for n, c in above.items()}
     return rows.withColumns(columns).filter("_own").drop("_bucket", "_own")
@@ -119,5 +122,8 @@ def stencil_arrays(
 
 def _step(a: Column, work: Callable[[Column], Column]) -> Column:
     last = F.size(a) - 1
-    average = lambda x, i: (work(F.get(a, i - 1)) + work(x) + work(F.get(a, i + 1))) / 3.0
+
+    def average(x, i):
+        return (work(F.get(a, i - 1)) + work(x) + work(F.get(a, i + 1))) / 3.0
+
     return F.transform(a, lambda x, i: F.when((i > 0) & (i < last), average(x, i)).otherwise(x))

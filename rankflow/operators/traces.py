@@ -18,9 +18,11 @@ def match_messages(
     """
     send = row_number(sends, channel, order, "seq", **limits)
     recv = row_number(recvs, channel, order, "seq", **limits)
-    side = lambda df, label: df.select(
-        *channel, "seq", *[F.col(c).alias(f"{label}_{c}") for c in columns], F.lit(True).alias(f"_{label}")
-    )
+
+    def side(df: DataFrame, label: str) -> DataFrame:
+        kept = [F.col(c).alias(f"{label}_{c}") for c in columns]
+        return df.select(*channel, "seq", *kept, F.lit(True).alias(f"_{label}"))
+
     both = side(send, "send").join(side(recv, "recv"), [*channel, "seq"], "full_outer")
     state = F.when(F.col("_recv").isNull(), "no_recv").when(F.col("_send").isNull(), "no_send").otherwise("matched")
     return both.withColumn("state", state).drop("_send", "_recv")
@@ -31,7 +33,10 @@ def unmatched_endpoints(sends: DataFrame, recvs: DataFrame, channel: list[str])
 
     Both sides are counted per channel first, so the anti joins see one row per channel.
     """
-    count = lambda df: df.groupBy(*channel).agg(F.count(F.lit(1)).alias("n_messages"))
+
+    def count(df):
+        return df.groupBy(*channel).agg(F.count(F.lit(1)).alias("n_messages"))
+
     send, recv = count(sends), count(recvs)
     only_send = send.join(recv, channel, "left_anti").withColumn("side", F.lit("send"))
     only_recv = recv.join(send, channel, "left_anti").withColumn("side", F.lit("recv"))
@@ -55,7 +60,10 @@ def bundle_sizes(trace: DataFrame, threads: int, direction: str, tag: str, sende
     The pairs come with their counts: at most ``threads ** 2`` of them per
     process pair however many messages there are.
     """
-    process = lambda c: F.call_function("div", F.col(c).cast("bigint"), F.lit(threads))
+
+    def process(c):
+        return F.call_function("div", F.col(c).cast("bigint"), F.lit(threads))
+
     pairs = trace.groupBy(direction, tag, sender, receiver).agg(F.count(F.lit(1)).alias("_n"))
     label = F.concat(F.lit("t"), F.col(sender), F.lit(" -> t"), F.col(receiver))
     keyed = pairs.select(

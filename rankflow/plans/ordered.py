@@ -86,7 +86,10 @@ def split_groups(
 
 def _large_groups(stats: DataFrame, group_rows: int, whole: bool) -> DataFrame:
     """Groups to split, with how far to shift their key; no shift where all keys are equal."""
-    bits = lambda c: F.length(F.bin(c))
+
+    def bits(c):
+        return F.length(F.bin(c))
+
     wanted = F.least(F.lit(FAN_BITS), F.greatest(F.lit(LEAST_BITS), bits(F.call_function("div", F.col("_n") * 4, F.lit(group_rows)))))
     if whole:
         wanted = F.when(F.col("_n") <= group_rows, SMALL_TABLE_BITS).otherwise(wanted)

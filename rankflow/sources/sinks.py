@@ -58,5 +58,8 @@ def write_experiment(experiments: DataFrame, runs: DataFrame, ranks: DataFrame,
 
 def read_experiment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables of :func:`write_experiment`."""
-    load = lambda name: spark.read.parquet(f"{path}/{name}").drop("part")
+
+    def load(name):
+        return spark.read.parquet(f"{path}/{name}").drop("part")
+
     return load("experiments"), load("runs"), load("thread_runs")

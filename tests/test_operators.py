@@ -256,13 +256,19 @@ def test_union_results(spark):
 
 
 def test_progress(spark):
-    left = lambda p: spark.range(1).select(experiments.minutes_left(F.lit(600), F.lit(p)).alias("m")).first().m
+
+    def left(p):
+        return spark.range(1).select(experiments.minutes_left(F.lit(600), F.lit(p)).alias("m")).first().m
+
     assert left(25.0) == 30.0
     assert left(0.0) is None
 
 
 def test_tolerance(spark):
-    ok = lambda actual: spark.range(1).select(experiments.within_tolerance(F.lit(actual), F.lit(1000), F.lit(3)).alias("x")).first().x
+
+    def ok(actual):
+        return spark.range(1).select(experiments.within_tolerance(F.lit(actual), F.lit(1000), F.lit(3)).alias("x")).first().x
+
     assert ok(998) and ok(10) and ok(1007) and not ok(1009)
 
 

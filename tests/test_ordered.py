@@ -11,7 +11,10 @@ from rankflow.plans import previous_value, row_number, running_sum, split_groups
 def make(seed, groups, n, keys):
     rnd = random.Random(seed)
     # One group holds about a third of all rows.
-    pick = lambda: 0 if rnd.random() < 0.34 else rnd.randrange(groups)
+
+    def pick():
+        return 0 if rnd.random() < 0.34 else rnd.randrange(groups)
+
     return [(pick(), k, rnd.randrange(-50, 50)) for k in rnd.sample(keys, n)]
 
 
