@@ -390,7 +390,7 @@ def config_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "speed_up",
+    "speedup",
     f"""WITH r AS (SELECT o_orderpriority, o_orderstatus, o_custkey, max({cents("o_totalprice")}) AS m FROM orders GROUP BY 1, 2, 3),
         m AS (SELECT o_orderpriority, o_orderstatus, median(m) AS e FROM r GROUP BY 1, 2)
         SELECT o_orderpriority, max(e) FILTER (o_orderstatus = 'F') AS baseline, max(e) FILTER (o_orderstatus = 'O') AS tested,

@@ -164,11 +164,15 @@ def placement_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("payload_check", "SELECT count(*) AS n_elements, CAST(0 AS BIGINT) AS n_wrong FROM orders")
 def payload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 64").alias("sender"), (F.col("o_orderkey") % 64).alias("at"))
+    sent = table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 64").alias("sender"), (F.col("o_orderkey") % 64).alias("at")
+    )
     value = payload_value(F.lit(0), F.col("sender"), F.col("at"), "positional")
     sent = sent.withColumn("value", value)
     # One all-to-all among 64 ranks with one-element blocks, and the way back.
-    there = sent.select(F.expr("sender div 64").alias("comm"), (F.col("sender") % 64).alias("rank"), F.col("at").alias("idx"), "value")
+    there = sent.select(
+        F.expr("sender div 64").alias("comm"), (F.col("sender") % 64).alias("rank"), F.col("at").alias("idx"), "value"
+    )
     back = all_to_all(all_to_all(there, 1), 1)
     expected = payload_value(F.lit(0), F.col("comm") * 64 + F.col("rank"), F.col("idx"), "positional")
     return mismatches(back, F.col("value"), expected)

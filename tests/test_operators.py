@@ -134,6 +134,15 @@ def test_overlapping_intervals_are_kept_whole(spark):
     assert as_set(kept) == {(5, 15), (18, 30)}
 
 
+def test_written_in_order(spark):
+    df = spark.range(200).selectExpr("id % 5 AS rank", "(id * 7) % 200 AS start").repartition(6)
+    out = timers.written_in_order(df, "rank", "start", 4).withColumn("p", F.spark_partition_id()).collect()
+    assert len(out) == 200
+    for p in {r.p for r in out}:
+        rows = [(r.rank, r.start) for r in out if r.p == p]
+        assert rows == sorted(rows)
+
+
 def test_match_messages(spark):
     sends = spark.createDataFrame([("c", 1), ("c", 4), ("d", 2)], "ch string, id bigint")
     recvs = spark.createDataFrame([("c", 9), ("e", 3)], "ch string, id bigint")
