@@ -90,6 +90,11 @@ def _each_batch(stream: DataFrame, name: str, mode: str, write) -> None:
     query.awaitTermination()
 
 
+def _without_rows(spark: SparkSession, out: str, schema: T.StructType | str) -> None:
+    """An empty part of a table, so that it can be read before the first batch."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(out)
+
+
 def arrivals(stream: DataFrame, job: str, total: Column, started: Column, now: Column, name: str = "progress") -> DataFrame:
     """Progress after each batch: jobs done, percent of all jobs, minutes left.
 
@@ -99,6 +104,7 @@ def arrivals(stream: DataFrame, job: str, total: Column, started: Column, now: C
     """
     spark = stream.sparkSession
     out = new_path(spark, name)
+    _without_rows(spark, f"{out}/none", "batch bigint, jobs_done bigint, percent double, minutes_left double")
     done = stream.groupBy(job).agg(F.max("arrived").alias("last_seen"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -141,9 +147,10 @@ def gate_late(
         flagged = batch.withColumn("on_time", gate & F.lit(batch_id < tries))
         flagged.write.mode("overwrite").partitionBy("on_time").parquet(f"{out}/batch={batch_id}")
 
+    _without_rows(spark, f"{out}/batch=-1/on_time=false", stream.schema)
     _each_batch(stream, name, "append", write)
-    schema = stream.schema.add("on_time", T.BooleanType())
-    rows = spark.read.schema(schema.add("batch", T.LongType())).option("basePath", out).parquet(out).drop("batch")
+    schema = T.StructType([*stream.schema, T.StructField("on_time", T.BooleanType())])
+    rows = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
     found = rows.filter("on_time").groupBy(job).agg(F.count(F.lit(1)).alias("found"))
     return completeness(expected, found, [job], want, "found"), rows.filter("NOT on_time").drop("on_time")
 
@@ -174,8 +181,10 @@ def stats_to_table(
     out = new_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/{batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
 
-    _each_batch(summary(follow_rank_stats(spark, path, prefix, one_per_line)), name, "complete", write)
+    state = summary(follow_rank_stats(spark, path, prefix, one_per_line))
+    _without_rows(spark, f"{out}/none", T.StructType([*state.schema, T.StructField("batch", T.LongType())]))
+    _each_batch(state, name, "complete", write)
     states = spark.read.parquet(f"{out}/*")
     return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")

@@ -67,6 +67,17 @@ def test_output_after_the_last_look_is_late(spark, tmp_path):
     assert [r.job for r in late.collect()] == [2]
 
 
+def test_folders_without_files(spark, tmp_path):
+    path = str(tmp_path / "empty")
+    (tmp_path / "empty").mkdir()
+    jobs = open_table(spark, path, "job bigint, arrived bigint")
+    assert arrivals(jobs, "job", F.lit(6), F.lit(0), F.max("last_seen")).count() == 0
+    expected = spark.range(2).selectExpr("id AS job", "1 AS want")
+    status, late = gate_late(jobs, F.lit(True), expected, "job", "want")
+    assert {r.status for r in status.collect()} == {"failed"} and late.count() == 0
+    assert stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles")).count() == 0
+
+
 def test_first_wait(spark):
     waits = spark.createDataFrame([(10,), (2001,), (20001,)], "n int").select(first_wait_seconds(F.col("n")).alias("w"))
     assert [r.w for r in waits.collect()] == [60, 300, 900]
