@@ -309,6 +309,23 @@ def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.symbol_counts(words.groupBy("conv_id").agg(F.min_by("symbol", "turn").alias("symbol")))
 
 
+@query(
+    "stack_frames",
+    """SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS stack,
+       event_type AS symbol, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) > 80 AS waiting FROM events""",
+)
+def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    wait = F.when(k > 80, F.lit("#0  0x01 in DequeueWaitSpinWhileEmpty (this=0x0) at /lib/queue.cpp:10"))
+    frame = F.format_string("#1  0x02 in %s (a=1, b=2) at /src/app.cpp:%d", F.col("event_type"), k)
+    header = F.lit("Thread 1 (Thread 0x7fff (LWP 42)):")
+    stacks = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file"), "event_id", F.posexplode(F.array(header, wait, frame, F.lit("#2  0x03 in main ()")))
+    )
+    lines = stacks.select("file", (F.col("event_id") * 4 + F.col("pos")).alias("line_no"), F.col("col").alias("line"))
+    return profiles.stack_frames(lines.filter(F.col("line").isNotNull()), "app.cpp")
+
+
 @query(
     "coincidence_matrix",
     """WITH e AS (SELECT event_id, event_type AS sym, value > 80 AS waiting, event_id // 10 AS section FROM events),
