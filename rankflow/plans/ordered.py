@@ -90,7 +90,8 @@ def _large_groups(stats: DataFrame, group_rows: int, whole: bool) -> DataFrame:
     def bits(c):
         return F.length(F.bin(c))
 
-    wanted = F.least(F.lit(FAN_BITS), F.greatest(F.lit(LEAST_BITS), bits(F.call_function("div", F.col("_n") * 4, F.lit(group_rows)))))
+    enough = bits(F.call_function("div", F.col("_n") * 4, F.lit(group_rows)))
+    wanted = F.least(F.lit(FAN_BITS), F.greatest(F.lit(LEAST_BITS), enough))
     if whole:
         wanted = F.when(F.col("_n") <= group_rows, SMALL_TABLE_BITS).otherwise(wanted)
     differ = F.col("_lo").cast("bigint").bitwiseXOR(F.col("_hi").cast("bigint"))
@@ -147,10 +148,10 @@ def running_sum(
     inclusive: bool = True,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Prefix sums over each ordered group; the first exclusive value is 0."""
+    """Prefix sums over each ordered group; the first exclusive value is 0 and a null adds nothing."""
     out = split_groups(df, partition, order, group_rows)
     names = {name: f"_base_{i}" for i, name in enumerate(sums)}
-    values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
+    values = {name: F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)) for name, v in sums.items()}
     frame = out.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = {n: F.sum(v).over(frame) for n, v in values.items()}
     if not inclusive:

@@ -98,6 +98,14 @@ def test_previous_null_is_not_skipped(spark):
     assert got == {k: (None if k == 0 else data[k - 1][1]) for k in range(100)}
 
 
+@pytest.mark.parametrize("group_rows", [6, 1000])
+def test_nulls_add_nothing(spark, group_rows):
+    data = [(0, k, None if k % 3 or k < 20 else k) for k in range(60)]
+    df = spark.createDataFrame(data, "g int, k bigint, v bigint")
+    got = {r.k: r.s for r in running_sum(df, ["g"], ["k"], {"s": "v"}, group_rows=group_rows).collect()}
+    assert got == {k: sum(v or 0 for _, at, v in data if at <= k) for k in range(60)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "g int, k bigint, v bigint")
     assert row_number(df, [], ["k"]).count() == 0
