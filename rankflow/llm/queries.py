@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import quality, sql, token_prefix
+from rankflow.llm import packing, quality, sql, token_prefix
 from rankflow.llm.tables import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.kept(quality.BASE)).alias("base_failed"),
         quality.kept(quality.FULL).alias("kept"),
     )
+
+
+@query("op7_packing")
+def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
