@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import packing, quality, sql, token_prefix
+from rankflow.llm import packing, pieces, quality, sql, token_prefix
 from rankflow.llm.tables import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,9 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+
+
+@query("op10_sentence_pieces")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
