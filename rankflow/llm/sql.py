@@ -39,3 +39,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
   CAST(failed AS INTEGER) AS failed, failed & 3 <> 0 AS base_failed, failed = 0 AS kept
 FROM judged
 """
+
+CHAT = """
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM rows),
+written AS (
+  SELECT *, length(replace(role, chr(92), chr(92) || chr(92))) + length(replace(text, chr(92), chr(92) || chr(92))) + 20
+    + len(regexp_extract_all(role, '</?s>|\\[/?INST\\]|<</?SYS>>'))
+    + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]|<</?SYS>>')) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
