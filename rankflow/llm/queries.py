@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import chat, packing, pieces, quality, sql, token_prefix
+from rankflow.llm import chat, packing, pieces, quality, simhash, sql, token_prefix
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -77,3 +77,9 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("op5_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
