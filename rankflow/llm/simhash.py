@@ -84,12 +84,15 @@ def _flips(bits: int) -> Column:
     return F.concat(F.array(F.lit(0).cast("bigint")), ones)
 
 
+def _around(half: Column) -> Column:
+    return F.transform(_flips(32), lambda mask: half.bitwiseXOR(mask))
+
+
 def half_variants(fps: DataFrame) -> DataFrame:
     """(key, fp): both halves of each fingerprint and all words within one bit of them."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))
-    around = [F.transform(_flips(32), lambda m, half=half: half.bitwiseXOR(m)) for half in (low, high)]
-    return fps.select(F.explode(F.concat(*around)).alias("key"), "fp")
+    return fps.select(F.explode(F.concat(_around(low), _around(high))).alias("key"), "fp")
 
 
 def ball_variants(fps: DataFrame) -> DataFrame:
@@ -117,6 +120,8 @@ def bucket_links(values: np.ndarray) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within the radius."""
+    # A small file is read by one task, but has 66 variants a row.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = half_variants(fps)
     met = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
     small = variants.join(met.filter(F.col("n") <= bucket).select("key"), "key")
