@@ -40,7 +40,7 @@ WORD = re.compile(f"[^{SPACE}]+")
 #: Controls at which str.split would cut but the pattern does not.
 ODD = re.compile("[\x1c-\x1f]")
 #: A worker forgets the ids of words once they have so many ids together.
-MEMO_IDS = 2_000_000
+MEMO_IDS = 4_000_000
 #: Combinations of each depth, and rounds of the solver.
 COMBINATIONS, ROUNDS = 4096, 400
 
@@ -70,17 +70,44 @@ class WordIds:
             return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else WORD.findall(p))]
         return WORD.findall(text) if ODD.search(text) else text.split()
 
+    def stem(self, word: str) -> tuple[str, str]:
+        """A word without capitals (of ASCII words) and without the stop at its end, and that stop.
+
+        The vocabulary's rules drop capitals anyway and always cut between a letter and a stop.
+        """
+        tail = ""
+        if word[-1:] in (".", ",") and word[-2:-1].isalpha() and (word[-2].islower() or word[-2].isascii()):
+            tail = word[-1]
+        head = word[:-1] if tail else word
+        return (head.lower() if head.isascii() and "<|" not in head else head), tail
+
     def learn(self, words: set[str]) -> None:
-        """Encode what is not known yet."""
+        """Encode the stems that are not known yet, and put all other new words together from theirs."""
         missing = [w for w in words if w not in self.known]
         if not missing:
             return
-        found = [e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False)]
-        self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing)), strict=True))
-        ends = len(self.flat) + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        parts = list(map(self.stem, missing))
+        new = {p for pair in parts for p in pair}.difference(self.known)
+        found = [e.ids for e in self.library.encode_batch_fast(list(new), add_special_tokens=False)]
+        self._add(new, np.fromiter(map(len, found), np.int64, len(found)), itertools.chain.from_iterable(found))
+        made = [(w, *p) for w, p in zip(missing, parts, strict=True) if w not in new and w not in self.known]
+        if made:
+            place = np.array([self.known[p] for _, *pair in made for p in pair])
+            length = self.starts[place + 1] - self.starts[place]
+            self._add([w for w, *_ in made], length[::2] + length[1::2], self._gather(place, length))
+
+    def _add(self, words, lengths: np.ndarray, ids) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(lengths)), strict=True))
+        ends = len(self.flat) + np.cumsum(lengths)
         self.starts = np.concatenate([self.starts, ends])
-        new = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(ends[-1]) - len(self.flat))
-        self.flat = np.concatenate([self.flat, new])
+        if not isinstance(ids, np.ndarray):
+            ids = np.fromiter(ids, np.uint32, int(lengths.sum()))
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _gather(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(length)
+        take = np.repeat(self.starts[place] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[take]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text begins in it."""
@@ -91,11 +118,9 @@ class WordIds:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         places = map(self.known.__getitem__, itertools.chain.from_iterable(lists))
         place = np.fromiter(places, np.int64, int(sizes.sum()))
-        start = self.starts[place]
-        length = self.starts[place + 1] - start
+        length = self.starts[place + 1] - self.starts[place]
         ends = np.concatenate([[0], np.cumsum(length)])
-        take = np.repeat(start - ends[:-1], length) + np.arange(ends[-1])
-        return self.flat[take], ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return self._gather(place, length), ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
