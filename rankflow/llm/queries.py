@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import chat, packing, pieces, quality, simhash, sql, token_prefix
+from rankflow.llm import chat, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -83,3 +83,15 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query("op6_toxicity")
+def toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", "toxic")
+
+
+@query("op9_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
