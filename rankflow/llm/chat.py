@@ -52,28 +52,29 @@ def best_paths(messages: DataFrame, score: str = "score", per_tree: int = 1) ->
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"),
         F.coalesce("total", F.lit(0.0)).alias("total"), F.lit(1).cast("bigint").alias("steps"),
     )
+    jumps = cut(jumps, "jumps")
+    climbing, finished = jumps.filter("up IS NOT NULL"), jumps.filter("up IS NULL")
     tables, open_before = [], None
-    while True:
-        jumps = cut(jumps, "jumps")
-        tables.append(jumps)
-        still_open = jumps.filter("up IS NOT NULL").count()
-        if still_open in (0, open_before):
-            break
+    while (still_open := climbing.count()) not in (0, open_before):
+        # Only messages that have not reached their root climb on; each round doubles the distance.
         open_before = still_open
-        above = jumps.select(
+        tables.append(climbing)
+        above = climbing.unionByName(finished).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_t"), F.col("steps").alias("_s"))
-        jumps = null_safe(jumps, above, ["tree", "up"]).select(
+        higher = null_safe(climbing, above, ["tree", "up"]).select(
             "tree", "node", F.col("_up").alias("up"),
             (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"),
             (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
         )
+        higher = cut(higher, "jumps")
+        climbing, finished = higher.filter("up IS NOT NULL"), finished.unionByName(higher.filter("up IS NULL"))
     answered = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.lit(True).alias("known")).distinct()
-    leaves = null_safe(tables[-1].filter("up IS NULL"), answered, ["tree", "node"]).filter("known IS NULL")
+    leaves = null_safe(finished, answered, ["tree", "node"]).filter("known IS NULL")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= per_tree)
     paths = cut(chosen.select("tree", "branch", F.col("steps").alias("size"), "node", F.lit(0).cast("bigint").alias("back")), "paths")
     for k, table in enumerate(tables):
-        ups = table.filter("up IS NOT NULL").select("tree", "node", "up")
+        ups = table.select("tree", "node", "up")
         higher = null_safe(paths, ups, ["tree", "node"], "inner").select(
             "tree", "branch", "size", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         paths = cut(paths.unionByName(higher), "paths")
