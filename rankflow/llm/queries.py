@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import chat, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
+from rankflow.llm import chat, forest, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -95,3 +95,9 @@ def toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_prefix_forest")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.nearest(vectors, asked=F.col("vec_id") % 20 == 0, k=20)
