@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import chat, forest, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
+from rankflow.llm import attention, chat, forest, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -101,3 +101,10 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return forest.nearest(vectors, asked=F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op3_attention_scores")
+def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return attention.score(docs, public_tokenizers.path("byte_bpe_50k.json"), held_out=F.crc32(key.cast("binary")) % 5 == 1)
