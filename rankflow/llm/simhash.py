@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.components import components
-from rankflow.llm.tables import map_rows, present, words_of
+from rankflow.llm.tables import map_rows, present, touched, words_of
 from rankflow.plans import cut
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -124,7 +124,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = half_variants(fps)
     met = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
-    small = variants.join(met.filter(F.col("n") <= bucket).select("key"), "key")
+    few, many = met.filter(F.col("n") <= bucket).select("key"), met.filter(F.col("n") > bucket).select("key")
+    small = touched(variants, few, "key").join(few, "key")
     # At most ``bucket`` fingerprints each.
     lists = small.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
 
@@ -135,7 +136,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     edges = lists.mapInArrow(compare, "a long, b long")
-    hot = cut(variants.join(met.filter(F.col("n") > bucket).select("key"), "key").select("fp").distinct(), "hot")
+    hot = cut(touched(variants, many, "key").join(many, "key").select("fp").distinct(), "hot")
     balls = ball_variants(hot)
     least = balls.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = balls.join(least, "key").select(F.col("fp").alias("a"), "b").filter("a <> b")

@@ -36,18 +36,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.pieces import mixed
-from rankflow.llm.tables import map_rows, present
+from rankflow.llm.tables import map_rows, present, touched
 from rankflow.plans import cut
 
 LENGTH, GRAM = 400, 64
 #: Starts per stretch in the rounds after the first.
 STEPS = (16, 1)
-#: Residues of row hashes by which a round tells texts that it can leave where they lie.
-RESIDUES = 1 << 21
 KEYS = ["doc_id", "text_hash"]
 
 
@@ -142,19 +140,6 @@ def _ranked_batch(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch |
     )
 
 
-def _residue(column: str = "text_hash") -> Column:
-    return F.pmod(F.col(column), F.lit(RESIDUES))
-
-
-def _touched(rows: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
-    """Rows whose text hash has the residue of one in ``keyed`` (left_semi), or has not (left_anti).
-
-    At most ``RESIDUES`` numbers are broadcast, whatever the data; texts left out here need not move.
-    """
-    residues = keyed.select(_residue().alias("_residue")).distinct()
-    return rows.join(F.broadcast(residues), _residue() == F.col("_residue"), how)
-
-
 def _with_list(rows: DataFrame, stretches: DataFrame, how: str) -> DataFrame:
     """Texts with the list of their stretches; a list is bounded by its text."""
     fields = [c for c in stretches.columns if c not in KEYS]
@@ -221,7 +206,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ste
     found = judged.filter("repeated")
     for step in steps:
         listed = _still_open(judged)
-        texts = _with_list(_touched(rows, listed, "left_semi"), listed, "inner")
+        texts = _with_list(touched(rows, listed, "text_hash"), listed, "inner")
         judged = _judged(cut(_ranks(texts, step, length), "ranks"))
         found = found.unionByName(judged.filter("repeated AND NOT known"))
     return found.select(*KEYS, "first", "last")
@@ -261,9 +246,9 @@ def _finish(docs: DataFrame, starts: DataFrame, work, schema: str) -> DataFrame:
     """Apply ``work`` to every text and the list of its repeated starts; untouched texts stay where they are."""
     rows = keyed(docs)
     lists = cut(starts, "starts")
-    hit = _with_list(_touched(rows, lists, "left_semi"), lists, "left")
+    hit = _with_list(touched(rows, lists, "text_hash"), lists, "left")
     none = F.lit(None).cast("array<struct<first:int,last:int>>").alias("list")
-    rest = _touched(rows, lists, "left_anti").select(*KEYS, "text", none)
+    rest = touched(rows, lists, "text_hash", "left_anti").select(*KEYS, "text", none)
     return map_rows(rest, work, schema).unionByName(map_rows(hit, work, schema))
 
 

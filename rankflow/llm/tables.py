@@ -64,6 +64,20 @@ def cut_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+#: Numbers that ``touched`` broadcasts at most.
+RESIDUES = 1 << 21
+
+
+def touched(rows: DataFrame, keyed: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``column`` has the residue of one in ``keyed`` (left_semi), or has not (left_anti).
+
+    A sieve before a join: rows left out need not be shuffled.  At most ``RESIDUES``
+    numbers are broadcast, whatever the data; where they are used up, all rows pass.
+    """
+    residues = keyed.select(F.pmod(column, F.lit(RESIDUES)).alias("_residue")).distinct()
+    return rows.join(F.broadcast(residues), F.pmod(rows[column], F.lit(RESIDUES)) == F.col("_residue"), how)
+
+
 class Memo(dict):
     """A cache inside a Python worker that forgets everything once it holds ``limit`` entries.
 
