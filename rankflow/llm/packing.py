@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ from rankflow.plans import cut
 #: White space as the vocabulary's pattern understands it.
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[^{SPACE}]+")
-#: Controls at which str.split would cut but the pattern does not.
+#: Controls that count as white space elsewhere, but not in the pattern.
 ODD = re.compile("[\x1c-\x1f]")
+#: A stop behind a letter without capitals, whose form no rule changes.
+STOP = "([a-z\u00e0-\u00f6\u00f8-\u00ff])([.,])"
 #: A worker forgets the ids of words once they have so many ids together.
 MEMO_IDS = 4_000_000
 #: Combinations of each depth, and rounds of the solver.
@@ -64,45 +67,28 @@ class WordIds:
         self.known: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
+    def odd(self, text: str) -> bool:
+        """Whether splitting at white space would not do."""
+        return "<|" in text or bool(ODD.search(text))
+
     def words(self, text: str) -> list[str]:
-        if self.has_special and self.special.search(text):
-            parts = self.special.split(text)
-            return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else WORD.findall(p))]
-        return WORD.findall(text) if ODD.search(text) else text.split()
-
-    def stem(self, word: str) -> tuple[str, str]:
-        """A word without capitals (of ASCII words) and without the stop at its end, and that stop.
-
-        The vocabulary's rules drop capitals anyway and always cut between a letter and a stop.
-        """
-        tail = ""
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha() and (word[-2].islower() or word[-2].isascii()):
-            tail = word[-1]
-        head = word[:-1] if tail else word
-        return (head.lower() if head.isascii() and "<|" not in head else head), tail
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the stems that are not known yet, and put all other new words together from theirs."""
-        missing = [w for w in words if w not in self.known]
-        if not missing:
-            return
-        parts = list(map(self.stem, missing))
-        new = {p for pair in parts for p in pair}.difference(self.known)
-        found = [e.ids for e in self.library.encode_batch_fast(list(new), add_special_tokens=False)]
-        self._add(new, np.fromiter(map(len, found), np.int64, len(found)), itertools.chain.from_iterable(found))
-        made = [(w, *p) for w, p in zip(missing, parts, strict=True) if w not in new and w not in self.known]
-        if made:
-            place = np.array([self.known[p] for _, *pair in made for p in pair])
-            length = self.starts[place + 1] - self.starts[place]
-            self._add([w for w, *_ in made], length[::2] + length[1::2], self._gather(place, length))
+        if not self.has_special:
+            return WORD.findall(text)
+        parts = self.special.split(text)
+        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else WORD.findall(p))]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that are not known yet."""
+        new = [w for w in words if w not in self.known]
+        if new:
+            found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            self._add(new, np.fromiter(map(len, found), np.int64, len(found)), itertools.chain.from_iterable(found))
 
     def _add(self, words, lengths: np.ndarray, ids) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(lengths)), strict=True))
         ends = len(self.flat) + np.cumsum(lengths)
         self.starts = np.concatenate([self.starts, ends])
-        if not isinstance(ids, np.ndarray):
-            ids = np.fromiter(ids, np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(ids, np.uint32, int(lengths.sum()))])
 
     def _gather(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends = np.cumsum(length)
@@ -111,16 +97,23 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text begins in it."""
-        lists = [self.words(t) for t in texts]
+        column = pa.array(texts, pa.string())
+        if any(map(self.odd, texts)):
+            lists = pa.array(list(map(self.words, texts)), pa.list_(pa.string()))
+        else:
+            # Capitals do not matter, and a stop behind a letter is a word of its own anyway.
+            column = pc.replace_substring_regex(pc.ascii_lower(column), STOP, r"\1 \2")
+            lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(column))
+        coded = lists.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
         if len(self.flat) > MEMO_IDS:
             self.forget()
-        self.learn(set(itertools.chain.from_iterable(lists)))
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        places = map(self.known.__getitem__, itertools.chain.from_iterable(lists))
-        place = np.fromiter(places, np.int64, int(sizes.sum()))
+        self.learn(different)
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        place = numbers[coded.indices.to_numpy()]
         length = self.starts[place + 1] - self.starts[place]
         ends = np.concatenate([[0], np.cumsum(length)])
-        return self._gather(place, length), ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return self._gather(place, length), ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
 _WORD_IDS: dict[str, WordIds] = {}

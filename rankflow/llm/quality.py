@@ -119,6 +119,16 @@ def kept(policy: Policy, failed: str | Column = "failed") -> Column:
     return failed.bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def passing(rows: DataFrame, policy: Policy) -> DataFrame:
+    """The ledger rows that pass a policy.
+
+    The number of the partition keeps the optimizer from moving the test below the
+    measurements, where it would repeat them inside one another.
+    """
+    seated = rows.withColumn("_seat", F.spark_partition_id())
+    return seated.filter(kept(policy) & (F.col("_seat") >= 0)).drop("_seat")
+
+
 def ablations(rows: DataFrame, policy: Policy, by: list[str] | None = None) -> DataFrame:
     """For each rule of a policy: how many rows fail it, fail only it, and are kept in all without it.
 

@@ -68,14 +68,14 @@ def fingerprint_of(texts: list[str]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed number."""
-    rows = docs.select(F.col(key).alias("doc_id"), present(text).alias("_text"))
+    """(doc_id, text_hash, fp) of every row; fp holds the 64 bits as a signed number."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(present(text)).alias("text_hash"), present(text).alias("_text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = fingerprint_of(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        fp = fingerprint_of(batch.column(2).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return map_rows(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_rows(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def _flips(bits: int) -> Column:
@@ -144,13 +144,32 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component's id is its smallest doc_id."""
+    """(doc_id, text_hash, fp, component_id, root) of every row; the component's id is its smallest doc_id."""
     rows = cut(fingerprints(docs, key, text), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
     placed = cut(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(cut(placed.join(ids, "root").select("fp", "component_id"), "ids"), "fp").select("doc_id", "fp", "component_id")
+    ids = cut(placed.join(ids, "root").select("fp", "component_id", "root"), "ids")
+    return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one with the smallest id.
+
+    Only texts of components with several rows move (and those that the sieve takes for them).
+    """
+    rows = cut(near_duplicates(docs, key, text), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    groups = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "groups")
+    several = rows.join(groups.filter("n > 1").select("root"), "root").select("text_hash")
+    ones = groups.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    hashed = docs.withColumn("_text_hash", F.xxhash64(present(text)))
+    several = cut(several, "several")
+    moved = touched(hashed, several, "_text_hash").drop("_residue")
+    moved = moved.join(ones, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    once = moved.dropDuplicates([key, "_text_hash"])
+    return touched(hashed, several, "_text_hash", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def hex_digits(fp: str = "fp") -> Column:

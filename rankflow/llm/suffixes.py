@@ -146,7 +146,7 @@ def _with_list(rows: DataFrame, stretches: DataFrame, how: str) -> DataFrame:
     lists = stretches.groupBy(*KEYS).agg(F.collect_list(F.struct(*fields)).alias("list"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "list")
     both = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), how)
-    return both.select(*KEYS, "text", "list")
+    return both.select(*rows.columns, "list")
 
 
 def _ranks(texts: DataFrame, step: int, length: int) -> DataFrame:
@@ -242,13 +242,12 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> str:
     return kept_bytes(raw, [inner(a, b) for a, b in spans]).decode()
 
 
-def _finish(docs: DataFrame, starts: DataFrame, work, schema: str) -> DataFrame:
+def _finish(rows: DataFrame, starts: DataFrame, work, schema: str) -> DataFrame:
     """Apply ``work`` to every text and the list of its repeated starts; untouched texts stay where they are."""
-    rows = keyed(docs)
     lists = cut(starts, "starts")
     hit = _with_list(touched(rows, lists, "text_hash"), lists, "left")
     none = F.lit(None).cast("array<struct<first:int,last:int>>").alias("list")
-    rest = touched(rows, lists, "text_hash", "left_anti").select(*KEYS, "text", none)
+    rest = touched(rows, lists, "text_hash", "left_anti").select("*", none)
     return map_rows(rest, work, schema).unionByName(map_rows(hit, work, schema))
 
 
@@ -257,7 +256,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for text, starts in zip(batch.column("text").to_pylist(), batch.column("list").to_pylist(), strict=True):
             raw, spans = text.encode(), spans_of(starts, length)
             out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()))
         kinds = [pa.int64()] * 3 + [pa.string()]
@@ -265,15 +264,22 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = f"doc_id {_arrow_kind(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _finish(docs, repeated_starts(docs, length), work, schema)
+    return _finish(keyed(docs), repeated_starts(docs, length), work, schema)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text_hash, kept): the hash of each text and what is left of it, whole characters only."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """All columns, the text without the characters that lie wholly in removed runs; a null text becomes empty."""
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.xxhash64(present(text)).alias("text_hash"), present(text).alias("text"),
+        F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"),
+    )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        pairs = zip(batch.column("text").to_pylist(), batch.column("list").to_pylist(), strict=True)
         kept = pa.array([kept_text(t, spans_of(starts, length)) for t, starts in pairs], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=[*KEYS, "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), kept], names=["row", "kept"])
 
-    return _finish(docs, repeated_starts(docs, length), work, f"doc_id {_arrow_kind(docs)}, text_hash long, kept string")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string"
+    starts = repeated_starts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), length)
+    done = _finish(rows, starts, work, schema)
+    return done.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns])
