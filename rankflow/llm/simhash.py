@@ -162,7 +162,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = cut(near_duplicates(docs, key, text), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     groups = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "groups")
-    several = rows.join(groups.filter("n > 1").select("root"), "root").select("text_hash")
+    several = rows.join(groups.filter("n > 1").select("root"), "root").select(F.col("text_hash").alias("_text_hash"))
     ones = groups.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64(present(text)))
     several = cut(several, "several")
