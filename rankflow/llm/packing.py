@@ -43,7 +43,7 @@ ODD = re.compile("[\x1c-\x1f]")
 #: A stop behind a letter without capitals, whose form no rule changes.
 STOP = "([a-z\u00e0-\u00f6\u00f8-\u00ff])([.,])"
 #: A worker forgets the ids of words once they have so many ids together.
-MEMO_IDS = 4_000_000
+MEMO_IDS = 1_500_000
 #: Combinations of each depth, and rounds of the solver.
 COMBINATIONS, ROUNDS = 4096, 400
 
