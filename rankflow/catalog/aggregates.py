@@ -428,3 +428,16 @@ def speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_of(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     return profiles.line_counts(lines, ["doc_id"])
+
+
+@query(
+    "median_missing_times",
+    f"""WITH runs AS (SELECT event_type, user_id, max(CASE WHEN user_id % 5 <> 0 THEN {cents("value")} END) AS slowest
+                      FROM events GROUP BY ALL)
+        SELECT event_type, median(slowest) AS median_elapsed, count(*) AS n_runs FROM runs GROUP BY event_type""",
+)
+def median_missing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians where a fifth of the runs has no time."""
+    elapsed = F.when(F.col("user_id") % 5 != 0, hundredths("value")).alias("elapsed")
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", elapsed)
+    return experiments.config_median(rows, ["event_type"], ["user_id"], "elapsed")

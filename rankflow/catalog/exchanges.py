@@ -14,21 +14,21 @@ from rankflow.operators.traces import match_messages, unmatched_endpoints
 from rankflow.plans import cut
 
 
-def sides(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Clicks as sends and purchases as receives."""
-    events = table(spark, sf_dir, "events")
+SENDS = ("click", "view", "signup")
+SQL_SENDS = f"event_type IN {SENDS}"
 
-    def pick(kind):
-        return events.filter(F.col("event_type") == kind).select("event_id", *columns)
 
-    return pick("click"), pick("purchase")
+def sides(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Every event has a side: clicks, views and signups are sends, purchases and errors receives."""
+    events = table(spark, sf_dir, "events").select("event_id", *columns, F.col("event_type").isin(*SENDS).alias("_send"))
+    return events.filter("_send").drop("_send"), events.filter("NOT _send").drop("_send")
 
 
 @query(
     "message_match",
-    """WITH n AS (SELECT user_id, event_type, event_id,
-                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq FROM events),
-        s AS (SELECT * FROM n WHERE event_type = 'click'), r AS (SELECT * FROM n WHERE event_type = 'purchase')
+    f"""WITH n AS (SELECT user_id, {SQL_SENDS} AS send, event_id,
+                  row_number() OVER (PARTITION BY user_id, {SQL_SENDS} ORDER BY event_id) AS seq FROM events),
+        s AS (SELECT * FROM n WHERE send), r AS (SELECT * FROM n WHERE NOT send)
        SELECT coalesce(s.user_id, r.user_id) AS user_id, coalesce(s.seq, r.seq) AS seq,
        s.event_id AS send_event_id, r.event_id AS recv_event_id,
        CASE WHEN r.event_id IS NULL THEN 'no_recv' WHEN s.event_id IS NULL THEN 'no_send' ELSE 'matched' END AS state
@@ -44,8 +44,8 @@ SQL_CHANNEL = "user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS tag"
 
 @query(
     "unmatched_endpoints",
-    f"""WITH s AS (SELECT {SQL_CHANNEL}, count(*) AS n_messages FROM events WHERE event_type = 'click' GROUP BY 1, 2),
-        r AS (SELECT {SQL_CHANNEL}, count(*) AS n_messages FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    f"""WITH s AS (SELECT {SQL_CHANNEL}, count(*) AS n_messages FROM events WHERE {SQL_SENDS} GROUP BY 1, 2),
+        r AS (SELECT {SQL_CHANNEL}, count(*) AS n_messages FROM events WHERE NOT {SQL_SENDS} GROUP BY 1, 2)
        SELECT *, 'send' AS side FROM s WHERE (user_id, tag) NOT IN (SELECT (user_id, tag) FROM r)
        UNION ALL SELECT *, 'recv' AS side FROM r WHERE (user_id, tag) NOT IN (SELECT (user_id, tag) FROM s)""",
 )

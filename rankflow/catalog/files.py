@@ -40,10 +40,10 @@ def rank_stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rank_stats_union",
     f"""SELECT event_type AS hostname, user_id AS thread_rank, count(*) AS n,
-       CAST(sum(CASE WHEN event_type = 'click' THEN {cents("value")} END) AS BIGINT) AS cycles,
-       CAST(sum(CASE WHEN event_type = 'view' THEN {cents("value")} * 10 END) AS BIGINT) AS ns,
-       CAST(sum(CASE WHEN event_type = 'view' THEN {K} * 4096 END) AS BIGINT) AS footprint
-       FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type, user_id""",
+       CAST(sum(CASE WHEN event_type NOT IN ('view', 'signup') THEN {cents("value")} END) AS BIGINT) AS cycles,
+       CAST(sum(CASE WHEN event_type IN ('view', 'signup') THEN {cents("value")} * 10 END) AS BIGINT) AS ns,
+       CAST(sum(CASE WHEN event_type IN ('view', 'signup') THEN {K} * 4096 END) AS BIGINT) AS footprint
+       FROM events GROUP BY event_type, user_id""",
 )
 def rank_stats_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", PROPS)["k"])
@@ -52,11 +52,11 @@ def rank_stats_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     ns = stats.document_json({
         **common, "elapsed_ns_monotonic": hundredths("value") * 10, "memory_footprint_bytes": F.col("k") * 4096
     })
-    clicks = events.filter("event_type = 'click'").select(cycles.alias("doc"))
-    views = events.filter("event_type = 'view'").select(ns.alias("doc"))
+    by_cycles = events.filter("event_type NOT IN ('view', 'signup')").select(cycles.alias("doc"))
+    by_ns = events.filter("event_type IN ('view', 'signup')").select(ns.alias("doc"))
     both = stats.union_layouts(
-        stats.parse_rank_stats(clicks, "doc", schemas.rank_stats_cycles("job_"), "job_"),
-        stats.parse_rank_stats(views, "doc", schemas.rank_stats_ns("job_"), "job_"),
+        stats.parse_rank_stats(by_cycles, "doc", schemas.rank_stats_cycles("job_"), "job_"),
+        stats.parse_rank_stats(by_ns, "doc", schemas.rank_stats_ns("job_"), "job_"),
     )
     return both.groupBy("hostname", F.col("thread_rank").cast("bigint").alias("thread_rank")).agg(
         F.count(F.lit(1)).alias("n"),

@@ -84,10 +84,10 @@ def interval_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "thread_names",
     """SELECT c_custkey, CAST(regexp_extract(c_name, '#0*([0-9]+)$', 1) AS BIGINT) AS name_number,
-       CAST(c_custkey % 10000 AS INT) AS rank, c_nationkey AS process, CAST(c_custkey % 16 AS INT) AS thread FROM customer""",
+       CAST(c_custkey AS INT) AS rank, c_nationkey AS process, CAST(c_custkey % 16 AS INT) AS thread FROM customer""",
 )
 def thread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = thread_name(F.col("c_custkey") % 10000, F.col("c_nationkey"), F.col("c_custkey") % 16)
+    name = thread_name(F.col("c_custkey"), F.col("c_nationkey"), F.col("c_custkey") % 16)
     fields = thread_fields(name)
     return table(spark, sf_dir, "customer").select(
         "c_custkey",

@@ -74,12 +74,10 @@ def known_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unknown_symbols",
-    """SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN
-       (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
 )
 def unknown_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    known = urgent.select(F.col("o_custkey").alias("c_custkey")).distinct()
+    known = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(known, "c_custkey", "left_anti")
 
 

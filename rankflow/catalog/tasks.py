@@ -74,7 +74,7 @@ def chunk_reduce_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_reduce_python_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value")
     chunked = with_chunks(events, "event_id", events.agg(F.count(F.lit(1))).scalar(), CHUNKS)
-    return chunk_reduce_python(chunked, lambda rows: float((rows["value"] * 2).max()), "max")
+    return chunk_reduce_python(chunked, lambda rows: (float((rows["value"] * 2).max()),), ["max"], lambda most: most, "max")
 
 
 @query(

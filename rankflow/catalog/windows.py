@@ -13,7 +13,7 @@ from rankflow.operators.experiments import newest
 from rankflow.operators.scans import scan_exclusive, scan_inclusive
 from rankflow.operators.stencil import stencil_arrays, stencil_rows
 from rankflow.operators.traces import counter_delta
-from rankflow.plans import previous_value
+from rankflow.plans import previous_value, row_number, running_sum
 
 SQL_PRICE = cents("o_totalprice")
 
@@ -206,3 +206,50 @@ def counter_delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("start"))
     return timers.order_intervals(rows, "user_id", "start", "event_id").select("event_id", "user_id", "place")
+
+
+# Every seventh event has no key.
+SQL_NULL_KEYS = "SELECT event_id, user_id, nullif(event_id % 7, 3) AS k, CAST(round(value * 100) AS BIGINT) AS v FROM events"
+SQL_NULLS_FIRST = "ORDER BY k NULLS FIRST, event_id"
+
+
+def null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.nullif(F.col("event_id") % 7, F.lit(3)).alias("k"), hundredths("value").alias("v"))
+
+
+@query(
+    "null_keys_table",
+    f"""SELECT event_id, row_number() OVER w AS place, CAST(sum(v) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix,
+        lag(event_id) OVER w AS before FROM ({SQL_NULL_KEYS}) WINDOW w AS ({SQL_NULLS_FIRST})""",
+)
+def null_keys_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering, prefix sums and previous values over the whole table, some keys null."""
+    out = row_number(null_keys(spark, sf_dir), [], ["k", "event_id"], "place")
+    out = running_sum(out, [], ["k", "event_id"], {"prefix": "v"})
+    return previous_value(out, [], ["k", "event_id"], {"before": "event_id"}).select("event_id", "place", "prefix", "before")
+
+
+@query(
+    "null_keys_groups",
+    f"""SELECT event_id, row_number() OVER w AS place, CAST(sum(v) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix,
+        lag(event_id) OVER w AS before FROM ({SQL_NULL_KEYS}) WINDOW w AS (PARTITION BY user_id {SQL_NULLS_FIRST})""",
+)
+def null_keys_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by user, groups of more than 20 rows being split."""
+    few = {"group_rows": 20}
+    out = row_number(null_keys(spark, sf_dir), ["user_id"], ["k", "event_id"], "place", **few)
+    out = running_sum(out, ["user_id"], ["k", "event_id"], {"prefix": "v"}, **few)
+    out = previous_value(out, ["user_id"], ["k", "event_id"], {"before": "event_id"}, **few)
+    return out.select("event_id", "place", "prefix", "before")
+
+
+@query(
+    "newest_many",
+    """SELECT event_type, event_id, place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type
+       ORDER BY nullif(event_id // 3, 5) DESC NULLS LAST, event_id DESC) AS place FROM events) WHERE place <= 1001""",
+)
+def newest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamped = table(spark, sf_dir, "events").select(
+        "event_type", "event_id", F.nullif(F.expr("event_id div 3"), F.lit(5).cast("bigint")).alias("stamp"))
+    return newest(stamped, ["event_type"], "stamp", "event_id", 1001, group_rows=500).select("event_type", "event_id", "place")

@@ -70,15 +70,19 @@ def config_median(df: DataFrame, config: list[str], run: list[str], elapsed: str
     """Median over a configuration's runs of each run's slowest rank; ``elapsed`` is a whole number.
 
     The middle places are picked by number, so a configuration may have any
-    number of runs.
+    number of runs.  Runs without a time count in ``n_runs`` only; a
+    configuration without any time has a null median.
     """
     slowest = df.groupBy(*config, *run).agg(F.max(elapsed).alias("_slowest"))
     runs = cut(slowest.withColumn("_tie", F.xxhash64(*run)), "runs")
-    counted = row_number(runs, config, ["_slowest", "_tie"], "_place", total="n_runs", **limits)
-    low = F.call_function("div", F.col("n_runs") + 1, F.lit(2))
-    high = F.call_function("div", F.col("n_runs") + 2, F.lit(2))
+    timed = runs.filter(F.col("_slowest").isNotNull())
+    counted = row_number(timed, config, ["_slowest", "_tie"], "_place", total="_timed", **limits)
+    low = F.call_function("div", F.col("_timed") + 1, F.lit(2))
+    high = F.call_function("div", F.col("_timed") + 2, F.lit(2))
     middle = counted.filter(F.col("_place").between(low, high))
-    return middle.groupBy(*config).agg(F.avg("_slowest").alias("median_elapsed"), F.max("n_runs").alias("n_runs"))
+    medians = middle.groupBy(*config).agg(F.avg("_slowest").alias("median_elapsed"))
+    counts = runs.groupBy(*config).agg(F.count(F.lit(1)).alias("n_runs"))
+    return attach(counts, medians, config).select(*config, "median_elapsed", "n_runs")
 
 
 def speed_up(medians: DataFrame, config: list[str], variant: str, baseline: str, tested: str, elapsed: str) -> DataFrame:
@@ -107,9 +111,11 @@ def newest(df: DataFrame, group: list[str], stamp: str, tie: str, n: int, **limi
     does so for small ``n`` only; beyond that, large groups are split.
     """
     if n > WINDOW_LIMIT:
-        back = df.withColumns({"_stamp": -F.col(stamp), "_tie": -F.col(tie)})
-        placed = row_number(back, group, ["_stamp", "_tie"], "place", **limits)
-        return placed.filter(F.col("place") <= n).drop("_stamp", "_tie")
+        # Descending, nulls last, as below.
+        keys = {f"_{i}{part}": c for i, name in enumerate((stamp, tie)) for part, c in
+                (("null", F.col(name).isNull().cast("bigint")), ("back", -F.col(name).cast("bigint")))}
+        placed = row_number(df.withColumns(keys), group, list(keys), "place", **limits)
+        return placed.filter(F.col("place") <= n).drop(*keys)
     window = Window.partitionBy(*group).orderBy(F.desc(stamp), F.desc(tie))
     placed = df.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= n)
     return placed.withColumn("place", F.col("place").cast("bigint"))

@@ -228,5 +228,7 @@ def coincidences(
 
 
 def coincidence_matrix(pairs: DataFrame, symbols: list[str]) -> DataFrame:
-    """One column per symbol, 0 where two never coincide."""
+    """One column per symbol, 0 where two never coincide; a symbol that is not listed is an error."""
+    unlisted = F.raise_error(F.concat(F.lit("symbol not listed: "), F.col("symbol"))).cast("string")
+    pairs = pairs.withColumn("symbol", F.when(F.col("symbol").isin(symbols), F.col("symbol")).otherwise(unlisted))
     return pairs.groupBy("wait_symbol").pivot("symbol", symbols).agg(F.sum("n")).fillna(0, symbols)

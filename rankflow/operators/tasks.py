@@ -68,21 +68,32 @@ def chunk_reduce(
     return parts.agg(F.reduce(checked, identity, merge).alias(name), F.count(F.lit(1)).alias("n_chunks"))
 
 
-def chunk_reduce_python(chunked: DataFrame, task: Callable, op: str, name: str = "result") -> DataFrame:
+def chunk_reduce_python(
+    chunked: DataFrame,
+    partial: Callable,
+    merge: list[str],
+    finish: Callable[..., Column],
+    op: str,
+    name: str = "result",
+) -> DataFrame:
     """A returning task written in Python.
 
-    ``task`` turns a pandas frame of one chunk's rows into a float; a chunk may
-    come in several frames.  Their values meet in ``op`` (sum, min, max or
-    prod), which like every reducer has to be associative.
+    ``partial`` turns a pandas frame of rows of one chunk into as many floats as
+    ``merge`` names reducers (sum, min, max or prod).  A chunk may come in several
+    frames; their floats meet in those reducers, and ``finish`` makes the chunk's
+    value of them, so that it does not matter how rows were cut into frames.
+    The chunks' values meet in ``op``.
     """
+    fields = [f"_p{i}" for i in range(len(merge))]
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            parts = [(chunk, task(rows)) for chunk, rows in batch.groupby("chunk_id")]
-            yield pd.DataFrame(parts, columns=["chunk_id", "_part"])
+            parts = [(chunk, *partial(rows)) for chunk, rows in batch.groupby("chunk_id")]
+            yield pd.DataFrame(parts, columns=["chunk_id", *fields])
 
-    parts = chunked.mapInPandas(run, "chunk_id bigint, _part double")
-    chunks = parts.groupBy("chunk_id").agg(OPS[op](F.col("_part")).alias("_part"))
+    parts = chunked.mapInPandas(run, "chunk_id bigint, " + ", ".join(f"{f} double" for f in fields))
+    merged = parts.groupBy("chunk_id").agg(*[OPS[m](F.col(f)).alias(f) for m, f in zip(merge, fields)])
+    chunks = merged.select("chunk_id", finish(*map(F.col, fields)).alias("_part"))
     return chunks.agg(OPS[op](F.col("_part")).alias(name), F.count(F.lit(1)).alias("n_chunks"))
 
 

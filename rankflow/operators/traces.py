@@ -91,7 +91,11 @@ def channel_mix(channels: DataFrame, by: list[str], channel_type: str) -> DataFr
 
 
 def steal_share(chunks: DataFrame, task: list[str], executor: str, owner: str, ranks: list[int]) -> DataFrame:
-    """Chunks run by other ranks than the owner, of all chunks, and one column per rank."""
+    """Chunks run by other ranks than the owner, of all chunks, and one column per rank; other ranks are an error."""
+    unlisted = F.raise_error(F.concat(F.lit("rank not listed: "), F.col(executor).cast("string")))
+    known = F.when(F.col(executor).isNull() | F.col(executor).isin(ranks), F.col(executor))
+    kind = chunks.schema[executor].dataType
+    chunks = chunks.withColumn(executor, known.otherwise(unlisted.cast(kind)))
     stolen = F.count_if(F.col(executor) != F.col(owner))
     counts = chunks.groupBy(*task).agg(
         stolen.alias("steals"),

@@ -8,7 +8,7 @@ totals are scanned in small windows (at most ``2**FAN_BITS`` rows each) and
 added to the local results.  ``order`` must be unique inside a group and
 integral: any distribution of keys then ends in pieces of bounded size, and the
 piece is a function of the row alone, so a retried task agrees with the first
-run.
+run.  Null keys come first, as in a window, in a piece of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FAN_BITS = 14
 LEAST_BITS = 10
 # A table that would fit one window is still given a few tasks.
 SMALL_TABLE_BITS = 3
+# The piece of null keys; sorts before all others.
+NULL_PIECE = -(1 << 63)
 
 
 @dataclass
@@ -70,7 +72,7 @@ def split_groups(
         while True:
             rows = out.df.filter("_open") if "_open" in out.df.columns else out.df
             stats = rows.groupBy(*out.groups).agg(
-                F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi")
+                F.count(F.lit(1)).alias("_n"), F.count(key).alias("_keys"), F.min(key).alias("_lo"), F.max(key).alias("_hi")
             )
             large = _large_groups(stats, group_rows, whole=not out.groups)
             seen = large.agg(F.max("_n").alias("n"), F.max("_shift").alias("shift")).first()
@@ -96,6 +98,8 @@ def _large_groups(stats: DataFrame, group_rows: int, whole: bool) -> DataFrame:
         wanted = F.when(F.col("_n") <= group_rows, SMALL_TABLE_BITS).otherwise(wanted)
     differ = F.col("_lo").cast("bigint").bitwiseXOR(F.col("_hi").cast("bigint"))
     shift = F.when(differ != 0, F.greatest(bits(differ) - wanted, F.lit(0)))
+    # Where all keys that are not null are equal, nulls still have to be told apart from them.
+    shift = F.coalesce(shift, F.when((F.col("_keys") > 0) & (F.col("_keys") < F.col("_n")), F.lit(0)))
     # A table without groups is one group and always split.
     large = stats.filter(F.col("_n") > (0 if whole else group_rows)).withColumn("_shift", shift)
     return large if whole else cut(large, "large")
@@ -107,10 +111,11 @@ def _add_split(out: OrderedGroups, large: DataFrame, key: str, shift: int) -> No
     if out.groups:
         flags = large.select(*out.groups, F.lit(True).alias("_large"), "_shift")
         marked = null_safe(out.df.drop("_open"), flags, out.groups)
-        piece = F.call_function("shiftright", at, F.col("_shift"))
+        piece = F.when(F.col("_large"), F.coalesce(F.call_function("shiftright", at, F.col("_shift")), F.lit(NULL_PIECE)))
         out.df = marked.withColumns({name: piece, "_open": F.coalesce("_large", F.lit(False))}).drop("_large", "_shift")
     else:
-        out.df = out.df.withColumns({name: F.shiftright(at, shift), "_open": F.lit(True)})
+        piece = F.coalesce(F.shiftright(at, shift), F.lit(NULL_PIECE))
+        out.df = out.df.withColumns({name: piece, "_open": F.lit(True)})
     out.splits.append(name)
 
 

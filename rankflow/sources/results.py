@@ -23,14 +23,18 @@ def read_results(
 
 
 def counter_rows(lines: DataFrame, position: str, line: str, names: list[str]) -> DataFrame:
-    """Counter lines to ``(event, value)``: the first field is the value, the line's place names it."""
+    """Counter lines to ``(event, value)``: the first field is the value, the line's place names it.
+
+    Empty lines are skipped; a counter beyond the names is an error.
+    """
+    surplus = F.raise_error(F.concat(F.lit("counter without a name: "), F.col(line))).cast("string")
     labels = F.array(*[F.lit(n) for n in names])
     keep = [c for c in lines.columns if c not in (position, line)]
-    return lines.select(
+    return lines.filter(F.trim(line) != "").select(
         *keep,
-        F.get(labels, F.col(position).cast("int")).alias("event"),
+        F.coalesce(F.get(labels, F.col(position).cast("int")), surplus).alias("event"),
         F.get(F.split(line, ";"), F.lit(0)).try_cast("bigint").alias("value"),
-    ).filter(F.col("event").isNotNull())
+    )
 
 
 def read_counters(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,15 @@ def union_layouts(cycles: DataFrame, ns: DataFrame) -> DataFrame:
 
 
 def custom_timers_long(df: DataFrame, keep: list[str], measure: str = "elapsed_cycles") -> DataFrame:
-    """Wide ``customN_*`` pairs to rows ``(timer_index, timer_name, elapsed)``."""
+    """Wide ``customN_*`` pairs to rows ``(timer_index, timer_name, elapsed)``, whatever numbers the columns have."""
+    numbers = sorted(int(m[1]) for m in map(re.compile(r"custom(\d+)_timer_name").fullmatch, df.columns) if m)
     pairs = [
         F.struct(
             F.lit(i).alias("timer_index"),
             F.col(f"custom{i}_timer_name").alias("timer_name"),
             F.col(f"custom{i}_{measure}").alias("elapsed"),
         )
-        for i in range(schemas.CUSTOM_TIMERS)
-        if f"custom{i}_timer_name" in df.columns
+        for i in numbers
     ]
     rows = df.select(*keep, F.explode(F.array(*pairs)).alias("_t"))
     return rows.select(*keep, "_t.*").filter(F.col("timer_name").isNotNull())

@@ -41,12 +41,14 @@ def read_wait_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunk_log(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk log; everything after ``max_idx`` is the backtrace."""
+    """Chunk log; everything after ``max_idx`` is the backtrace, and a row with too few fields an error."""
     names = schemas.CHUNK_LOG.fieldNames()
     parts = F.split("value", "\t", len(names) + 1)
     rows = spark.read.text(path).select(parts.alias("p")).filter(F.get("p", F.lit(0)) != "executing rank")
     columns = [F.get("p", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schemas.CHUNK_LOG)]
-    return rows.filter(F.size("p") >= len(names)).select(*columns, F.get("p", F.lit(len(names))).alias("backtrace"))
+    short = F.raise_error(F.concat(F.lit("short chunk row: "), F.array_join("p", " "))).cast("boolean")
+    rows = rows.filter(F.array_join("p", "") != "").filter(F.when(F.size("p") >= len(names), F.lit(True)).otherwise(short))
+    return rows.select(*columns, F.get("p", F.lit(len(names))).alias("backtrace"))
 
 
 def row_is_good() -> Column:

@@ -19,9 +19,6 @@ from rankflow.operators.experiments import completeness, minutes_left, progress
 from rankflow.plans import new_path
 
 
-# Fixed value: looks at the output folder before giving up.
-TRIES = 60
-
 
 def open_table(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """Parquet files as a stream; a single file must be named by a glob such as ``{name}.parquet``."""
@@ -131,20 +128,18 @@ def gate_late(
     expected: DataFrame,
     job: str,
     want: str,
-    tries: int = TRIES,
     name: str = "late",
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that arrive before and after the gate, and the jobs' completeness at the gate.
 
-    A row is on time when ``gate`` holds and it comes within the first
-    ``tries`` batches, which stand for the looks at the output folder.
-    Returns the status of every job and the late rows.
+    A row is on time when ``gate``, which reads its event time, holds; in which
+    batch it came does not matter.  Returns the status of every job and the late rows.
     """
     spark = stream.sparkSession
     out = new_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        flagged = batch.withColumn("on_time", gate & F.lit(batch_id < tries))
+        flagged = batch.withColumn("on_time", gate)
         flagged.write.mode("overwrite").partitionBy("on_time").parquet(f"{out}/batch={batch_id}")
 
     _without_rows(spark, f"{out}/batch=-1/on_time=false", stream.schema)
