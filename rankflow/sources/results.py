@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow import schemas
+from rankflow.sources.headed import read_by_name
 from rankflow.sources.stats import _plain
 
 
@@ -46,10 +47,11 @@ def read_counters(spark: SparkSession, path: str, names: list[str]) -> DataFrame
 
 
 def read_csvs(spark: SparkSession, path: str, schema: T.StructType | str, file_regex: str | None = None) -> DataFrame:
-    """All CSV files of a directory whose path matches, row-bound; no file is an error."""
-    df = spark.read.csv(path, schema=schema, header=True, pathGlobFilter="*.csv")
+    """All CSV files of a directory whose path matches, bound by their headers; no file is an error."""
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    df = read_by_name(spark, path, kinds, pathGlobFilter="*.csv")
     if file_regex is not None:
-        df = df.filter(F.col("_metadata.file_path").rlike(file_regex))
+        df = df.filter(F.col("_file").rlike(file_regex))
     if df.isEmpty():
         raise FileNotFoundError(f"no rows in CSV files below {path} matching {file_regex}")
-    return df
+    return df.drop("_file")

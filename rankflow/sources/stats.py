@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow import schemas
+from rankflow.sources.headed import read_by_name
 
 CREATED_AT = "yyyy-MM-dd.HH:mm:ss"
 
@@ -68,9 +69,9 @@ def document_json(row: dict[str, Column]) -> Column:
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """Timer intervals in cycles."""
-    return spark.read.csv(path, schema=schemas.TIMER_INTERVALS_CYCLES, header=True)
+    return read_by_name(spark, path, schemas.TIMER_INTERVALS_CYCLES).drop("_file")
 
 
 def read_intervals_ns(spark: SparkSession, path: str) -> DataFrame:
     """Timer intervals in nanoseconds."""
-    return spark.read.csv(path, schema=schemas.TIMER_INTERVALS_NS, header=True)
+    return read_by_name(spark, path, schemas.TIMER_INTERVALS_NS).drop("_file")

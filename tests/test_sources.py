@@ -44,7 +44,8 @@ def test_intervals(spark, write):
         "3,send,10,30,20,-1,0,0x1,2,1000\n3,send,40,45,5,2,1,0x1,2,1000\n"))
     df = stats.read_intervals(spark, path)
     assert df.agg(F.sum("duration_cycles")).first()[0] == 25
-    path = write("j/r3_all_timers.csv", "a,b,c,d,e,f,g,h,i,j\n3,send,10,30,20,-1,0,2,5,6\n")
+    names = ",".join(schemas.TIMER_INTERVALS_NS.fieldNames())
+    path = write("j/r3_all_timers.csv", f"{names}\n3,send,10,30,20,-1,0,2,5,6\n")
     assert stats.read_intervals_ns(spark, path).first().program_origin_nsec == 6
 
 
@@ -184,3 +185,34 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "all")).count() == 4
     sinks.write_combined(df, str(tmp_path / "both"))
     assert list((tmp_path / "both" / "tsv_bz2").glob("*.bz2"))
+
+
+def test_csv_files_bind_by_header(spark, write):
+    from rankflow.sources.results import read_csvs
+
+    write("c/one.csv", "a,b\n1,x\n2,y\n")
+    path = write("c/two.csv", "b,a\nz,3\n")
+    got = read_csvs(spark, path, "a int, b string")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    write("d/bad.csv", "a,c\n1,x\n")
+    with pytest.raises(ValueError, match="columns"):
+        read_csvs(spark, write("d/good.csv", "a,b\n1,x\n"), "a int, b string")
+    with pytest.raises(Exception, match="MALFORMED|malformed|CANNOT_PARSE|Malformed"):
+        read_csvs(spark, write("e/row.csv", "a,b\nnone,x\n"), "a int, b string").collect()
+
+
+def test_surplus_counters_and_short_chunk_rows_fail(spark, write):
+    from rankflow.sources import results, traces
+
+    path = write("k/one.txt", "1;;cycles\n2;;branches\n3;;faults\n")
+    with pytest.raises(Exception, match="counter without a name"):
+        results.read_counters(spark, path, ["cycles", "branches"]).collect()
+    with pytest.raises(Exception, match="short chunk row"):
+        traces.read_chunk_log(spark, write("l/log.tsv", "1\tOWNER\t2\n")).collect()
+
+
+def test_timers_of_any_number(spark):
+    from rankflow.sources import stats
+
+    df = spark.createDataFrame([(0, "t", 5)], "thread_rank int, custom31_timer_name string, custom31_elapsed_cycles bigint")
+    assert [tuple(r) for r in stats.custom_timers_long(df, ["thread_rank"]).collect()] == [(0, 31, "t", 5)]
