@@ -34,7 +34,8 @@ def read_by_name(spark: SparkSession, path: str | list[str], schema: T.StructTyp
             raise ValueError(f"{files[0]}: columns {names}, wanted {schema.fieldNames()}")
         own = T.StructType([schema[name] for name in names + folders])
         base = {"basePath": path} if folders else {}
-        read = spark.read.csv(list(map(unquote, files)), schema=own, header=True, sep=sep, mode="FAILFAST", **base, **options)
+        read = spark.read.options(**base).csv(
+            list(map(unquote, files)), schema=own, header=True, sep=sep, mode="FAILFAST", **options)
         parts.append(read.select(*[F.col(f"`{n}`") for n in schema.fieldNames()], F.col("_metadata.file_path").alias("_file")))
     if not parts:
         return spark.createDataFrame([], T.StructType([*schema, T.StructField("_file", T.StringType())]))
