@@ -60,7 +60,7 @@ def stencil_rows(
 ) -> DataFrame:
     """``a[i] = (t[i-1] + t[i] + t[i+1]) / 3`` with ``t = work(a)``; both ends keep their value.
 
-    Positions are dense inside a line.
+    A row next to a gap in the positions is an end.
     """
     line = line or []
     window = Window.partitionBy(*line, "_bucket").orderBy(position)
@@ -70,7 +70,8 @@ def stencil_rows(
         rows = with_halo(df, position, steps, bits)
         for _ in range(steps):
             rows = rows.withColumn("_t", work(F.col(value)))
-            low, high = F.lag("_t").over(window), F.lead("_t").over(window)
+            low = F.when(F.lag(position).over(window) == F.col(position) - 1, F.lag("_t").over(window))
+            high = F.when(F.lead(position).over(window) == F.col(position) + 1, F.lead("_t").over(window))
             rows = rows.withColumns({"_low": low, "_high": high})
             inside = F.col("_low").isNotNull() & F.col("_high").isNotNull()
             average = (F.col("_low") + F.col("_t") + F.col("_high")) / 3.0
@@ -92,8 +93,15 @@ def stencil_arrays(
     bits: int = BUCKET_BITS,
     halo: int = MAX_HALO,
 ) -> DataFrame:
-    """The same stencil over rank buffers laid end to end; buffers hold at least ``halo`` elements."""
+    """The same stencil over rank buffers laid end to end; a missing rank ends the line.
+
+    A round takes at most as many steps as the shortest buffer has elements; empty buffers are an error.
+    """
     line = line or []
+    shortest = df.agg(F.min(F.size(buffer))).first()[0]
+    if shortest is not None and shortest < 1:
+        raise ValueError("an empty or missing buffer")
+    halo = min(halo, shortest or halo)
     window = Window.partitionBy(*line, "_bucket").orderBy(rank)
     left = iterations
     while left > 0:
@@ -107,8 +115,8 @@ def stencil_arrays(
         })
         nothing = F.array().cast("array<double>")
         rows = rows.withColumns({
-            "_low": F.coalesce(F.lag("_tail").over(window), nothing),
-            "_high": F.coalesce(F.lead("_head").over(window), nothing),
+            "_low": F.coalesce(F.when(F.lag(rank).over(window) == F.col(rank) - 1, F.lag("_tail").over(window)), nothing),
+            "_high": F.coalesce(F.when(F.lead(rank).over(window) == F.col(rank) + 1, F.lead("_head").over(window)), nothing),
         }).filter("_own")
         whole = F.concat("_low", F.col(buffer), "_high")
         done = F.reduce(F.sequence(F.lit(1), F.lit(steps)), whole, lambda t, _: _step(t, work))

@@ -287,3 +287,57 @@ def test_newest(spark):
     many = spark.range(3000).selectExpr("id % 2 AS g", "id div 7 AS stamp", "id")
     got = experiments.newest(many, ["g"], "stamp", "id", 1200, group_rows=200)
     assert got.agg(F.count("*"), F.min("id"), F.max("place")).first() == (2400, 600, 1200)
+
+
+def test_stencil_with_gaps_does_not_depend_on_buckets(spark):
+    from rankflow.operators.stencil import stencil_rows
+
+    df = spark.createDataFrame([(i, float(i * i % 7)) for i in range(30) if i not in (9, 16, 17)], "p bigint, a double")
+    results = [
+        {r.p: round(r.a, 9) for r in stencil_rows(df, "p", "a", 5, bits=bits, halo=2).collect()} for bits in (1, 3, 14)
+    ]
+    assert results[0] == results[1] == results[2]
+    a = {r.p: r.a for r in df.collect()}
+    for _ in range(5):
+        a = {p: (a[p - 1] + x + a[p + 1]) / 3 if p - 1 in a and p + 1 in a else x for p, x in a.items()}
+    assert results[2] == {p: round(x, 9) for p, x in a.items()}
+
+
+def test_stencil_over_short_buffers(spark):
+    from rankflow.operators.stencil import stencil_arrays
+
+    values = [float(i * i % 11) for i in range(24)]
+    df = spark.createDataFrame([(r, values[4 * r : 4 * r + 4]) for r in range(6)], "r bigint, b array<double>")
+    got = [x for r in stencil_arrays(df, "r", "b", 10).orderBy("r").collect() for x in r.b]
+    for _ in range(10):
+        values = [values[0], *((values[i - 1] + values[i] + values[i + 1]) / 3 for i in range(1, 23)), values[-1]]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(got, values)) and len(got) == 24
+    with pytest.raises(ValueError, match="buffer"):
+        stencil_arrays(df.withColumn("b", F.array().cast("array<double>")), "r", "b", 1)
+
+
+def test_median_ignores_runs_without_a_time(spark):
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate([10, 20, 30, None])] + [("d", 0, None)], "config string, run int, e bigint")
+    out = experiments.config_median(df, ["config"], ["run"], "e")
+    assert as_set(out) == {("c", 20.0, 4), ("d", None, 1)}
+
+
+def test_unlisted_ranks_and_symbols_fail(spark):
+    chunks = spark.createDataFrame([("t", 0, 0), ("t", 5, 0)], "task string, x bigint, o bigint")
+    with pytest.raises(Exception, match="rank not listed"):
+        traces.steal_share(chunks, ["task"], "x", "o", [0, 1]).collect()
+    pairs = spark.createDataFrame([("w", "s", 5)], "wait_symbol string, symbol string, n bigint")
+    with pytest.raises(Exception, match="symbol not listed"):
+        profiles.coincidence_matrix(pairs, ["a"]).collect()
+
+
+@pytest.mark.parametrize("batch", ["10", "10000"])
+def test_python_chunks_may_come_in_pieces(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        chunked = spark.range(0, 100, 1, 1).selectExpr("id div 50 AS chunk_id", "double(id) AS v")
+        out = tasks.chunk_reduce_python(
+            chunked, lambda rows: (float(rows["v"].min()), float(rows["v"].max())), ["min", "max"], lambda low, high: high - low, "sum")
+        assert tuple(out.first()) == (98.0, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -116,3 +116,20 @@ def test_inclusive_less_value_is_exclusive(spark):
     df = spark.range(0, 3000, 7).selectExpr("id", "(id * 37) % 101 - 50 AS v")
     both = running_sum(running_sum(df, [], ["id"], {"i": "v"}), [], ["id"], {"e": "v"}, inclusive=False, group_rows=40)
     assert both.filter("i - v <> e").count() == 0
+
+
+@pytest.mark.parametrize("limit", [5, 1_000_000])
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_null_keys_come_first(spark, limit, group):
+    rows = [(i % 2, None if i % 5 == 0 else i % 3, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, k int, v bigint")
+    out = row_number(df, group, ["k", "v"], "place", group_rows=limit)
+    out = running_sum(out, group, ["k", "v"], {"prefix": "v"}, group_rows=limit)
+    out = previous_value(out, group, ["k", "v"], {"before": "v"}, group_rows=limit)
+    got = {r.v: (r.place, r.prefix, r.before) for r in out.collect()}
+    for g in (0, 1) if group else (None,):
+        mine = sorted((r for r in rows if g is None or r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        total = 0
+        for at, r in enumerate(mine):
+            total += r[2]
+            assert got[r[2]] == (at + 1, total, mine[at - 1][2] if at else None)
