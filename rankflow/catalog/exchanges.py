@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankflow.catalog.registry import cents, query, sql_div, table
 from rankflow.functions.ratios import hundredths
-from rankflow.operators.collectives import all_to_all, broadcast_root, split, to_elements, translate
+from rankflow.operators.collectives import all_to_all, broadcast_lowest, split, to_elements, translate
 from rankflow.operators.experiments import chunked_channel, parameter_grid, star, with_common_values
 from rankflow.operators.stencil import neighbours
 from rankflow.operators.traces import match_messages, unmatched_endpoints
@@ -99,8 +99,8 @@ def all_to_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                              FROM customer GROUP BY c_nationkey) r USING (c_nationkey)""",
 )
 def bcast_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = split(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_custkey")
-    out = broadcast_root(ranks, ["c_nationkey"], F.col("new_rank") == 0, ["c_custkey", "c_acctbal"])
+    ranks = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    out = broadcast_lowest(ranks, ["c_nationkey"], "c_custkey", ["c_custkey", "c_acctbal"])
     return out.select("c_custkey", "c_nationkey", "root_c_custkey", "root_c_acctbal")
 
 

@@ -68,6 +68,15 @@ def broadcast_root(
     return attach(df, root, comm)
 
 
+def broadcast_lowest(df: DataFrame, comm: list[str], rank: str, buffer: list[str], prefix: str = "root_") -> DataFrame:
+    """Every rank gets the buffer columns of its communicator's lowest rank (rank 0 after a split).
+
+    One aggregate, combined before the shuffle, finds it; nobody has to be numbered.
+    """
+    lowest = df.groupBy(*comm).agg(F.min_by(F.struct(*buffer), rank).alias("_root"))
+    return attach(df, lowest.select(*comm, *[F.col(f"_root.{c}").alias(f"{prefix}{c}") for c in buffer]), comm)
+
+
 def all_to_all(df: DataFrame, block: int, rank: str = "rank", idx: str = "idx") -> DataFrame:
     """Block ``i`` of rank ``r`` becomes block ``r`` of rank ``i``.
 

@@ -14,18 +14,20 @@ def match_messages(
 ) -> DataFrame:
     """Pair the nth send with the nth receive of each channel; leftovers keep a null other side.
 
-    The join key includes the running number, so a busy channel spreads over all tasks.
+    Both sides are numbered together, and the running number is part of the key on which they
+    meet, so a busy channel spreads over all tasks.  A null channel is a channel too.
     """
-    send = row_number(sends, channel, order, "seq", **limits)
-    recv = row_number(recvs, channel, order, "seq", **limits)
-
-    def side(df: DataFrame, label: str) -> DataFrame:
-        kept = [F.col(c).alias(f"{label}_{c}") for c in columns]
-        return df.select(*channel, "seq", *kept, F.lit(True).alias(f"_{label}"))
-
-    both = side(send, "send").join(side(recv, "recv"), [*channel, "seq"], "full_outer")
+    used = list(dict.fromkeys([*channel, *order, *columns]))
+    rows = sends.select(*used, F.lit(True).alias("_sent")).unionByName(recvs.select(*used, F.lit(False).alias("_sent")))
+    numbered = row_number(rows, [*channel, "_sent"], order, "seq", **limits)
+    row = F.struct(*columns)
+    both = numbered.groupBy(*channel, "seq").agg(
+        F.any_value(F.when(F.col("_sent"), row), ignoreNulls=True).alias("_send"),
+        F.any_value(F.when(~F.col("_sent"), row), ignoreNulls=True).alias("_recv"),
+    )
     state = F.when(F.col("_recv").isNull(), "no_recv").when(F.col("_send").isNull(), "no_send").otherwise("matched")
-    return both.withColumn("state", state).drop("_send", "_recv")
+    kept = [F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("send", "recv") for c in columns]
+    return both.select(*channel, "seq", *kept, state.alias("state"))
 
 
 def unmatched_endpoints(sends: DataFrame, recvs: DataFrame, channel: list[str]) -> DataFrame:

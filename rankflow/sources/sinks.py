@@ -19,9 +19,11 @@ def write_tsv(df: DataFrame, path: str, compression: str | None = None, header:
 
 
 def write_combined(df: DataFrame, path: str) -> None:
-    """The union of many runs as plain TSV and as a bzip2 copy."""
+    """The union of many runs as plain TSV and as a bzip2 copy of that; the union is evaluated once."""
     write_tsv(df, f"{path}/tsv")
-    write_tsv(df, f"{path}/tsv_bz2", "bzip2")
+    texts = ", ".join(f"`{name}` string" for name in df.columns)
+    written = df.sparkSession.read.csv(f"{path}/tsv", schema=texts, sep="\t", header=True)
+    write_tsv(written, f"{path}/tsv_bz2", "bzip2")
 
 
 def write_classed(df: DataFrame, path: str, mode: str = "mode") -> None:
