@@ -9,6 +9,9 @@ from rankflow import schemas
 
 TRIM = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
 DIRECTIONS = ("send", "recv")
+# Calls of the message-passing standard that send and that receive.
+SEND_CALLS = ("MPI_Send", "MPI_Bsend", "MPI_Ssend", "MPI_Rsend", "MPI_Isend", "MPI_Ibsend", "MPI_Issend", "MPI_Irsend")
+RECV_CALLS = ("MPI_Recv", "MPI_Mrecv", "MPI_Irecv", "MPI_Imrecv")
 
 
 def read_comm_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -24,10 +27,11 @@ def read_comm_trace_wide(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_call_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless call trace."""
+    """Headerless call trace; a call that is neither a send nor a receive is an error."""
     df = spark.read.csv(path, schema=schemas.CALL_TRACE, header=False, **TRIM)
-    sends = F.col("call").rlike("(?i)send$")
-    return df.withColumn("direction", F.when(sends, "send").otherwise("recv"))
+    other = F.raise_error(F.concat(F.lit("not a send or receive: "), F.coalesce("call", F.lit("null")))).cast("string")
+    kind = F.when(F.col("call").isin(*SEND_CALLS), "send").when(F.col("call").isin(*RECV_CALLS), "recv")
+    return df.withColumn("direction", kind.otherwise(other))
 
 
 def read_channels(spark: SparkSession, path: str) -> DataFrame:

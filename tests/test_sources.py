@@ -73,6 +73,11 @@ def test_call_trace(spark, write):
     assert [r.direction for r in traces.read_call_trace(spark, path).orderBy("file_line").collect()] == ["send", "recv"]
 
 
+def test_other_calls_fail(spark, write):
+    with pytest.raises(Exception, match="not a send or receive: MPI_Allreduce"):
+        traces.read_call_trace(spark, write("o/calls.csv", "a.c:1,main,MPI_Allreduce,0,1,8,1,4,8\n")).collect()
+
+
 def test_channels_and_waits(spark, write):
     path = write("ch/channels_p0000.csv", (
         "channel type, mpi rank, endpoint direction (MPI), send mpi rank, recv mpi rank, send rank, recv rank\n"
