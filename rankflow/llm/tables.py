@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -64,6 +65,19 @@ def cut_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hashes of ``key``; the same in every run.
+
+    Where there are many more, a bound on the hash drops most of them first, so that no task
+    has to sort what all others have kept.  Callers select narrow columns.
+    """
+    total, space = df.count(), 1 << 30
+    place = F.pmod(F.xxhash64(key), F.lit(space))
+    if total > 8 * rows:
+        df = df.filter(place < math.ceil(space * 2 * rows / total))
+    return df.orderBy(place, F.xxhash64(key), *df.columns).limit(rows)
+
+
 #: Numbers that ``touched`` broadcasts at most.
 RESIDUES = 1 << 21
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.tables import Memo, map_rows, present, words_of
+from rankflow.llm.tables import Memo, hash_sample, map_rows, present, words_of
 from rankflow.plans import cut
 
 #: Labelled texts the model is fitted on, at most.
@@ -66,7 +66,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     """(doc_id, toxic, text) of at most ``sample`` labelled texts."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most ``sample`` rows of an id and a label: safe to broadcast.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hash_sample(known, "doc_id", sample)
     texts = docs.select("doc_id", present("text").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
