@@ -155,11 +155,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row of each component: the one with the smallest id.
+    """The rows of ``docs`` with one row of each component: the one with the smallest id."""
+    return first_of_each(docs, near_duplicates(docs, key, text), key, text)
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each root in ``grouped`` (doc_id, text_hash, root): the one with the smallest id.
 
     Only texts of components with several rows move (and those that the sieve takes for them).
     """
-    rows = cut(near_duplicates(docs, key, text), "grouped")
+    rows = cut(grouped.select("doc_id", "text_hash", "root"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     groups = cut(rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("one")), "groups")
     several = rows.join(groups.filter("n > 1").select("root"), "root").select(F.col("text_hash").alias("_text_hash"))
