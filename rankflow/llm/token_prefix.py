@@ -106,12 +106,14 @@ class PrefixCounter:
                 count.append(1)
                 continue
             # One token only fits; mostly it is short.
-            for start in range(end - 1, max(0, end - longest), -1):
+            for start in range(end - 1, max(1, end - longest) - 1, -1):
                 one = token(piece[start:end])
                 if one is not None and fits[last[start], one]:
                     last.append(one)
                     count.append(count[start] + 1)
                     break
+            else:
+                raise ValueError(f"no token ends {piece[:end]!r}")
         return count
 
     def stretch_counts(self, stretch: str) -> tuple[int, ...]:

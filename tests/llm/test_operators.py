@@ -73,6 +73,22 @@ def test_prefix_counts_equal_the_library():
             assert own.fitting(text, budget) == max((i + 1 for i, n in enumerate(prefixes) if n <= budget), default=0)
 
 
+def test_prefix_counts_of_the_longest_tokens_equal_the_library():
+    own, library = token_prefix.counter(BYTE), Tokenizer.from_file(BYTE)
+    count = lambda s: len(library.encode(s, add_special_tokens=False).ids)
+    longest = sorted(own.token, key=lambda t: (-len(t), t))[:40]
+    assert len(longest[0]) == own.longest
+    for raw in longest:
+        try:
+            token = raw.decode()
+        except UnicodeDecodeError:
+            continue
+        for text in (" " + token, token * 3, " " + token * 3, "a" + token, " " + token * 2 + token[: len(token) // 2] + " b"):
+            assert own.count(text) == count(text)
+            assert own.prefix_counts(text) == [count(text[: i + 1]) for i in range(len(text))]
+    assert own.count(" " + "ÃÂ" * 100) == count(" " + "ÃÂ" * 100) == 5
+
+
 def test_token_counts_of_odd_rows(odd_docs):
     rows = token_prefix.token_counts(odd_docs, BYTE, 100).collect()
     assert sorted((r.n_tokens == 0, r.over_limit) for r in rows) == [(False, True)] * 2 + [(True, False)] * 3
