@@ -25,6 +25,10 @@ is split like any skewed join.  Ranks are 64-bit hashes of the bytes themselves,
 equal for equal bytes wherever they lie.  A text only moves for rounds that open
 stretches of it, and once more if something is removed from it.
 
+Passages may be judged in words too (``passage_starts``): there each window of so many
+words is tied to the smallest string of ``WORD_GRAM`` words in it.  Windows whose anchor
+is unique are done; the others are counted by the hash of all their bytes.
+
 Defined cases: a null text counts as empty; texts under 400 bytes lose nothing;
 repeated rows repeat each other; rows are told apart by id and text, so repeated
 and null ids are fine; overlapping repeats inside one text count.
@@ -33,6 +37,7 @@ and null ids are fine; overlapping repeats inside one text count.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,8 @@ from rankflow.llm.pieces import mixed
 from rankflow.llm.tables import map_rows, present, touched
 from rankflow.plans import cut
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM, WORD_GRAM = 400, 64, 8
+WORD = re.compile(rb"[^\x09-\x0d\x20]+")
 #: Starts per stretch in the rounds after the first.
 STEPS = (16, 1)
 KEYS = ["doc_id", "text_hash"]
@@ -85,20 +91,36 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[Hasher, np.ndarray, np
         return None
     own = Hasher(text)
     start = np.arange(len(text) - gram + 1)
-    grams = own.of(start, start + gram)
+    anchor = least_places(own.of(start, start + gram), length - gram + 1)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
+    last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
+    return own, anchor[first], first, last
+
+
+def least_places(grams: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest hash in every window of that many neighbours."""
+    start = np.arange(len(grams))
     # The hash above, the place (rightmost first) below: one minimum finds both.
     low = np.uint64(0xFFFFFFFF)
     best = (grams & ~low) | (low - start.astype(np.uint64))
-    window, done = length - gram + 1, 1
+    done = 1
     while 2 * done <= window:
         best = np.minimum(best[:-done], best[done:])
         done *= 2
     if window > done:
         best = np.minimum(best[: len(best) - (window - done)], best[window - done :])
-    anchor = (low - (best & low)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-    last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
-    return own, anchor[first], first, last
+    return (low - (best & low)).astype(np.int64)
+
+
+def word_windows(text: bytes, words: int, gram: int) -> tuple[Hasher, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(hasher, begin, end, anchor place, anchor hash) of every window of ``words`` words; None if there are fewer."""
+    spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    if len(spans) < words:
+        return None
+    own, begin, end = Hasher(text), spans[:, 0], spans[:, 1]
+    grams = own.of(begin[: len(spans) - gram + 1], end[gram - 1 :])
+    place = least_places(grams, words - gram + 1)
+    return own, begin[: len(spans) - words + 1], end[words - 1 :], place, grams[place]
 
 
 def _arrow_kind(df: DataFrame) -> str:
@@ -212,6 +234,52 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ste
     return found.select(*KEYS, "first", "last")
 
 
+def passage_starts(docs: DataFrame, words: int, length: int = LENGTH, gram: int = WORD_GRAM) -> DataFrame:
+    """(doc_id, text_hash, first, last) of windows of ``words`` words that also start elsewhere, equal in every byte.
+
+    A window ends ``length`` bytes behind ``last``, as the runs of ``repeated_starts`` do.
+    """
+    rows = keyed(docs)
+    kind = _arrow_kind(rows)
+
+    def tied(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, ranks = [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            found = word_windows(text.encode(), words, gram)
+            if found is not None:
+                # One row for each place an anchor is taken from.
+                each = found[4][np.concatenate([[True], np.diff(found[3]) != 0])]
+                at.append(np.full(len(each), i))
+                ranks.append(each)
+        if not at:
+            return None
+        take = pa.array(np.concatenate(at))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(ranks).view(np.int64))], names=[*KEYS, "anchor"])
+
+    anchored = cut(map_rows(rows, tied, f"doc_id {kind}, text_hash long, anchor long"), "anchors")
+    listed = cut(anchored.join(_shared(anchored, "anchor"), "anchor").select(*KEYS, "anchor").distinct(), "shared_anchors")
+    texts = _with_list(touched(rows, listed, "text_hash"), listed, "inner")
+
+    def ranked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, parts = [], []
+        for i, (text, anchors_of) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            own, begin, end, _, anchor = word_windows(text.encode(), words, gram)
+            kept = np.isin(anchor.view(np.int64), np.array([x["anchor"] for x in anchors_of], np.int64))
+            begin, end = begin[kept], end[kept]
+            at.append(np.full(len(begin), i))
+            parts.append((begin, end - length, own.of(begin, end).view(np.int64)))
+        take = pa.array(np.concatenate(at))
+        first, last, whole = map(np.concatenate, zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(whole)],
+            names=[*KEYS, "first", "last", "whole"],
+        )
+
+    windows = cut(map_rows(texts, ranked, f"doc_id {kind}, text_hash long, first int, last int, whole long"), "windows")
+    return windows.join(_shared(windows, "whole"), "whole").select(*KEYS, "first", "last")
+
+
 def spans_of(starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """Maximal removed runs (start, end) from runs of starts."""
     out: list[list[int]] = []
@@ -267,8 +335,11 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _finish(keyed(docs), repeated_starts(docs, length), work, schema)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """All columns, the text without the characters that lie wholly in removed runs; a null text becomes empty."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """All columns, the text without the characters that lie wholly in removed runs; a null text becomes empty.
+
+    Runs are those of ``length`` bytes and, where ``words`` is given, of so many words.
+    """
     rows = docs.select(
         F.col(key).alias("doc_id"), F.xxhash64(present(text)).alias("text_hash"), present(text).alias("text"),
         F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"),
@@ -280,6 +351,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return pa.RecordBatch.from_arrays([batch.column("row"), kept], names=["row", "kept"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept string"
-    starts = repeated_starts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), length)
+    given = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    starts = repeated_starts(given, length)
+    if words is not None:
+        starts = starts.unionByName(passage_starts(given, words, length))
     done = _finish(rows, starts, work, schema)
     return done.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns])
