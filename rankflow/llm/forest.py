@@ -3,7 +3,8 @@
 Each tree gives every vector a long string of random-hyperplane bits; a tree is
 the sorted array of these strings.  A query descends in every tree to the longest
 prefix it shares with anything, then all trees ascend together, one bit at a time,
-until the prefixes they hold have enough rows; all those rows are compared
+until the prefixes they hold have enough rows and at least one tree alone holds k
+ids besides the query's; all those rows are compared
 exactly, in double precision.
 
 How many rows are enough is measured: for a bounded sample of queries the true
@@ -112,19 +113,20 @@ def _histogram(index: DataFrame, strings_column: str, depth: int) -> np.ndarray:
     return out
 
 
-def _rows_at_levels(counts: np.ndarray, strings_of: np.ndarray, depth: int) -> np.ndarray:
-    """rows[query, level]: rows that share at least ``level`` bits with the query, summed over the trees."""
+def _rows_at_levels(counts: np.ndarray, strings_of: np.ndarray, depth: int, over=np.sum) -> np.ndarray:
+    """rows[query, level]: rows that share at least ``level`` bits with the query, summed over the trees (or ``over`` them)."""
     out = np.zeros((len(strings_of), depth + 1), np.int64)
     tree = np.arange(TREES)
     for level in range(depth, -1, -1):
-        out[:, level] = counts[tree[None, :], strings_of >> (BITS - level)].sum(axis=1)
+        held = counts[tree[None, :], strings_of >> (BITS - level)]
+        out[:, level] = over(held, axis=1)
         counts = counts.reshape(TREES, -1, 2).sum(axis=2) if level else counts
     return out
 
 
-def _levels(rows_at: np.ndarray, enough: int) -> np.ndarray:
-    """The deepest level at which a query has enough rows, else 0: the end of its ascent."""
-    reached = rows_at >= enough
+def _levels(rows_at: np.ndarray, ids_at: np.ndarray, enough: int, k: int) -> np.ndarray:
+    """The deepest level at which a query has enough rows and one tree alone holds k ids besides its own, else 0: the end of its ascent."""
+    reached = (rows_at >= enough) & (ids_at > k)
     return np.where(reached.any(axis=1), reached.shape[1] - 1 - reached[:, ::-1].argmax(axis=1), 0)
 
 
@@ -139,7 +141,7 @@ def best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.nda
     return ids[at[order]], exact[order]
 
 
-def _enough(index: DataFrame, counts: np.ndarray, depth: int, dim: int, k: int) -> int:
+def _enough(index: DataFrame, counts: np.ndarray, single: np.ndarray, depth: int, dim: int, k: int) -> int:
     """The least number of candidates at which a sample of queries finds ``RECALL`` of its true neighbours."""
     sample = index.filter("asked").select("id", "vector", "asking").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     ids = np.array([r.id for r in sample])
@@ -167,9 +169,9 @@ def _enough(index: DataFrame, counts: np.ndarray, depth: int, dim: int, k: int)
     q = np.array([r.q for r in truth])
     differ = np.array([r.own for r in truth]) ^ asking[q]
     shared = BITS - np.ceil(np.log2(differ + 1.0)).astype(int).min(axis=1)
-    rows_at = _rows_at_levels(counts, asking, depth)
+    rows_at, ids_at = _rows_at_levels(counts, asking, depth), _rows_at_levels(single, asking, depth, np.max)
     for enough in np.unique(rows_at):
-        levels = _levels(rows_at, int(enough))
+        levels = _levels(rows_at, ids_at, int(enough), k)
         if (shared >= levels[q]).mean() >= RECALL:
             return int(enough)
     return int(rows_at.max())
@@ -184,12 +186,14 @@ def nearest(vectors: DataFrame, asked, k: int = 20, key: str = "vec_id", vector:
     index = cut(_index(rows, dim, norm), "forest")
     depth = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 1, DEPTH))
     counts = _histogram(index, "own", depth)
-    enough = _enough(index, counts, depth, dim, k)
+    # The same with one row of each id: a tree's count of these is one of different neighbours.
+    single = _histogram(index.groupBy("id").agg(F.min("own").alias("own")), "own", depth)
+    enough = _enough(index, counts, single, depth, dim, k)
 
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / BLOCK)), 0, depth))
     in_cell = counts.reshape(TREES, 1 << bits, -1).sum(axis=2)
     blocks = np.maximum(1, -(-in_cell // BLOCK))
-    placed = cut(_route(index.filter("asked").select("id", "vector", "asking"), counts, depth, bits, enough, blocks), "asked")
+    placed = cut(_route(index.filter("asked").select("id", "vector", "asking"), counts, single, depth, bits, enough, blocks, k), "asked")
     # How many blocks of queries each cell has; at most TREES * 2 ** DEPTH numbers.
     per_cell = placed.filter("block = 0").groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("turns")).toArrow()
     in_turn = np.zeros((TREES, 1 << bits), np.int64)
@@ -249,7 +253,9 @@ def nearest(vectors: DataFrame, asked, k: int = 20, key: str = "vec_id", vector:
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _route(queries: DataFrame, counts: np.ndarray, depth: int, bits: int, enough: int, blocks: np.ndarray) -> DataFrame:
+def _route(
+    queries: DataFrame, counts: np.ndarray, single: np.ndarray, depth: int, bits: int, enough: int, blocks: np.ndarray, k: int
+) -> DataFrame:
     """Queries sent to every block of the cells their prefix meets, with the level where their ascent ends."""
 
     def run(batches):
@@ -257,7 +263,8 @@ def _route(queries: DataFrame, counts: np.ndarray, depth: int, bits: int, enough
             asking = np.array(batch.column(2).to_pylist(), np.int64).reshape(-1, TREES)
             if not len(asking):
                 continue
-            level = _levels(_rows_at_levels(counts, asking, depth), enough)
+            ids_at = _rows_at_levels(single, asking, depth, np.max)
+            level = _levels(_rows_at_levels(counts, asking, depth), ids_at, enough, k)
             cells = []
             for i in range(len(asking)):
                 wide = max(0, bits - level[i])

@@ -59,6 +59,18 @@ def test_forest_finds_neighbours_and_skips_bad_vectors(spark):
     assert forest.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_gives_k_neighbours_outside_a_large_tight_group(spark):
+    rng = np.random.default_rng(4)
+    order = [r.id for r in spark.range(3040).orderBy(F.xxhash64("id"), "id").collect()]
+    alone = {order[10], *order[forest.SAMPLE : forest.SAMPLE + 39]}  # one of them among the sampled queries
+    middle = rng.standard_normal(16)
+    x = np.array([rng.standard_normal(16) if i in alone else middle + 1e-6 * rng.standard_normal(16) for i in range(3040)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = forest.nearest(df, F.lit(True), k=20).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 20 for i in range(3040)}
+
+
 # 2 -----------------------------------------------------------------------------------------------
 
 
