@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import attention, chat, forest, packing, pieces, quality, simhash, sql, suffixes, token_prefix, toxicity
+from rankflow.llm import attention, chat, forest, packing, pieces, quality, runs, simhash, sql, suffixes, token_prefix, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -108,3 +108,17 @@ def attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return attention.score(docs, public_tokenizers.path("byte_bpe_50k.json"), held_out=F.crc32(key.cast("binary")) % 5 == 1)
+
+
+@query("op11_periodic_runs")
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = runs.periodic_runs(docs.withColumn("text", runs.looped(F.col("text"), F.col("doc_id"))))
+    return rows.withColumn("best", runs.longest()).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs.listed(), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
