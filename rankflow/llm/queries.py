@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import attention, chat, forest, packing, pieces, quality, runs, simhash, sql, suffixes, token_prefix, toxicity
+from rankflow.llm import attention, chat, forest, lexical, licences, packing, pieces, quality, runs, simhash, sql, suffixes, token_prefix, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -122,3 +122,13 @@ def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs.listed(), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_licence_scan", sql.licence_sql())
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_lexical_search", sql.SEARCH)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)

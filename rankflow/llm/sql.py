@@ -1,5 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from rankflow.llm import licences
+
 QUALITY = """
 WITH texts AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
@@ -59,3 +61,68 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
+
+SEARCH = """
+WITH words AS (
+  SELECT row_number() OVER () AS doc_row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM words WHERE len(terms) > 0),
+sized AS (SELECT doc_row, doc_id, 75 + (25 * CAST(len(terms) AS BIGINT) * n_docs) // all_terms AS m FROM words, totals WHERE len(terms) > 0),
+held AS (SELECT doc_row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_row, unnest(terms) AS term FROM words) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, CAST(count(*) AS BIGINT) AS df FROM held GROUP BY term), totals),
+items AS (
+  SELECT row_number() OVER () AS item_row, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_row, item_id, doc_row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM items JOIN held USING (term) JOIN weights USING (term) JOIN sized USING (doc_row) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 20
+"""
+
+
+def licence_sql() -> str:
+    """Every template tried at every place, without an index."""
+    rows = [
+        f"({number}, '{t.label}', {t.base}, {at}, '{word}', {at in t.key_places()})"
+        for number, t in enumerate(licences.TEMPLATES)
+        for at, word in enumerate(t.text.split())
+    ]
+    return f"""
+WITH templates(template, label, base, spot, word, key_word) AS (VALUES {", ".join(rows)}),
+texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+places AS (SELECT row_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM texts),
+known AS (SELECT * FROM places WHERE word IN (SELECT word FROM templates)),
+held AS (SELECT word, count(DISTINCT row_id) AS df FROM known GROUP BY word),
+weighted AS (
+  SELECT t.*, greatest(1, CAST(floor(1000 * ln((2 * (SELECT count(*) FROM texts) + 2) / (2 * coalesce(df, 0) + 1))) AS BIGINT)) AS weight
+  FROM templates t LEFT JOIN held USING (word)),
+totals AS (SELECT template, any_value(label) AS label, any_value(base) AS base, sum(weight) AS total, count_if(key_word) AS n_keys
+  FROM weighted GROUP BY template),
+stands AS (
+  SELECT row_id, template, place - spot AS start, sum(weight) AS aligned, count_if(key_word) AS keys
+  FROM known JOIN weighted USING (word) GROUP BY ALL),
+matches AS (
+  SELECT * FROM stands JOIN totals USING (template) WHERE 100 * aligned >= {licences.SHARE} * total AND keys = n_keys),
+judged AS (
+  SELECT row_id, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(CAST(aligned AS DOUBLE) / CAST(total AS DOUBLE)) AS score
+  FROM matches GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM texts LEFT JOIN judged USING (row_id)
+"""
