@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.tables import map_rows, present
+from rankflow.llm.tables import BLANKS, map_rows, present
 
 #: Fewest words of a run, and the words of a seed in the first octave: every guaranteed
 #: overlap of 6 words or more holds a seed that starts at a multiple of 3.
@@ -216,15 +216,17 @@ def looped(text: Column, key: Column) -> Column:
 
     Which ones, where and with which period follows from the CRC of the key's decimal text.
     """
-    blanks = "[\\x20\\x09-\\x0D]+"
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.split(trimmed, blanks)
     h = F.crc32(key.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words)
+    g = F.floor(h / 10)
 
-    def repeat(a: Column) -> Column:
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
         p = 1 + F.floor((n - a) / (3 + g % 8))
         place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int")))
 
-    return F.when((h % 10 == 0) & (trimmed != ""), F.array_join(repeat(g % n), " ")).otherwise(text)
+    # A list of one list: its element is split once, however often it is read.
+    repeated = F.transform(F.array(F.split(trimmed, BLANKS)), repeat)[0]
+    return F.when((h % 10 == 0) & (trimmed != ""), F.array_join(repeated, " ")).otherwise(text)
