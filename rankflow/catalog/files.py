@@ -21,9 +21,13 @@ K = "CAST(regexp_extract(props, '[0-9]+') AS BIGINT)"
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
 
-def in_layout(df: DataFrame, schema: T.StructType, **columns: Column) -> DataFrame:
+def layout_columns(schema: T.StructType, **columns: Column) -> list[Column]:
     """All columns of a layout in order; those not given are null."""
-    return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return [columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+
+
+def in_layout(df: DataFrame, schema: T.StructType, **columns: Column) -> DataFrame:
+    return df.select(*layout_columns(schema, **columns))
 
 
 @query(
@@ -204,8 +208,8 @@ def channel_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         recv_process=recv,
         send_rank=F.col("l_suppkey"),
         recv_rank=F.col("l_partkey"),
-    ).write.csv(path, header=True)
-    return traces.read_channels(spark, path).groupBy(
+    ).toDF(*schemas.channel_headers("app ")).write.csv(path, header=True)
+    return traces.read_channels(spark, path, "app ").groupBy(
         "channel_type", F.col("send_process").cast("bigint").alias("send_process")
     ).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("recv_rank").alias("n_recv_ranks"))
 
@@ -251,8 +255,12 @@ def chunk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(orders: DataFrame) -> DataFrame:
-    return in_layout(
-        orders,
+    return orders.select(*_result_columns())
+
+
+def _result_columns() -> list[Column]:
+    """The columns of the results layout for orders as rank rows."""
+    return layout_columns(
         schemas.results(),
         runtime=F.col("o_orderstatus"),
         config_unique_id=F.col("o_orderpriority"),
@@ -280,6 +288,37 @@ def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_config(results.read_results(spark, path))
 
 
+@query(
+    "results_by_header",
+    f"""SELECT o_orderstatus AS runtime, count(*) AS n, CAST(sum({cents("o_totalprice")}) AS BIGINT) AS cycles,
+        CAST(sum(o_custkey) FILTER (o_orderkey % 3 = 1) AS BIGINT) AS instructions,
+        CAST(sum(o_orderkey) FILTER (o_orderkey % 3 >= 1) AS BIGINT) AS branch_misses,
+        CAST(sum(o_orderkey + o_custkey) FILTER (o_orderkey % 3 = 2) AS BIGINT) AS timer_28,
+        count(*) FILTER (o_orderkey % 3 = 2 AND o_orderpriority = '1-URGENT') AS urgent_timers FROM orders GROUP BY 1""",
+)
+def results_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "results")
+    orders = table(spark, sf_dir, "orders")
+    extra = {
+        "instructions": F.col("o_custkey"), "branch-misses": F.col("o_orderkey"),
+        "custom28_timer_name": F.col("o_orderpriority"), "custom28_elapsed_cycles": F.col("o_orderkey") + F.col("o_custkey"),
+    }
+    # Files with the columns in another order, with other counters, and with a 29th timer.
+    for part, names in enumerate([[], ["instructions", "branch-misses"], ["custom28_timer_name", "branch-misses", "custom28_elapsed_cycles"]]):
+        own = orders.filter(F.col("o_orderkey") % 3 == part)
+        rows = own.select(*_result_columns(), *[extra[n].alias(n) for n in names])
+        sinks.write_tsv(rows.select(*[F.col(f"`{n}`") for n in (rows.columns if part else reversed(rows.columns))]), f"{path}/{part}")
+    rows = results.read_results(spark, f"{path}/*")
+    return rows.groupBy("runtime").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("elapsed_cycles").alias("cycles"),
+        F.sum("instructions").alias("instructions"),
+        F.sum("branch-misses").alias("branch_misses"),
+        F.sum("custom28_elapsed_cycles").alias("timer_28"),
+        F.count_if(F.col("custom28_timer_name") == "1-URGENT").alias("urgent_timers"),
+    )
+
+
 @query(
     "counter_file",
     "SELECT user_id, "
@@ -333,20 +372,25 @@ def long_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "profiler_report",
     f"""SELECT l_returnflag || l_linestatus AS symbol, count(*) AS n,
-       CAST(sum({cents("l_extendedprice")}) AS BIGINT) AS effective, CAST(sum({cents("l_tax")}) AS BIGINT) AS wait
-       FROM lineitem GROUP BY 1""",
+       CAST(sum({cents("l_extendedprice")}) AS BIGINT) AS effective, CAST(sum({cents("l_tax")}) AS BIGINT) AS wait,
+       count(*) FILTER (l_linenumber = 1) AS n_with_module FROM lineitem GROUP BY 1""",
 )
 def profiler_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "profiler")
-    table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("Function / Call Stack"),
         F.col("l_extendedprice").alias("Effective Time"),
         F.col("l_tax").alias("MPI Busy Wait Time"),
-    ).write.csv(path, header=True)
-    return logs.read_profiler(spark, path).groupBy("symbol").agg(
+        F.col("l_linenumber").alias("Module"),
+    )
+    # One report has its columns the other way round and one more of them.
+    lines.filter("Module <> 1").drop("Module").write.csv(f"{path}/a", header=True)
+    lines.filter("Module = 1").select(*reversed(lines.columns)).write.csv(f"{path}/b", header=True)
+    return logs.read_profiler(spark, f"{path}/*").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(hundredths("effective_time")).alias("effective"),
         F.sum(hundredths("wait_time")).alias("wait"),
+        F.count("Module").alias("n_with_module"),
     )
 
 

@@ -139,6 +139,17 @@ CHANNELS = _struct(
     ("recv_rank", T.IntegerType()),
 )
 
+
+
+def channel_headers(prefix: str = "") -> tuple[str, ...]:
+    """Header names of the channel list's columns, in the order of ``CHANNELS``."""
+    # Fixed values.
+    return (
+        "channel type", "mpi rank", "endpoint direction (MPI)", "send mpi rank", "recv mpi rank",
+        f"{prefix}send rank", f"{prefix}recv rank",
+    )
+
+
 WAIT_LOG = _struct(
     ("wait_call_s", T.LongType()),
     ("wait_call_ns", T.LongType()),

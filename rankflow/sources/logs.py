@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow import schemas
 from rankflow.plans import row_number
+from rankflow.sources.headed import read_united
 
 
 def lines_of(df: DataFrame, text: str, keep: list[str], start: int = 1) -> DataFrame:
@@ -39,9 +41,12 @@ def read_long_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_profiler(spark: SparkSession, path: str) -> DataFrame:
-    """Profiler report: function, effective seconds, wait seconds."""
-    df = spark.read.csv(path, schema=schemas.PROFILER, header=True)
-    return df.toDF("symbol", "effective_time", "wait_time")
+    """Profiler report bound by its header: symbol, effective seconds, wait seconds, then its other columns as text."""
+    kinds = {f.name: f.dataType for f in schemas.PROFILER}
+    df = read_united(spark, path, lambda name: kinds.get(name, T.StringType()), kinds).drop("_file")
+    more = [F.col(f"`{n}`") for n in df.columns if n not in kinds]
+    named = zip(kinds, ("symbol", "effective_time", "wait_time"), strict=True)
+    return df.select(*[F.col(f"`{n}`").alias(own) for n, own in named], *more)
 
 
 def read_placement(spark: SparkSession, path: str) -> DataFrame:

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow import schemas
-from rankflow.sources.headed import read_by_name
+from rankflow.sources.headed import read_by_name, read_united
 from rankflow.sources.stats import _plain
 
 
+#: Names of hardware events: whole words, or with a hyphen or dot, which no layout column has; a precision may follow.
+COUNTER = re.compile(r"(cycles|instructions|branches|faults|[A-Za-z0-9_]+[-.][A-Za-z0-9_.-]*[A-Za-z0-9])(:[a-z]+)?")
+#: Layout columns that come in any number, with their types.
+NUMBERED = {
+    re.compile(r"custom\d+_timer_name|run_args_\d+"): T.StringType(),
+    re.compile(r"custom\d+_elapsed_cycles"): T.LongType(),
+}
+
+
 def read_results(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     header: bool = True,
     prefix: str = "",
+    counters: re.Pattern | None = COUNTER,
 ) -> DataFrame:
-    """Tab-separated results, one row per rank per run."""
-    df = spark.read.csv(path, schema=schema or schemas.results(prefix=prefix), sep="\t", header=header)
+    """Tab-separated results, one row per rank per run, bound by each file's own header.
+
+    Files may differ in the order of columns, in how many custom timers they have and in their counters: a column
+    whose name ``counters`` matches holds whole numbers.  The result has the layout's columns, then further timers and
+    counters, each null in rows of files without it.  A header without run, rank or time, an unknown
+    column and a malformed number fail the load.  With ``schema`` the columns are exactly its own.
+    """
+    if not header:
+        plain = spark.read.csv(path, schema=schema or schemas.results(prefix=prefix), sep="\t", header=False, mode="FAILFAST")
+        return _plain(plain, prefix)
+    if schema is not None:
+        return _plain(read_by_name(spark, path, schema, sep="\t").drop("_file"), prefix)
+    layout = {f.name: f.dataType for f in schemas.results(prefix=prefix)}
+
+    def kind(name: str) -> T.DataType | None:
+        if name in layout:
+            return layout[name]
+        if counters is not None and counters.fullmatch(name):
+            return T.LongType()
+        return next((t for form, t in NUMBERED.items() if form.fullmatch(name)), None)
+
+    df = read_united(spark, path, kind, [f"{prefix}run_unique_id", f"{prefix}thread_rank", "elapsed_cycles"], sep="\t")
+    absent = [F.lit(None).cast(t).alias(n) for n, t in layout.items() if n not in df.columns]
+    more = [n for n in df.columns if n not in layout and n != "_file"]
+    df = df.select("*", *absent).select(*[F.col(f"`{n}`") for n in [*layout, *more]])
     return _plain(df, prefix)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow import schemas
+from rankflow.sources.headed import read_by_name
 
 TRIM = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
 DIRECTIONS = ("send", "recv")
@@ -15,33 +17,45 @@ RECV_CALLS = ("MPI_Recv", "MPI_Mrecv", "MPI_Irecv", "MPI_Imrecv")
 
 
 def read_comm_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Seven-column trace; a file with any other header fails the load."""
-    df = spark.read.csv(path, schema=schemas.COMM_TRACE, header=True, enforceSchema=False, **TRIM)
+    """Seven-column trace; a file with any other header and a malformed number fail the load."""
+    df = spark.read.csv(path, schema=schemas.COMM_TRACE, header=True, enforceSchema=False, mode="FAILFAST", **TRIM)
     return df.withColumnsRenamed({"from": "sender_rank", "to": "receiver_rank"})
 
 
 def read_comm_trace_wide(spark: SparkSession, path: str) -> DataFrame:
     """Fourteen-column trace of the runtime."""
-    df = spark.read.csv(path, schema=schemas.COMM_TRACE_WIDE, header=True, enforceSchema=False, **TRIM)
+    df = spark.read.csv(path, schema=schemas.COMM_TRACE_WIDE, header=True, enforceSchema=False, mode="FAILFAST", **TRIM)
     return df.withColumnRenamed("file:line", "file_line")
 
 
 def read_call_trace(spark: SparkSession, path: str) -> DataFrame:
     """Headerless call trace; a call that is neither a send nor a receive is an error."""
-    df = spark.read.csv(path, schema=schemas.CALL_TRACE, header=False, **TRIM)
+    df = spark.read.csv(path, schema=schemas.CALL_TRACE, header=False, mode="FAILFAST", **TRIM)
     other = F.raise_error(F.concat(F.lit("not a send or receive: "), F.coalesce("call", F.lit("null")))).cast("string")
     kind = F.when(F.col("call").isin(*SEND_CALLS), "send").when(F.col("call").isin(*RECV_CALLS), "recv")
     return df.withColumn("direction", kind.otherwise(other))
 
 
-def read_channels(spark: SparkSession, path: str) -> DataFrame:
-    """Channel list of each process."""
-    return spark.read.csv(path, schema=schemas.CHANNELS, header=True, **TRIM)
+def read_channels(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """Channel list of each process, bound by its header; the producer may put a prefix before its own ranks' names."""
+    kinds = {name: (own, kind) for (own, kind), name in zip(_fields(schemas.CHANNELS), schemas.channel_headers(prefix), strict=True)}
+    return _by_header(spark, path, kinds)
 
 
 def read_wait_log(spark: SparkSession, path: str) -> DataFrame:
-    """Four-column wait log."""
-    return spark.read.csv(path, schema=schemas.WAIT_LOG, header=True, **TRIM)
+    """Four-column wait log, bound by its header."""
+    return _by_header(spark, path, {own: (own, kind) for own, kind in _fields(schemas.WAIT_LOG)})
+
+
+def _fields(schema: T.StructType) -> list[tuple[str, T.DataType]]:
+    return [(f.name, f.dataType) for f in schema]
+
+
+def _by_header(spark: SparkSession, path: str, kinds: dict[str, tuple[str, T.DataType]]) -> DataFrame:
+    """Files whose headers name exactly ``kinds``, in any order; header name -> (column, type)."""
+    schema = T.StructType([T.StructField(name, kind) for name, (_, kind) in kinds.items()])
+    df = read_by_name(spark, path, schema, **TRIM)
+    return df.select(*[F.col(f"`{name}`").alias(own) for name, (own, _) in kinds.items()])
 
 
 def read_chunk_log(spark: SparkSession, path: str) -> DataFrame:

@@ -80,9 +80,9 @@ def test_other_calls_fail(spark, write):
 
 def test_channels_and_waits(spark, write):
     path = write("ch/channels_p0000.csv", (
-        "channel type, mpi rank, endpoint direction (MPI), send mpi rank, recv mpi rank, send rank, recv rank\n"
+        "channel type, mpi rank, endpoint direction (MPI), send mpi rank, recv mpi rank, app send rank, app recv rank\n"
         "process, 0, , 0, 0, 1, 2\ndirect_mpi, 0, send, 0, 1, 1, 9\n"))
-    rows = traces.read_channels(spark, path).orderBy("recv_rank").collect()
+    rows = traces.read_channels(spark, path, "app ").orderBy("recv_rank").collect()
     assert [(r.channel_type, r.endpoint_direction, r.recv_rank) for r in rows] == [("process", None, 2), ("direct_mpi", "send", 9)]
     path = write("w/wait_stats_process_0.csv", "wait_call_s, wait_call_ns, pending_dequeues_this_thread, process_channel\n1, 2, 3, 0x9\n")
     assert traces.read_wait_log(spark, path).first().process_channel == "0x9"
@@ -221,3 +221,53 @@ def test_timers_of_any_number(spark):
 
     df = spark.createDataFrame([(0, "t", 5)], "thread_rank int, custom31_timer_name string, custom31_elapsed_cycles bigint")
     assert [tuple(r) for r in stats.custom_timers_long(df, ["thread_rank"]).collect()] == [(0, 31, "t", 5)]
+
+
+def test_results_are_united_by_header(spark, write):
+    base = {"runtime": "mpi", "run_unique_id": "r", "thread_rank": 0, "elapsed_cycles": 5}
+
+    def put(name, row):
+        return write(f"r/{name}/part.tsv", "\t".join(row) + "\n" + "\t".join(map(str, row.values())) + "\n")
+
+    put("a", base)
+    put("b", dict(reversed(list((base | {"elapsed_cycles": 6}).items()))))
+    put("c", base | {"elapsed_cycles": 7, "cycles:pp": 70, "custom28_timer_name": "t", "custom28_elapsed_cycles": 9})
+    path = put("d", base | {"elapsed_cycles": 8, "branch-misses": "", "cycles:pp": 80}).removesuffix("/d")
+    got = results.read_results(spark, f"{path}/*").orderBy("elapsed_cycles").collect()
+    assert [(r.runtime, r.run_unique_id, r.thread_rank, r.elapsed_cycles) for r in got] == [("mpi", "r", 0, c) for c in (5, 6, 7, 8)]
+    assert [(r["cycles:pp"], r["branch-misses"], r["custom28_elapsed_cycles"], r["custom0_timer_name"]) for r in got] == [
+        (None, None, None, None), (None, None, None, None), (70, None, 9, None), (80, None, None, None)]
+    put("e", base | {"colour": "red"})
+    with pytest.raises(ValueError, match="unknown .'colour'"):
+        results.read_results(spark, f"{path}/*")
+
+
+def test_results_with_bad_headers_and_numbers_fail(spark, write):
+    with pytest.raises(ValueError, match="missing .'elapsed_cycles'"):
+        results.read_results(spark, write("m/a.tsv", "run_unique_id\tthread_rank\nr\t1\n"))
+    with pytest.raises(ValueError, match="repeated .'runtime'"):
+        results.read_results(spark, write("n/a.tsv", "runtime\truntime\trun_unique_id\tthread_rank\telapsed_cycles\na\tb\tr\t1\t2\n"))
+    one = write("o/a.tsv", "run_unique_id\tthread_rank\telapsed_cycles\nr\t1\tsoon\n")
+    two = write("p/b.tsv", "elapsed_cycles\trun_unique_id\tthread_rank\nx\tr\t1\n")
+    write("p/a.tsv", "run_unique_id\tthread_rank\telapsed_cycles\nr\t1\t2\n")
+    short = write("q/b.tsv", "elapsed_cycles\trun_unique_id\tthread_rank\n1\tr\n")
+    write("q/a.tsv", "run_unique_id\tthread_rank\telapsed_cycles\nr\t1\t2\n")
+    for path in (one, two, short):
+        with pytest.raises(Exception, match="MALFORMED|alformed|CANNOT_PARSE"):
+            results.read_results(spark, path).select("elapsed_cycles").collect()
+
+
+def test_reports_in_another_order(spark, write):
+    write("v/b.csv", 'Module,"MPI Busy Wait Time","Function / Call Stack","Effective Time"\nm,0.25,"g(a, b)",2.5\n')
+    path = write("v/a.csv", '"Function / Call Stack","Effective Time","MPI Busy Wait Time"\n"f(a, b)",1.5,0.5\n')
+    got = [tuple(r) for r in logs.read_profiler(spark, path).orderBy("symbol").collect()]
+    assert got == [("f(a, b)", 1.5, 0.5, None), ("g(a, b)", 2.5, 0.25, "m")]
+    head = "pending_dequeues_this_thread, process_channel, wait_call_s, wait_call_ns\n"
+    assert traces.read_wait_log(spark, write("w/a.csv", head + "3, 0x9, 1, 2\n")).first() == (1, 2, 3, "0x9")
+    with pytest.raises(Exception, match="MALFORMED|alformed"):
+        traces.read_wait_log(spark, write("x/a.csv", head + "3, 0x9, now, 2\n")).collect()
+    with pytest.raises(ValueError, match="missing"):
+        traces.read_channels(spark, write("y/a.csv", "channel type, mpi rank\nprocess, 0\n"))
+    bad = "direction, from, to, channel_endpoint_id, seq_num, channel_type, mpi_called\nsend, 0, zz, 7, 1, process, MPI_NO\n"
+    with pytest.raises(Exception, match="MALFORMED|alformed"):
+        traces.read_comm_trace(spark, write("z/a.csv", bad)).collect()
