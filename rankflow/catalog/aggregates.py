@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.catalog.files import EVENT_TYPES, SQL_LINES
-from rankflow.catalog.registry import cents, query, sql_div, table
+from rankflow.catalog.registry import cents, query, sql_div, sql_exact_sum, table
 from rankflow.functions.ratios import hundredths, percent
 from rankflow.operators import experiments, profiles, timers, traces
 from rankflow.operators.collectives import all_reduce, reduce, reduce_to_root, reduce_value, to_elements
@@ -25,13 +25,29 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reduce_elementwise",
-    f"""SELECT comm, idx, round(sum(v), 6) AS sum_v, min(v) AS min_v, max(v) AS max_v,
+    f"""SELECT comm, idx, {sql_exact_sum("v", 60)} AS sum_v, min(v) AS min_v, max(v) AS max_v,
         round(product(1 + v), 6) AS prod_v FROM ({SQL_ELEMENTS}) GROUP BY comm, idx""",
 )
 def reduce_elementwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir).withColumn("above_one", F.col("value") + 1)
     ops = {"sum_v": "sum", "min_v": "min", "max_v": "max", "prod_v": ("prod", "above_one")}
-    return reduce(rows, ["comm"], ops).withColumns({c: F.round(c, 6) for c in ("sum_v", "prod_v")})
+    return reduce(rows, ["comm"], ops).withColumn("prod_v", F.round("prod_v", 6))
+
+
+@query(
+    "reduce_exact",
+    f"""SELECT l_returnflag, l_linestatus, {sql_exact_sum("l_extendedprice * (1 - l_discount)", 44)} AS revenue,
+        {sql_exact_sum("l_extendedprice * (1 - l_discount) - l_extendedprice", 44)} AS given, max(l_tax) AS most_tax
+        FROM lineitem GROUP BY 1, 2""",
+)
+def reduce_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles with all bits in use: the same for every order and partitioning of the rows."""
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_tax", paid.alias("paid"), (paid - F.col("l_extendedprice")).alias("less")
+    )
+    ops = {"revenue": ("sum", "paid"), "given": ("sum", "less"), "most_tax": ("max", "l_tax")}
+    return reduce_value(rows, ["l_returnflag", "l_linestatus"], ops)
 
 
 @query(

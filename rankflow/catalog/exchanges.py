@@ -11,7 +11,7 @@ from rankflow.operators.collectives import all_to_all, broadcast_lowest, split,
 from rankflow.operators.experiments import chunked_channel, parameter_grid, star, with_common_values
 from rankflow.operators.stencil import neighbours
 from rankflow.operators.traces import match_messages, unmatched_endpoints
-from rankflow.plans import cut
+from rankflow.plans import cut, row_number
 
 
 SENDS = ("click", "view", "signup")
@@ -205,4 +205,31 @@ def rank_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     level_2 = cut(level_2, "comms")
     children = level_2.select("comm", F.col("new_rank").alias("rank"))
-    return translate(children, "comm", "rank", level_1.unionByName(level_2), 2)
+    return translate(children, "comm", "rank", level_1.unionByName(level_2))
+
+
+DEPTH = 6
+SQL_PATH = " || ".join(["'w'"] + [f"CAST(c_custkey // {2**i} % 2 AS VARCHAR)" for i in range(DEPTH)])
+
+
+@query(
+    "rank_translation_deep",
+    f"""SELECT comm, row_number() OVER (PARTITION BY comm ORDER BY c_custkey) - 1 AS rank,
+        row_number() OVER (ORDER BY c_custkey) - 1 AS world_rank FROM (SELECT {SQL_PATH} AS comm, c_custkey FROM customer)""",
+)
+def rank_translation_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six splits, each of the communicators of the one before."""
+    level = row_number(table(spark, sf_dir, "customer").select("c_custkey"), [], ["c_custkey"], "rank", start=0)
+    level, tables = level.withColumn("comm", F.lit("w")), []
+    for i in range(DEPTH):
+        colored = level.withColumn("color", F.call_function("div", F.col("c_custkey"), F.lit(2**i)) % 2)
+        below = split(colored, "color", "rank", parent=["comm"]).withColumn("child", F.concat("comm", "color"))
+        below = cut(below, "level")
+        tables.append(below.select(
+            F.col("child").alias("comm"), F.col("comm").alias("parent_comm"), F.col("rank").alias("origin_rank"), "new_rank"
+        ))
+        level = below.select("c_custkey", F.col("child").alias("comm"), F.col("new_rank").alias("rank"))
+    nested = tables[0]
+    for more in tables[1:]:
+        nested = nested.unionByName(more)
+    return translate(level.select("comm", "rank"), "comm", "rank", nested)

@@ -51,3 +51,9 @@ def cents(column: str) -> str:
 def sql_div(a: str, b: int) -> str:
     """SQL for whole division of a number that is not negative."""
     return f"CAST(({a}) // {b} AS BIGINT)"
+
+
+def sql_exact_sum(value: str, bits: int) -> str:
+    """SQL for the exact sum of doubles that are multiples of ``2**-bits``, rounded once."""
+    scale = f"CAST({2**bits} AS DOUBLE)"
+    return f"CAST(sum(CAST(({value}) * {scale} AS HUGEINT)) AS DOUBLE) / {scale}"

@@ -1,7 +1,7 @@
 """Reduce, all-reduce, broadcast, all-to-all and split over ``(comm, rank, idx, value)``.
 
 ``comm`` may be several columns.  Sums of integers widen to bigint, floats are
-cast to double before they are reduced.
+cast to double before they are reduced; sums of doubles are exact.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.plans import attach, cut, row_number
+from rankflow.plans import attach, cut, exact_sums, row_number
 
 OPS: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
@@ -56,8 +56,16 @@ def all_reduce(df: DataFrame, comm: list[str], ops: Ops, idx: str = "idx", value
 
 
 def reduce_value(df: DataFrame, comm: list[str], ops: dict[str, tuple[str, str]]) -> DataFrame:
-    """Reduce of single values: ``ops`` maps an output column to (operation, value column)."""
-    return df.groupBy(*comm).agg(*[OPS[op](F.col(col)).alias(name) for name, (op, col) in ops.items()])
+    """Reduce of single values: ``ops`` maps an output column to (operation, value column).
+
+    Sums of floats and doubles are exact and rounded once, so they do not depend on how rows are partitioned.
+    """
+    kinds = dict(df.dtypes)
+    sums = {name: col for name, (op, col) in ops.items() if op == "sum" and kinds[col] in ("float", "double")}
+    if not sums:
+        return df.groupBy(*comm).agg(*[OPS[op](F.col(col)).alias(name) for name, (op, col) in ops.items()])
+    others = {name: (OPS[op], col) for name, (op, col) in ops.items() if name not in sums}
+    return exact_sums(df, comm, sums, others).select(*comm, *ops)
 
 
 def broadcast_root(
@@ -114,24 +122,34 @@ def split(
     return row_number(df, [*(parent or []), color], order, "new_rank", start=0, **limits)
 
 
-def translate(ranks: DataFrame, comm: str, rank: str, table: DataFrame, levels: int) -> DataFrame:
-    """Follow a rank up ``levels`` communicators to its world rank.
+def translate(ranks: DataFrame, comm: str, rank: str, table: DataFrame) -> DataFrame:
+    """Follow ranks up to their world ranks, however deep their communicators are nested.
 
-    ``table`` has ``(comm, parent_comm, origin_rank, new_rank)``; the result
-    adds ``world_rank``.
+    ``table`` has ``(comm, parent_comm, origin_rank, new_rank)``; the world has no rows in it.  The result adds
+    ``world_rank``.  Every row points to its parent; each round points it to where its target points, so pointers
+    double their length and depth d takes log2(d) rounds.  Communicators nested in one another's children
+    and an origin rank that its parent does not have are errors.
     """
-    out = ranks.withColumns({"_comm": F.col(comm), "_rank": F.col(rank)})
-    table = cut(table, "comms") if levels > 1 else table
-    for _ in range(levels):
-        up = table.select(
-            F.col("comm").alias("_comm"),
-            F.col("new_rank").alias("_rank"),
-            F.col("parent_comm").alias("_parent"),
-            F.col("origin_rank").alias("_origin"),
+    jumps = cut(table.select(
+        F.col("comm").alias("_comm"), F.col("new_rank").alias("_rank"),
+        F.col("parent_comm").alias("_up"), F.col("origin_rank").alias("_origin"),
+    ), "jumps")
+    comms = cut(jumps.select(F.col("_comm").alias("_known")).distinct(), "comms")
+    rounds, moved = comms.count().bit_length(), True
+    while moved:
+        if rounds < 0:
+            raise ValueError("communicators are nested in a cycle")
+        further = jumps.select(
+            F.col("_comm").alias("_up"), F.col("_rank").alias("_origin"), F.struct("_up", "_origin").alias("_next")
         )
-        out = out.join(up, ["_comm", "_rank"], "left")
-        out = out.withColumns({
-            "_rank": F.when(F.col("_parent").isNull(), F.col("_rank")).otherwise(F.col("_origin")),
-            "_comm": F.coalesce("_parent", "_comm"),
-        }).drop("_parent", "_origin")
-    return out.withColumnRenamed("_rank", "world_rank").drop("_comm")
+        jumps = cut(jumps.join(further, ["_up", "_origin"], "left").select(
+            "_comm", "_rank", F.coalesce("_next._up", "_up").alias("_up"),
+            F.coalesce("_next._origin", "_origin").alias("_origin"), F.col("_next").isNotNull().alias("_moved"),
+        ), "jumps")
+        moved = not jumps.filter("_moved").isEmpty()
+        rounds -= 1
+    lost = jumps.join(comms, F.col("_up") == F.col("_known"), "left_semi").select("_up", "_origin").first()
+    if lost is not None:
+        raise ValueError(f"no rank {lost[1]} in communicator {lost[0]}")
+    ends = jumps.select(F.col("_comm").alias(comm), F.col("_rank").alias(rank), F.col("_origin").alias("_world"))
+    return ranks.join(ends, [comm, rank], "left").withColumn("world_rank", F.coalesce("_world", rank)).drop("_world")

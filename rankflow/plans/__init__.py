@@ -1,5 +1,6 @@
 """Plan shapes shared by the operators: written tables, group attach, ordered groups."""
 
+from rankflow.plans.exact import exact_sums
 from rankflow.plans.ordered import (
     previous_value,
     row_number,
@@ -11,6 +12,7 @@ from rankflow.plans.shared import attach, cut, new_path, shared_dir
 __all__ = [
     "attach",
     "cut",
+    "exact_sums",
     "new_path",
     "previous_value",
     "row_number",

@@ -341,3 +341,41 @@ def test_python_chunks_may_come_in_pieces(spark, batch):
         assert tuple(out.first()) == (98.0, 2)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def nested_comms(depth, top=12):
+    """Rows of ``depth`` splits, each of the upper half of the ranks before, and the world rank of every rank of each."""
+    rows, worlds, held = [], {}, list(range(top))
+    for level in range(1, depth + 1):
+        upper = held[len(held) // 2 :] if len(held) > 1 else held
+        parent = f"c{level - 1}" if level > 1 else "world"
+        for new, world in enumerate(upper):
+            rows.append((f"c{level}", parent, held.index(world), new))
+            worlds[f"c{level}", new] = world
+        held = upper
+    return rows, worlds
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 6, 9])
+def test_ranks_are_followed_up_any_depth(spark, depth):
+    from rankflow.operators.collectives import translate
+
+    rows, worlds = nested_comms(depth)
+    table = spark.createDataFrame(rows, "comm string, parent_comm string, origin_rank long, new_rank long")
+    asked = spark.createDataFrame([*worlds, ("world", 5)], "comm string, rank long")
+    got = {(r.comm, r.rank): r.world_rank for r in translate(asked, "comm", "rank", table).collect()}
+    assert got == worlds | {("world", 5): 5}
+
+
+def test_cycles_and_lost_ranks_fail(spark):
+    from rankflow.operators.collectives import translate
+
+    kinds = "comm string, parent_comm string, origin_rank long, new_rank long"
+    asked = spark.createDataFrame([("a", 0)], "comm string, rank long")
+    for rows in ([("a", "a", 0, 0)], [("a", "b", 0, 0), ("b", "c", 0, 0), ("c", "a", 0, 0)]):
+        with pytest.raises(ValueError, match="cycle"):
+            translate(asked, "comm", "rank", spark.createDataFrame(rows, kinds))
+    with pytest.raises(ValueError, match="no rank 7 in communicator b"):
+        translate(asked, "comm", "rank", spark.createDataFrame([("a", "b", 7, 0), ("b", "world", 0, 0)], kinds))
+    empty = spark.createDataFrame([], kinds)
+    assert translate(asked, "comm", "rank", empty).first().world_rank == 0
