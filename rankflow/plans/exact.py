@@ -22,27 +22,26 @@ WIDTH, LOWEST = 24, -1074
 PLACES = (1024 - LOWEST) // WIDTH + 1
 #: Places above the highest that carries may reach.
 SPARE = 3
-_KIND = "array<struct<place: int, digit: bigint>>"
 
 
-def _power(place: Column) -> Column:
-    return F.get(F.array(*[F.lit(2.0 ** (LOWEST + WIDTH * i)) for i in range(PLACES)]), place)
+def _highest(value: Column) -> Column:
+    """The highest place of a double; null for null and values that are not finite.
+
+    A logarithm that is rounded to the next place still leaves four digits that hold all bits.
+    """
+    high = F.floor((F.log2(F.abs(value)) - LOWEST) / WIDTH)
+    finite = F.abs(value) <= F.lit(1.7976931348623157e308)
+    return F.when(finite, F.least(F.greatest(high, F.lit(3)), F.lit(PLACES - 1)).cast("int"))
+
+
+def _scaled(value: Column, high: Column) -> Column:
+    """The value in units of its highest place; dividing by a power of two is exact."""
+    return value / F.get(F.array(*[F.lit(2.0 ** (LOWEST + WIDTH * i)) for i in range(PLACES)]), high)
 
 
-def digits_of(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add ``name``: the (place, digit) pairs of a double column; none for null, zero and values that are not finite."""
-    work = df.withColumn("_rest", F.col(value).cast("double"))
-    finite = F.abs("_rest") <= F.lit(1.7976931348623157e308)
-    high = F.floor((F.log2(F.abs("_rest")) - LOWEST) / WIDTH)
-    # A logarithm that is rounded to the next place still leaves four digits that hold all bits.
-    work = work.withColumn("_high", F.when(finite, F.least(F.greatest(high, F.lit(3)), F.lit(PLACES - 1)).cast("int")))
-    for i in range(4):
-        scaled = F.col("_rest") / _power(F.col("_high") - i)
-        work = work.withColumn(f"_digit{i}", F.when(F.col("_rest") < 0, F.ceil(scaled)).otherwise(F.floor(scaled)))
-        work = work.withColumn("_rest", F.col("_rest") - F.col(f"_digit{i}") * _power(F.col("_high") - i))
-    pairs = F.array(*[F.struct((F.col("_high") - i).alias("place"), F.col(f"_digit{i}").alias("digit")) for i in range(4)])
-    some = F.when(F.col("_high").isNotNull(), F.filter(pairs, lambda p: p["digit"] != 0))
-    return work.withColumn(name, F.coalesce(some, F.array()).cast(_KIND)).drop("_rest", "_high", *[f"_digit{i}" for i in range(4)])
+def _digit(scaled: Column, i: int) -> Column:
+    """The digit ``i`` places below the highest; remainders of doubles are exact, the cast cuts towards zero."""
+    return (scaled if i == 0 else scaled * F.lit(2.0 ** (WIDTH * i)) % F.lit(2.0**WIDTH)).cast("bigint")
 
 
 def joined(pairs: Column) -> Column:
@@ -95,18 +94,18 @@ def exact_sums(df: DataFrame, keys: list[str], sums: dict[str, str], others: dic
     others = others or {}
     work = df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(sums.values())],
                      *[F.col(c).alias(f"_o{i}") for i, (_, c) in enumerate(others.values())])
-    for i in range(len(sums)):
-        work = digits_of(work, f"_v{i}", f"_d{i}")
-    kind = "array<struct<of: int, place: int, digit: bigint>>"
+    work = work.withColumns({f"_k{i}": _highest(F.col(f"_v{i}")) for i in range(len(sums))})
+    work = work.withColumns({f"_x{i}": _scaled(F.col(f"_v{i}"), F.col(f"_k{i}")) for i in range(len(sums))})
 
-    def listed(i: int) -> Column:
-        return F.transform(f"_d{i}", lambda p: F.struct(F.lit(i).alias("of"), p["place"].alias("place"), p["digit"].alias("digit")))
+    def entry(of: int, place: Column, digit: Column) -> Column:
+        return F.struct(F.lit(of).alias("of"), place.alias("place"), digit.alias("digit"))
 
-    first = F.array(F.struct(F.lit(-1).alias("of"), F.lit(0).alias("place"), F.lit(0).alias("digit"))).cast(kind)
+    listed = [entry(-1, F.lit(0), F.lit(0).cast("bigint"))]
+    listed += [entry(i, F.col(f"_k{i}") - j, _digit(F.col(f"_x{i}"), j)) for i in range(len(sums)) for j in range(4)]
     whole = F.col("_p.of") == -1
     # What a digit cannot carry: whether there was a value at all, and values that are not finite.
     odd = lambda v: F.when(whole & (F.isnan(v) | (F.abs(v) == float("inf"))), F.col(v))
-    rows = work.withColumn("_p", F.explode(F.concat(first, *map(listed, range(len(sums)))))).select(
+    rows = work.withColumn("_p", F.explode(F.array(*listed))).filter("_p.of < 0 OR _p.digit <> 0").select(
         *keys, "_p.of", "_p.place", "_p.digit",
         *[F.when(whole & F.col(f"_v{i}").isNotNull(), F.lit(True)).alias(f"_some{i}") for i in range(len(sums))],
         *[odd(f"_v{i}").alias(f"_odd{i}") for i in range(len(sums))],
