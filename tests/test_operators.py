@@ -379,3 +379,50 @@ def test_cycles_and_lost_ranks_fail(spark):
         translate(asked, "comm", "rank", spark.createDataFrame([("a", "b", 7, 0), ("b", "world", 0, 0)], kinds))
     empty = spark.createDataFrame([], kinds)
     assert translate(asked, "comm", "rank", empty).first().world_rank == 0
+
+
+def test_a_python_reducer_does_not_depend_on_batches(spark):
+    from rankflow.catalog.tasks import MOMENTS
+
+    rows = [(i % 3 if i % 7 else None, (i * 7919) % 1000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "chunk_id int, v long").repartition(40)
+    want = {}
+    for chunk, v in rows:
+        want.setdefault(chunk, []).append(v)
+    want = {c: (len(v), sum(v), sum(x * x for x in v), sorted(v)[:-4:-1]) for c, v in want.items()}
+    for batch, fan_in in (("10000", 64), ("7", 2)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {r.chunk_id: (r.n, r.total, r.squares, r.top) for r in tasks.chunk_states(df, MOMENTS, fan_in).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+    assert tasks.chunk_states(df.limit(0), MOMENTS).count() == 0
+
+
+def test_merges_stay_below_the_fan_in(spark):
+    largest = tasks.Reducer("n bigint, most bigint", {"n": 0, "most": 0}, lambda r: {"n": len(r), "most": 0}, lambda a, b: {
+        "n": a["n"] + b["n"], "most": a["most"] + b["most"]})
+    states = spark.range(500).select((F.col("id") % 2).alias("g"), F.lit(1).cast("bigint").alias("n"), F.col("id").alias("most"))
+    got = sorted(map(tuple, tasks.merge_states(states, ["g"], largest, fan_in=8).collect()))
+    assert got == [(0, 250, sum(range(0, 500, 2))), (1, 250, sum(range(1, 500, 2)))]
+    wrong = tasks.Reducer("n bigint", {"n": 1}, lambda r: {"n": len(r)}, lambda a, b: {"n": a["n"] + b["n"]})
+    with pytest.raises(Exception, match="not an identity"):
+        tasks.merge_states(states.select("g", "n"), ["g"], wrong).collect()
+
+
+def test_python_stages_leave_other_stages_rows_alone(spark):
+    from rankflow.catalog.tasks import MOMENTS, double
+
+    df = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in range(50)], "g string, v long").repartition(7)
+    stages = [
+        tasks.Stage(python=double, reducer=MOMENTS, finish=lambda n, total, squares, top: total),
+        tasks.Stage(columns={"v": F.col("v") + 1}),
+        tasks.Stage(python=double, reducer=MOMENTS, finish=lambda n, total, squares, top: top[0]),
+        tasks.Stage(result=F.sum, of=F.col("v")),
+    ]
+    total = sum(range(50))
+    row = (2 * total, None, 198, 4 * total + 100)
+    got = tasks.run_stages(df, stages, ["g"], fan_in=2)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(g, *row) for g in ("a", "b", None)], key=str)
+    assert tuple(tasks.run_stages(df.filter("g = 'a'"), stages, fan_in=2).first()) == row
