@@ -13,7 +13,7 @@ from rankflow.functions.ratios import hundredths, micros
 from rankflow.operators.experiments import star
 from rankflow.operators.profiles import coincidence_matrix, with_class
 from rankflow.plans import new_path
-from rankflow.sources import logs, results, sinks, stats, traces
+from rankflow.sources import commits, logs, results, sinks, stats, traces
 
 ORIGIN = 1704067200000000
 EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
@@ -334,6 +334,24 @@ def counter_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").pivot("event", EVENT_TYPES).agg(F.sum("value"))
 
 
+@query(
+    "counter_files",
+    "SELECT 'user' || CAST(user_id % 16 AS VARCHAR) AS run, "
+    + ", ".join(f"CAST(sum(CASE WHEN event_type = '{t}' THEN {cents('value')} END) AS BIGINT) AS {t}" for t in EVENT_TYPES)
+    + " FROM events GROUP BY 1",
+)
+def counter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter file for every run, its lines in the order of the events' names; absent counters are not counted."""
+    path = new_path(spark, "counters")
+    run = F.concat(F.lit("user"), (F.col("user_id") % 16).cast("string")).alias("run")
+    sums = table(spark, sf_dir, "events").groupBy(run).pivot("event_type", EVENT_TYPES).agg(F.sum(hundredths("value")))
+    line = lambda t: F.concat_ws(";;", F.coalesce(F.col(t).cast("string"), F.lit("<not counted>")), F.lit(t), F.lit("100.00%"))
+    text = F.array_join(F.array(*[line(t) for t in EVENT_TYPES]), "\n")
+    sums.repartition("run").select("run", text.alias("value")).write.partitionBy("run").text(path)
+    rows = results.read_counters(spark, path, EVENT_TYPES)
+    return rows.select(F.regexp_extract("file", "run=([^/]+)/", 1).alias("run"), *EVENT_TYPES)
+
+
 @query("load_csvs", "SELECT doc_id, n_chars, source FROM documents WHERE regexp_matches(source, '^src[0-4]$')")
 def load_csvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "csvs")
@@ -357,16 +375,19 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "long_text_lines",
-    f"SELECT count(*) AS n_lines, count(*) AS n_numbers, count(*) AS sum_of_last FROM ({SQL_LINES})",
+    "SELECT l_linenumber AS number, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) AS line_no,"
+    " l_orderkey || ' ' || l_partkey || ' ' || l_suppkey AS line FROM lineitem",
 )
 def long_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log file for each line number, its lines in the order of the keys."""
     path = new_path(spark, "lines")
-    table(spark, sf_dir, "documents").select("text").write.text(path)
-    lines = logs.read_long_lines(spark, path)
-    files = lines.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("numbers"), F.max("line_no").alias("last")
-    )
-    return files.agg(F.sum("n").alias("n_lines"), F.sum("numbers").alias("n_numbers"), F.sum("last").alias("sum_of_last"))
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf_dir, "lineitem").select(*keys, F.col("l_linenumber").alias("number"), F.concat_ws(" ", *keys).alias("line"))
+    # A file a number: the rows of one are in one task, sorted.
+    placed = lines.repartition("number").sortWithinPartitions("number", *keys).select("number", "line")
+    placed.write.partitionBy("number").text(path)
+    number = F.regexp_extract("file", "number=([0-9]+)", 1).cast("int").alias("number")
+    return logs.read_long_lines(spark, path).select(number, "line_no", "line")
 
 
 @query(
@@ -408,6 +429,55 @@ def placement_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "placement_grid_file",
+    f"""SELECT {sql_div("c_custkey", 16)} AS node, c_custkey AS rank,
+        CAST(row_number() OVER (PARTITION BY c_custkey // 16 ORDER BY c_custkey) - 1 AS INT) AS position FROM customer
+        WHERE {sql_div("c_custkey", 16)} < (SELECT max({sql_div("c_custkey", 16)}) FROM customer)""",
+)
+def placement_grid_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid file of 16 ranks a node; a comment before each node is passed over."""
+    path = new_path(spark, "grid")
+    node = F.expr("c_custkey div 16")
+    ranks = table(spark, sf_dir, "customer").select("c_custkey", node.alias("node"))
+    last = ranks.agg(F.max("node")).first()[0]
+    ranks = ranks.filter(F.col("node") < last)
+    listed = ranks.groupBy("node").agg(F.array_sort(F.collect_list("c_custkey")).alias("ranks"))
+    text = F.concat(F.lit("# node "), F.col("node"), F.lit("\n"), F.array_join(F.col("ranks").cast("array<string>"), ", "))
+    listed.orderBy("node").coalesce(1).select(text.alias("value")).write.text(path)
+    return logs.read_grid(spark, path)
+
+
+@query(
+    "timer_intervals_ns",
+    f"""SELECT CAST(user_id AS BIGINT) AS thread_rank, event_type AS timer_name, count(*) AS n,
+       CAST(sum({cents("value")} * 10) AS BIGINT) AS duration_ns, min((epoch_us(ts) - {ORIGIN}) * 1000) AS first_start_ns,
+       min(epoch_us(ts) // 1000000) AS first_second FROM events GROUP BY user_id, event_type""",
+)
+def timer_intervals_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "intervals")
+    start = (micros("ts") - ORIGIN) * 1000
+    in_layout(
+        table(spark, sf_dir, "events"),
+        schemas.TIMER_INTERVALS_NS,
+        thread_rank=F.col("user_id"),
+        timer_name=F.col("event_type"),
+        start_ns_from_beginning=start,
+        end_ns_from_beginning=start + hundredths("value") * 10,
+        duration_ns=hundredths("value") * 10,
+        thread_comm_partner_rank=F.lit(-1),
+        sequence_number=F.col("event_id"),
+        program_origin_sec=F.call_function("div", micros("ts"), F.lit(1000000)),
+        program_origin_nsec=micros("ts") % 1000000 * 1000,
+    ).write.csv(path, header=True)
+    return stats.read_intervals_ns(spark, path).groupBy(F.col("thread_rank").cast("bigint").alias("thread_rank"), "timer_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("duration_ns").alias("duration_ns"),
+        F.min("start_ns_from_beginning").alias("first_start_ns"),
+        F.min("program_origin_sec").alias("first_second"),
+    )
+
+
 @query(
     "payload_generator",
     """SELECT event_id, CAST((event_id // 1000 + 1) * 100000 + user_id * 100 + event_id % 1000 AS BIGINT) AS positional,
@@ -432,6 +502,44 @@ def append_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_config(spark.read.parquet(path))
 
 
+@query("append_runs_once", SQL_RESULTS)
+def append_runs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended again, and a try that failed before its record was written, change nothing."""
+    path = new_path(spark, "runs")
+    rows = _results(table(spark, sf_dir, "orders"))
+    rows.limit(100).write.parquet(f"{path}/parts/part=p0")
+    for run in ("F", "O", "F", "P", "O"):
+        commits.append_run(rows.filter(F.col("runtime") == run), path, run)
+    return _by_config(commits.read_runs(spark, path, rows.schema))
+
+
+@query(
+    "combined_refresh",
+    f"""SELECT CAST(o_orderkey % 3 AS VARCHAR) AS grp, count(*) AS n, CAST(sum({cents("o_totalprice")}) AS BIGINT) AS cycles,
+        CASE WHEN o_orderkey % 3 = 1 THEN '0 1' ELSE '0' END AS written_in FROM orders
+        WHERE o_orderstatus = 'F' OR o_orderkey % 3 = 1 GROUP BY ALL""",
+)
+def combined_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups of result files combined; then one gets another file, and only that is read and written again."""
+    path = new_path(spark, "refresh")
+    orders = table(spark, sf_dir, "orders").withColumn("grp", F.col("o_orderkey") % 3)
+    rows = orders.select(*_result_columns(), "grp", (F.col("o_orderstatus") == "F").alias("early"))
+
+    def bring_up_to_date() -> list[str]:
+        read = lambda files: results.read_results(spark, files, keep_file=True).select("elapsed_cycles", "_file")
+        return commits.refresh(spark, f"{path}/in/*/*/*.csv", "/in/([^/]+)/", read, f"{path}/out")[0]
+
+    for grp in range(3):
+        sinks.write_tsv(rows.filter(f"grp = {grp} AND early").drop("grp", "early"), f"{path}/in/{grp}/early")
+    written = [bring_up_to_date()]
+    sinks.write_tsv(rows.filter("grp = 1 AND NOT early").drop("grp", "early"), f"{path}/in/1/late")
+    written += [bring_up_to_date(), bring_up_to_date()]
+    rounds = F.concat_ws(" ", *[F.when(F.col("grp").isin(*w), F.lit(str(i))) for i, w in enumerate(written) if w])
+    return commits.read_combined(spark, f"{path}/out").groupBy("grp", rounds.alias("written_in")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("elapsed_cycles").alias("cycles")
+    )
+
+
 @query(
     "combined_tsv",
     f"""SELECT form, runtime, config, n, cycles FROM ({SQL_RESULTS})

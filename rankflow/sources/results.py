@@ -29,13 +29,15 @@ def read_results(
     header: bool = True,
     prefix: str = "",
     counters: re.Pattern | None = COUNTER,
+    keep_file: bool = False,
 ) -> DataFrame:
     """Tab-separated results, one row per rank per run, bound by each file's own header.
 
     Files may differ in the order of columns, in how many custom timers they have and in their counters: a column
     whose name ``counters`` matches holds whole numbers.  The result has the layout's columns, then further timers and
     counters, each null in rows of files without it.  A header without run, rank or time, an unknown
-    column and a malformed number fail the load.  With ``schema`` the columns are exactly its own.
+    column and a malformed number fail the load.  With ``schema`` the columns are exactly its own.  ``keep_file``
+    adds the path of each row's file as ``_file``.
     """
     if not header:
         plain = spark.read.csv(path, schema=schema or schemas.results(prefix=prefix), sep="\t", header=False, mode="FAILFAST")
@@ -54,8 +56,8 @@ def read_results(
     df = read_united(spark, path, kind, [f"{prefix}run_unique_id", f"{prefix}thread_rank", "elapsed_cycles"], sep="\t")
     absent = [F.lit(None).cast(t).alias(n) for n, t in layout.items() if n not in df.columns]
     more = [n for n in df.columns if n not in layout and n != "_file"]
-    df = df.select("*", *absent).select(*[F.col(f"`{n}`") for n in [*layout, *more]])
-    return _plain(df, prefix)
+    own = [*layout, *more, *(["_file"] if keep_file else [])]
+    return _plain(df.select("*", *absent).select(*[F.col(f"`{n}`") for n in own]), prefix)
 
 
 def counter_rows(lines: DataFrame, position: str, line: str, names: list[str]) -> DataFrame:

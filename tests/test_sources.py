@@ -271,3 +271,55 @@ def test_reports_in_another_order(spark, write):
     bad = "direction, from, to, channel_endpoint_id, seq_num, channel_type, mpi_called\nsend, 0, zz, 7, 1, process, MPI_NO\n"
     with pytest.raises(Exception, match="MALFORMED|alformed"):
         traces.read_comm_trace(spark, write("z/a.csv", bad)).collect()
+
+
+def test_a_run_is_appended_once(spark, tmp_path):
+    from rankflow.sources.commits import append_run, read_runs
+
+    path = str(tmp_path / "runs")
+    one, two = (spark.createDataFrame([(r, i) for i in range(3)], "run_name string, n int") for r in ("one", "two"))
+    one.write.parquet(f"{path}/parts/part=p00")  # a failed try
+    assert [append_run(df, path, run) for df, run in ((one, "1"), (one, "1"), (two, "2"), (one, "1"))] == [True, False, True, False]
+    for schema in (None, one.schema):
+        got = sorted(map(tuple, read_runs(spark, path, schema).collect()))
+        assert got == [("one", i) for i in range(3)] + [("two", i) for i in range(3)]
+    # Two tries that raced: one of them counts.
+    one.write.parquet(f"{path}/parts/part=p01")
+    spark.createDataFrame([("1", "p01")], "run string, part string").write.mode("append").parquet(f"{path}/records")
+    assert read_runs(spark, path).count() == 6
+
+
+def test_only_stale_groups_are_written_again(spark, tmp_path):
+    from rankflow.sources.commits import read_combined, refresh
+
+    def put(name, rows):
+        target = tmp_path / "in" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("a,b\n" + "".join(f"{a},{b}\n" for a, b in rows))
+        return target
+
+    def run():
+        read = lambda files: spark.read.csv(files, schema="a int, b string", header=True).withColumn("_file", F.col("_metadata.file_path"))
+        return refresh(spark, str(tmp_path / "in/*/*.csv"), "/in/([^/]+)/", read, str(tmp_path / "out"))
+
+    def rows():
+        return sorted((r.grp, r.a, r.b) for r in read_combined(spark, str(tmp_path / "out")).collect())
+
+    put("01/x.csv", [(1, "p")])
+    put("02/x.csv", [(2, "q")])
+    gone = put("e5/x.csv", [(3, "r")])
+    assert run() == (["01", "02", "e5"], [])
+    assert rows() == [("01", 1, "p"), ("02", 2, "q"), ("e5", 3, "r")]
+    parts = {p.name for p in (tmp_path / "out" / "parts").glob("part=*")}
+    assert run() == ([], []) and {p.name for p in (tmp_path / "out" / "parts").glob("part=*")} == parts
+    put("02/y.csv", [(4, "s")])
+    assert run() == (["02"], []) and len(list((tmp_path / "out" / "parts").glob("part=*"))) == 2
+    assert rows() == [("01", 1, "p"), ("02", 2, "q"), ("02", 4, "s"), ("e5", 3, "r")]
+    gone.unlink()
+    put("01/x.csv", [(9, "longer")])
+    assert run() == (["01"], ["e5"])
+    assert rows() == [("01", 9, "longer"), ("02", 2, "q"), ("02", 4, "s")]
+    put("01/x.csv", [(8, "longer")])
+    put("02/y.csv", [(7, "t")])
+    put("03/z.csv", [(6, "u")])
+    assert run() == (["01", "02", "03"], [])
