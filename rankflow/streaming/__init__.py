@@ -7,11 +7,13 @@ from rankflow.streaming.follow import (
     follow_rank_stats,
     gate_late,
     open_table,
+    require_all,
     require_complete,
     run_to_table,
     seen_once,
     stats_to_table,
     stripped_lines,
+    watch_jobs,
 )
 
 __all__ = [
@@ -21,9 +23,11 @@ __all__ = [
     "follow_rank_stats",
     "gate_late",
     "open_table",
+    "require_all",
     "require_complete",
     "run_to_table",
     "seen_once",
     "stats_to_table",
     "stripped_lines",
+    "watch_jobs",
 ]

@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rankflow import schemas
 from rankflow.operators.experiments import completeness, minutes_left, progress
 from rankflow.plans import new_path
 
 
-
 def open_table(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """Parquet files as a stream; a single file must be named by a glob such as ``{name}.parquet``."""
     return spark.readStream.schema(schema).options(**options).parquet(path)
@@ -150,6 +152,94 @@ def gate_late(
     return completeness(expected, found, [job], want, "found"), rows.filter("NOT on_time").drop("on_time")
 
 
+#: Seconds between two looks, and looks after the first.
+LOOK_SECONDS, LOOKS = 15, 60
+LATE_STATE = "want bigint, looks array<bigint>, done boolean"
+LATE_STATUS = "job string, want bigint, found bigint, look int, status string"
+
+
+class LateJobs(StatefulProcessor):
+    """Counts a job's files by the look at which they are there; one timer a job.
+
+    The first look is ``first`` (seconds), others follow every ``LOOK_SECONDS``; a look is decided once the watermark has
+    passed it.  A job's row comes out at the first look with all its files, or, with what there is, at the last.
+    """
+
+    def __init__(self, first: int):
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("files", LATE_STATE)
+
+    def look_at(self, seconds: float) -> int:
+        """The first look at which what arrives then is there; ``LOOKS`` + 1 if none."""
+        return min(LOOKS + 1, max(0, -int(-(seconds - self.first) // LOOK_SECONDS)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        want, looks, done = self.state.get() if self.state.exists() else (None, [0] * (LOOKS + 2), False)
+        looks, new = list(looks), want is None
+        for frame in rows:
+            for n, seconds in zip(frame["want"], frame["seconds"]):
+                if pd.isna(n):
+                    looks[self.look_at(seconds)] += 1
+                else:
+                    want = int(n)
+        self.state.update((want, looks, done))
+        if new and want is not None:
+            self.handle.registerTimer(int(self.first * 1000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        want, looks, _ = self.state.get()
+        # Looks the watermark has passed: nothing that arrived until then is still to come.
+        passed = self.look_at(timerValues.getCurrentWatermarkInMs() / 1000 + 0.001) - 1
+        there = list(accumulate(looks[: LOOKS + 1]))
+        full = next((i for i, n in enumerate(there) if n >= want), None)
+        if full is not None and full <= passed:
+            found, look = there[full], full
+        elif passed >= LOOKS:
+            found, look = there[LOOKS], LOOKS
+        else:
+            ahead = full if full is not None else passed + 1
+            self.handle.registerTimer(int((self.first + ahead * LOOK_SECONDS) * 1000))
+            return
+        status = "failed" if found < want else "surplus" if found > want else "ok"
+        yield pd.DataFrame({"job": [key[0]], "want": [want], "found": [found], "look": [look], "status": [status]})
+
+    def close(self) -> None:
+        pass
+
+
+def watch_jobs(arrivals: DataFrame, expected: DataFrame, started: int, first_wait: int, delay: str = "0 seconds") -> DataFrame:
+    """The status of every expected job, as a stream that decides each job at the look at which its files are there.
+
+    ``arrivals`` is a stream of ``(job, arrived)``, a row per file; ``expected`` one of ``(job, want)``; both times are
+    seconds since the epoch, ``delay`` is how far arrivals may come out of order.  Time is that of the arrivals: looks
+    pass as the watermark does, so the answer does not depend on how files fall into batches.
+    Needs the RocksDB state store.
+    """
+    empty = F.lit(None)
+    files = arrivals.select(F.col("job").cast("string").alias("job"), empty.cast("bigint").alias("want"), F.col("arrived").alias("at"))
+    wanted = expected.select(F.col("job").cast("string").alias("job"), F.col("want").cast("bigint"), F.lit(started).cast("bigint").alias("at"))
+    rows = wanted.unionByName(files)
+    rows = rows.select("job", "want", F.col("at").cast("double").alias("seconds"), F.timestamp_seconds("at").alias("at"))
+    return rows.withWatermark("at", delay).groupBy("job").transformWithStateInPandas(
+        LateJobs(started + first_wait), LATE_STATUS, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def require_all(status: DataFrame, job: str = "job", most: int = 20) -> DataFrame:
+    """The status table; fails with the names of all jobs that lack output, ``most`` of them at most, and their number."""
+    failed = status.filter(F.col("status") == "failed")
+    names = [str(r[0]) for r in failed.select(job).orderBy(job).limit(most + 1).collect()]
+    if names:
+        more = failed.count() - most
+        rest = f" and {more} more" if more > 0 else ""
+        raise RuntimeError(f"missing output of jobs {', '.join(names[:most])}{rest}")
+    return status
+
+
 def require_complete(status: DataFrame, job: str) -> DataFrame:
     """The status table, failing with the first job that lacks output."""
     missing = F.raise_error(F.concat(F.lit("missing output of job "), F.col(job).cast("string"))).cast("boolean")
