@@ -12,7 +12,7 @@ from rankflow.functions.payload import payload_value
 from rankflow.functions.ratios import hundredths, micros
 from rankflow.operators.experiments import star
 from rankflow.operators.profiles import coincidence_matrix, with_class
-from rankflow.plans import new_path
+from rankflow.plans import new_path, row_number
 from rankflow.sources import commits, logs, results, sinks, stats, traces
 
 ORIGIN = 1704067200000000
@@ -573,6 +573,27 @@ def classed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("mode", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+SQL_CLASS = """CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END"""
+
+
+@query(
+    "classed_listing",
+    f"""SELECT 0 AS place, '"o_orderkey","symbol","mode"' AS line UNION ALL
+        SELECT row_number() OVER (ORDER BY {SQL_CLASS}, o_orderkey),
+        '"' || o_orderkey || '","' || o_orderpriority || '","' || {SQL_MODE} || '"' FROM orders""",
+)
+def classed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "listing")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("symbol"))
+    sinks.write_class_listing(
+        with_class(rows, "symbol", PRIORITY_CLASSES), path, [*PRIORITY_CLASSES, "compute"], ["o_orderkey"]
+    )
+    # Files by name, then lines: the listing as it would be put together.
+    part = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")
+    lines = logs.read_long_lines(spark, path).select(part.alias("part"), "line_no", "line")
+    return row_number(lines, [], ["part", "line_no"], "place", start=0).select("place", "line")
+
+
 @query(
     "rank_cpu_map",
     """SELECT lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(4, length(CAST(s_suppkey AS VARCHAR))) AS INT), '0') AS thread_rank,

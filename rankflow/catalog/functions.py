@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankflow.catalog.registry import cents, query, sql_div, table
 from rankflow.functions.chunks import aligned_length, chunk_bounds, chunk_length, slice_of
 from rankflow.functions.labels import config_label, numbered, runtime_key
-from rankflow.functions.ranges import check_unique, expand_hosts, expand_ranges
+from rankflow.functions.ranges import check_unique, expand_hosts, expand_ranges, range_counts
 from rankflow.functions.ratios import clock, hundredths, leading_digits, percent
 from rankflow.operators.tasks import with_chunks
 from rankflow.sources.stats import custom_timers_long
@@ -172,3 +172,26 @@ def expand_hosts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unique_ranks", f"SELECT {sql_div('count(*)', 1)} AS n_unique FROM customer")
 def unique_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_unique(table(spark, sf_dir, "customer"), ["c_custkey"])
+
+
+SQL_LO = "CAST(s_suppkey * 1000000 AS BIGINT)"
+SQL_LENGTH = "CAST(1000000000 + s_suppkey % 7 * 300000000 AS BIGINT)"
+
+
+@query(
+    "range_counts",
+    f"""WITH r AS (SELECT s_nationkey, s_suppkey, {SQL_LO} AS lo, {SQL_LO} + {SQL_LENGTH} - 1 AS hi FROM supplier
+          UNION ALL SELECT s_nationkey, s_suppkey, s_suppkey, s_suppkey FROM supplier),
+        s AS (SELECT *, max(hi) OVER (PARTITION BY s_nationkey ORDER BY lo, hi, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+          AS reached FROM r)
+        SELECT s_nationkey, CAST(sum(hi - lo + 1) AS BIGINT) AS n_members,
+          CAST(sum(hi - lo + 1 - greatest(coalesce(least(hi, reached) - lo + 1, 0), 0)) AS BIGINT) AS n_distinct,
+          CAST(sum(greatest(coalesce(least(hi, reached) - lo + 1, 0), 0)) AS BIGINT) AS n_repeated FROM s GROUP BY 1""",
+)
+def range_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps among ranges of a thousand million members and more."""
+    low = F.col("s_suppkey").cast("bigint") * 1000000
+    high = low + 1000000000 + F.col("s_suppkey") % 7 * 300000000 - 1
+    spec = F.concat_ws(",", F.concat_ws("-", low, high), F.col("s_suppkey").cast("string"))
+    counts = range_counts(table(spark, sf_dir, "supplier").select("s_nationkey", spec.alias("spec")), "spec", ["s_nationkey"])
+    return counts.select("s_nationkey", *[F.col(c).cast("bigint").alias(c) for c in ("n_members", "n_distinct", "n_repeated")])

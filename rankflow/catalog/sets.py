@@ -88,20 +88,27 @@ def distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "placement_check",
-    f"""WITH r AS (SELECT c_custkey - c_custkey % 2 AS rank, {sql_div("c_custkey", 64)} AS process, c_custkey AS position FROM customer),
-        n AS (SELECT count(*) AS n FROM customer)
-        SELECT count(*) AS n_ranks, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_bad_process,
-        CAST(0 AS BIGINT) AS n_steps_back, (SELECT n FROM n) - count(DISTINCT rank) AS n_missing,
-        (SELECT count(*) FROM (SELECT rank FROM r GROUP BY rank HAVING count(*) > 1)) AS n_repeated FROM r""",
+    f"""WITH n AS (SELECT count(*) AS n FROM customer),
+        r AS (SELECT CASE WHEN c_custkey % 50 = 7 THEN c_custkey + n ELSE c_custkey - c_custkey % 2 END AS rank,
+          CASE c_custkey % 90 WHEN 11 THEN -1 WHEN 13 THEN {sql_div("c_custkey", 64)} - 1 ELSE {sql_div("c_custkey", 64)} END AS process,
+          c_custkey AS position FROM customer, n),
+        b AS (SELECT *, lag(process) OVER (ORDER BY position) AS before FROM r)
+        SELECT count(*) AS n_ranks, count(*) FILTER (rank NOT BETWEEN 0 AND (SELECT n FROM n) - 1) AS n_foreign,
+        count(*) FILTER (process NOT BETWEEN 0 AND (SELECT (n + 63) // 64 - 1 FROM n)) AS n_bad_process,
+        count(*) FILTER (process < before) AS n_steps_back,
+        (SELECT n FROM n) - count(DISTINCT rank) FILTER (rank BETWEEN 0 AND (SELECT n FROM n) - 1) AS n_missing,
+        (SELECT count(*) FROM (SELECT rank FROM r GROUP BY rank HAVING count(*) > 1)) AS n_repeated FROM b""",
 )
 def placement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every odd rank is replaced by the even one below it, so the check has something to find.
-    ranks = table(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") - F.col("c_custkey") % 2).alias("rank"),
-        placement.block_process(F.col("c_custkey"), 64).alias("process"),
-        F.col("c_custkey").alias("position"),
+    """Every odd rank is replaced by the even one below it, some by foreign ones, and some processes are wrong."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    total = customers.count()
+    key, process = F.col("c_custkey"), placement.block_process(F.col("c_custkey"), 64)
+    ranks = customers.select(
+        F.when(key % 50 == 7, key + total).otherwise(key - key % 2).alias("rank"),
+        F.when(key % 90 == 11, -1).when(key % 90 == 13, process - 1).otherwise(process).alias("process"),
+        key.alias("position"),
     )
-    total = ranks.count()
     return placement.check_placement(ranks, "rank", "process", "position", total, -(-total // 64))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.ratios import percent
 from rankflow.plans import attach, cut, row_number
+from rankflow.plans.shared import null_safe
 
 # Default of spark.sql.optimizer.windowGroupLimitThreshold.
 WINDOW_LIMIT = 1000
@@ -85,6 +86,71 @@ def config_median(df: DataFrame, config: list[str], run: list[str], elapsed: str
     return attach(counts, medians, config).select(*config, "median_elapsed", "n_runs")
 
 
+BIN_BITS = 11
+
+
+def middle_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, n, low, high)``: the two middle values of each group (equal for odd counts), without sorting rows.
+
+    All groups are narrowed at once: each round counts a bracket's values in 2**``BIN_BITS`` bins, combined
+    in the tasks before the shuffle, and keeps the bin that holds the lower middle place, until a bin is one
+    value.  A group of any size and skew is spread over all tasks.  Values are whole numbers; nulls are left out.
+    """
+    bits = lambda c: F.length(F.bin(c))
+    start = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(value).cast("bigint").alias("_lo"), F.max(value).cast("bigint").alias("_hi")
+    )
+    shift = F.greatest(bits(F.col("_hi") - F.col("_lo")) - BIN_BITS, F.lit(0))
+    state = cut(start.select(
+        *keys, "n", "_lo", shift.alias("_shift"), F.call_function("div", F.col("n") + 1, F.lit(2)).alias("_place")
+    ), "brackets")
+    while (state.agg(F.max("_shift")).first()[0] or 0) >= 0 and not state.isEmpty():
+        rows = null_safe(df.select(*keys, value), state, keys, "inner")
+        bin_ = F.call_function("shiftright", F.col(value).cast("bigint") - F.col("_lo"), F.greatest("_shift", F.lit(0)))
+        inside = rows.filter(F.col("_shift") >= 0).withColumn("_bin", bin_).filter(F.col("_bin").between(0, (1 << BIN_BITS) - 1))
+        counts = inside.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+        listed = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bin", "_n"))).alias("_bins"))
+        both = null_safe(state, listed, keys)
+        found = both.withColumn("_found", _bin_of("_bins", "_place"))
+        open_ = F.col("_shift") >= 0
+        state = cut(found.select(
+            *keys, "n",
+            F.when(open_, F.col("_lo") + F.call_function("shiftleft", F.col("_found.bin"), F.col("_shift"))).otherwise(F.col("_lo")).alias("_lo"),
+            F.when(F.col("_shift") > 0, F.greatest(F.col("_shift") - BIN_BITS, F.lit(0))).otherwise(-1).alias("_shift"),
+            F.when(open_, F.col("_place") - F.col("_found.before")).otherwise(F.col("_place")).alias("_place"),
+        ), "brackets")
+    # The upper middle value: the same, unless all values up to it end there.
+    rows = null_safe(df.select(*keys, value), state.select(*keys, "n", "_lo"), keys, "inner")
+    ends = rows.groupBy(*keys, "n", "_lo").agg(
+        F.count_if(F.col(value) <= F.col("_lo")).alias("_upto"), F.min(F.when(F.col(value) > F.col("_lo"), F.col(value))).alias("_next")
+    )
+    upper = F.call_function("div", F.col("n") + 2, F.lit(2))
+    return ends.select(*keys, "n", F.col("_lo").alias("low"), F.when(F.col("_upto") >= upper, F.col("_lo")).otherwise(F.col("_next")).alias("high"))
+
+
+def _bin_of(bins: str, place: str) -> Column:
+    """The bin that holds the given place, and how many values lie before it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("bigint").alias("bin"))
+
+    def step(a: Column, b: Column) -> Column:
+        here = a["bin"].isNull() & (a["before"] + b["_n"] >= F.col(place))
+        return F.struct(
+            F.when(a["bin"].isNotNull() | here, a["before"]).otherwise(a["before"] + b["_n"]).alias("before"),
+            F.when(here, b["_bin"]).otherwise(a["bin"]).alias("bin"),
+        )
+
+    return F.aggregate(bins, start, step)
+
+
+def config_median_counted(df: DataFrame, config: list[str], run: list[str], elapsed: str) -> DataFrame:
+    """The rows of :func:`config_median`, its middle values found by counting: no run is sorted or numbered."""
+    runs = cut(df.groupBy(*config, *run).agg(F.max(elapsed).alias("_slowest")), "runs")
+    middle = middle_values(runs, config, "_slowest")
+    mean = (F.col("low").cast("double") + F.col("high").cast("double")) / 2
+    counts = runs.groupBy(*config).agg(F.count(F.lit(1)).alias("n_runs"))
+    return attach(counts, middle.select(*config, mean.alias("median_elapsed")), config).select(*config, "median_elapsed", "n_runs")
+
+
 def speed_up(medians: DataFrame, config: list[str], variant: str, baseline: str, tested: str, elapsed: str) -> DataFrame:
     """Baseline median over tested median per configuration."""
 

@@ -4,6 +4,7 @@ from rankflow.plans.exact import exact_sums
 from rankflow.plans.ordered import (
     previous_value,
     row_number,
+    running_max,
     running_sum,
     split_groups,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "new_path",
     "previous_value",
     "row_number",
+    "running_max",
     "running_sum",
     "shared_dir",
     "split_groups",

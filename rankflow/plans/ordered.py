@@ -170,6 +170,31 @@ def running_sum(
     return work.drop(*out.splits, *names.values())
 
 
+def running_max(
+    df: DataFrame, partition: list[str], order: list[str], column: str, name: str, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """The largest value of the rows before each row of an ordered group; null on the first one."""
+    out = split_groups(df, partition, order, group_rows)
+    before = out.window().rowsBetween(Window.unboundedPreceding, -1)
+    work = out.df.withColumn(name, F.max(column).over(before))
+    if out.splits:
+        totals = out.split_totals(F.max(column).alias("_base"))
+        work = _join_bases(out, work, _max_bases(out, totals, len(out.splits)))
+        work = work.withColumn(name, F.greatest(F.col(name), F.col("_base")))
+    return work.drop(*out.splits, "_base")
+
+
+def _max_bases(out: OrderedGroups, totals: DataFrame, depth: int) -> DataFrame:
+    """The largest value before each piece, over all pieces of its group."""
+    keys, window = _level(out, depth)
+    bases = totals.select(*keys, F.max("_base").over(window.rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    if depth == 1:
+        return bases
+    upper = _max_bases(out, totals.groupBy(*keys[:-1]).agg(F.max("_base").alias("_base")), depth - 1)
+    both = null_safe(bases, upper.withColumnRenamed("_base", "_up"), keys[:-1])
+    return both.select(*keys, F.greatest("_base", "_up").alias("_base"))
+
+
 def row_number(
     df: DataFrame,
     partition: list[str],

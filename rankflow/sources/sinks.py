@@ -31,6 +31,26 @@ def write_classed(df: DataFrame, path: str, mode: str = "mode") -> None:
     df.write.partitionBy(mode).csv(path, header=True, quoteAll=True)
 
 
+def write_class_listing(df: DataFrame, path: str, classes: list[str], order: list[str], mode: str = "mode") -> None:
+    """One listing of quoted rows in class order, its header in the first line only.
+
+    The parts are written by ranges of (class, ``order``), so put one after another by name they are the
+    listing; no task sorts more than its range.  A class that is not among ``classes`` is an error.
+    """
+    other = F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(mode), F.lit("null")))).cast("int")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(mode)).cast("int")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(F.col(f"`{c}`")) for c in df.columns])
+    keys = [f"_{i}" for i in range(len(order))]
+    rows = df.select(
+        F.when(place > 0, place).otherwise(other).alias("_class"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], line.alias("value")
+    )
+    head = F.concat_ws(",", *[quoted(F.lit(c)) for c in df.columns])
+    nothing = [F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys]
+    top = df.sparkSession.range(1).select(F.lit(0).alias("_class"), *nothing, head.alias("value"))
+    top.unionByName(rows).orderBy("_class", *keys, "value").select("value").write.text(path)
+
+
 def write_rank_map(stats: DataFrame, path: str) -> None:
     """rank -> cpu map, four-digit ranks in rank order across the part files."""
     columns = [
