@@ -185,8 +185,8 @@ SQL_LENGTH = "CAST(1000000000 + s_suppkey % 7 * 300000000 AS BIGINT)"
         s AS (SELECT *, max(hi) OVER (PARTITION BY s_nationkey ORDER BY lo, hi, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
           AS reached FROM r)
         SELECT s_nationkey, CAST(sum(hi - lo + 1) AS BIGINT) AS n_members,
-          CAST(sum(hi - lo + 1 - greatest(coalesce(least(hi, reached) - lo + 1, 0), 0)) AS BIGINT) AS n_distinct,
-          CAST(sum(greatest(coalesce(least(hi, reached) - lo + 1, 0), 0)) AS BIGINT) AS n_repeated FROM s GROUP BY 1""",
+          CAST(sum(hi - lo + 1 - greatest(least(hi, coalesce(reached, lo - 1)) - lo + 1, 0)) AS BIGINT) AS n_distinct,
+          CAST(sum(greatest(least(hi, coalesce(reached, lo - 1)) - lo + 1, 0)) AS BIGINT) AS n_repeated FROM s GROUP BY 1""",
 )
 def range_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps among ranges of a thousand million members and more."""

@@ -13,40 +13,91 @@ from rankflow.plans import new_path
 from rankflow.sources.stats import document_json
 from rankflow.streaming import (
     arrivals,
+    first_wait_seconds,
     gate_late,
     open_table,
     run_to_table,
     seen_once,
     stats_to_table,
     stripped_lines,
+    watch_jobs,
 )
 
 
+def in_files(df: DataFrame, column: str, parts: int) -> str:
+    """Write a table as ``parts`` files, to be followed one a batch; returns their folder."""
+    path = new_path(df.sparkSession, "followed")
+    for part in range(parts):
+        own = df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == part)
+        own.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query("stream_dedup", f"SELECT DISTINCT trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM ({SQL_LINES})")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = open_table(spark, f"{sf_dir}/{{documents}}.parquet", table(spark, sf_dir, "documents").schema)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stream = open_table(spark, in_files(docs, "doc_id", 3), docs.schema, maxFilesPerTrigger=1)
     return run_to_table(seen_once(stripped_lines(stream, "text"), ["line"]), "lines")
 
 
+SECONDS = "epoch_us(ts) // 1000000"
+
+
 @query(
     "stream_progress",
-    """WITH n AS (SELECT count(DISTINCT user_id) AS u, max(epoch_us(ts)) // 1000000 - 1704067200 AS s FROM events)
-       SELECT u AS jobs_done, 50.0::DOUBLE AS percent, round(s::DOUBLE / 50.0::DOUBLE * 50.0::DOUBLE / 60.0::DOUBLE, 1) AS minutes_left FROM n""",
+    f"""WITH n AS (SELECT count(DISTINCT user_id) AS u, max({SECONDS}) - 1704067200 AS s FROM events)
+       SELECT u AS jobs_done, round(100.0::DOUBLE * u::DOUBLE / (u * 3 + 1)::DOUBLE, 2) AS percent,
+       round(s::DOUBLE / round(100.0::DOUBLE * u::DOUBLE / (u * 3 + 1)::DOUBLE, 2)
+             * (100.0::DOUBLE - round(100.0::DOUBLE * u::DOUBLE / (u * 3 + 1)::DOUBLE, 2)) / 60.0::DOUBLE, 1) AS minutes_left,
+       CAST(4 AS BIGINT) AS n_batches, TRUE AS grows FROM n""",
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    # Twice as many jobs are planned as have written anything.
-    total = events.agg(F.count_distinct("user_id") * 2).first()[0]
-    stream = open_table(spark, f"{sf_dir}/{{events}}.parquet", events.schema)
+    """Four files, a batch each; three times as many jobs are planned as write anything, and one more."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    total = events.agg(F.count_distinct("user_id") * 3 + 1).first()[0]
+    stream = open_table(spark, in_files(events, "user_id", 4), events.schema, maxFilesPerTrigger=1)
     seen = stream.select("user_id", F.call_function("div", micros("ts"), F.lit(1000000)).alias("arrived"))
     steps = arrivals(seen, "user_id", F.lit(total), F.lit(1704067200), F.max("last_seen"))
+    done = F.transform(F.array_sort(F.collect_list(F.struct("batch", "jobs_done"))), lambda b: b["jobs_done"])
     return steps.agg(
         F.max_by("jobs_done", "batch").alias("jobs_done"),
         F.max_by("percent", "batch").alias("percent"),
         F.max_by("minutes_left", "batch").alias("minutes_left"),
+        F.count_distinct("batch").alias("n_batches"),
+        # A user's rows are all in one file, so every batch brings new jobs.
+        (F.size(F.array_distinct(done)) == F.size(done)).alias("grows"),
     )
 
 
+LOOKS_START = 1704067200
+SQL_WAIT = "(SELECT CASE WHEN count(*) > 20000 THEN 900 WHEN count(*) > 2000 THEN 300 ELSE 60 END FROM events)"
+
+
+@query(
+    "stream_looks",
+    """SELECT CAST(user_id AS VARCHAR) AS job, count(*) AS want, count(*) - CASE user_id % 3 WHEN 2 THEN 1 ELSE 0 END AS found,
+       CAST(CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 60 END AS INT) AS look,
+       CASE user_id % 3 WHEN 2 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY user_id""",
+)
+def stream_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per event: a third of the jobs is complete at the first look, a third at the third after it, a third never."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    expected = events.groupBy(F.col("user_id").alias("job")).agg(F.count(F.lit(1)).alias("want"), F.max("event_id").alias("last"))
+    wait = expected.agg(first_wait_seconds(F.sum("want"))).first()[0]
+    last = events.join(expected, events["user_id"] == expected["job"]).filter("event_id = last").select("user_id", "event_id")
+    files, path = events.select(F.col("user_id").cast("string").alias("job"), "event_id"), new_path(spark, "arrivals")
+    last = last.select(F.col("user_id").cast("string").alias("job"), "event_id")
+    late = last.filter("job % 3 = 1")
+    clock = spark.range(1).select(F.lit("clock").alias("job"), F.col("id").alias("event_id"))
+    on_time = files.join(last.filter("job % 3 <> 0"), ["job", "event_id"], "left_anti")
+    for rows, arrived in ((on_time, 30), (late, wait + 37), (clock, 7200)):
+        rows.select("job", F.lit(LOOKS_START + arrived).cast("bigint").alias("arrived")).coalesce(1).write.mode("append").parquet(path)
+    wanted = in_files(expected.select(F.col("job").cast("string").alias("job"), "want"), "job", 1)
+    stream = open_table(spark, path, "job string, arrived bigint", maxFilesPerTrigger=1)
+    jobs = open_table(spark, wanted, "job string, want bigint", maxFilesPerTrigger=1)
+    return run_to_table(watch_jobs(stream, jobs, LOOKS_START, wait), "status")
+
+
 SQL_GATE = "1706000000000000"
 
 
@@ -80,6 +131,8 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = document_json({
         "hostname": F.col("event_type"), "thread_rank": F.col("user_id"), "elapsed_cycles": hundredths("value")
     })
-    table(spark, sf_dir, "events").select(doc).write.text(path)
-    rows = stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles"), one_per_line=True)
+    events = table(spark, sf_dir, "events")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).select(doc).coalesce(1).write.mode("append").text(path)
+    rows = stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles"), one_per_line=True, files_a_batch=1)
     return rows.withColumn("mean_elapsed", F.round("mean_elapsed", 6))

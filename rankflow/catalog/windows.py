@@ -13,7 +13,8 @@ from rankflow.operators.experiments import newest
 from rankflow.operators.scans import scan_exclusive, scan_inclusive
 from rankflow.operators.stencil import stencil_arrays, stencil_rows
 from rankflow.operators.traces import counter_delta
-from rankflow.plans import previous_value, row_number, running_sum
+from rankflow.plans import new_path, previous_value, row_number, running_sum
+from rankflow.sources.logs import read_long_lines
 
 SQL_PRICE = cents("o_totalprice")
 
@@ -253,3 +254,20 @@ def newest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamped = table(spark, sf_dir, "events").select(
         "event_type", "event_id", F.nullif(F.expr("event_id div 3"), F.lit(5).cast("bigint")).alias("stamp"))
     return newest(stamped, ["event_type"], "stamp", "event_id", 1001, group_rows=500).select("event_type", "event_id", "place")
+
+
+@query(
+    "intervals_in_order",
+    """SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, epoch_us(ts), event_id) - 1 AS place FROM events""",
+)
+def intervals_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by ranges of (rank, start): the files one after another are in order, and so are the lines in each."""
+    path = new_path(spark, "ordered")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", micros("ts").alias("start"))
+    # The id decides between equal starts.
+    placed = timers.written_in_order(rows.withColumn("start", F.struct("start", "event_id")), "user_id", "start", 4)
+    placed.select(F.concat_ws(" ", "user_id", "event_id")).write.text(path)
+    part = F.regexp_extract("file", "part-([0-9]+)", 1).cast("bigint")
+    lines = read_long_lines(spark, path).select(part.alias("part"), "line_no", F.split("line", " ").alias("ids"))
+    numbered = row_number(lines, [], ["part", "line_no"], "place", start=0)
+    return numbered.select(F.get("ids", F.lit(0)).cast("bigint").alias("user_id"), F.get("ids", F.lit(1)).cast("bigint").alias("event_id"), "place")

@@ -35,10 +35,11 @@ def range_counts(df: DataFrame, spec: str, keys: list[str], **limits: int) -> Da
     """
     ranges = cut(range_ends(df, spec, keys).withColumn("_tie", F.monotonically_increasing_id()), "ranges")
     swept = running_max(ranges, keys, ["_lo", "_hi", "_tie"], "_hi", "_reached", **limits)
-    again = F.greatest(F.least("_hi", "_reached") - F.col("_lo") + 1, F.lit(0))
+    before = F.coalesce(F.col("_reached"), F.col("_lo") - 1)
+    again = F.greatest(F.least(F.col("_hi"), before) - F.col("_lo") + 1, F.lit(0))
     wide = lambda c: F.sum(c.cast("decimal(20,0)")).cast("decimal(30,0)")
     counts = swept.groupBy(*keys).agg(
-        wide(F.col("_hi") - F.col("_lo") + 1).alias("n_members"), wide(F.coalesce(again, F.lit(0))).alias("n_repeated")
+        wide(F.col("_hi") - F.col("_lo") + 1).alias("n_members"), wide(again).alias("n_repeated")
     )
     distinct = (F.col("n_members") - F.col("n_repeated")).cast("decimal(30,0)")
     return counts.select(*keys, "n_members", distinct.alias("n_distinct"), "n_repeated")

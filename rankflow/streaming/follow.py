@@ -7,6 +7,7 @@ folder, so a query resumes after the loss of an executor or the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 from itertools import accumulate
 
@@ -63,17 +64,36 @@ def seen_once(stream: DataFrame, keys: list[str], event_time: str | None = None,
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, outside the heap."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over what is there now and return the written table."""
+    """Run an append stream over what is there now and return the written table; its state is kept in RocksDB."""
     spark = stream.sparkSession
     out = new_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", new_path(spark, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    with rocks_state(spark):
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", new_path(spark, f"{name}-state"))
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -217,7 +237,7 @@ def watch_jobs(arrivals: DataFrame, expected: DataFrame, started: int, first_wai
     ``arrivals`` is a stream of ``(job, arrived)``, a row per file; ``expected`` one of ``(job, want)``; both times are
     seconds since the epoch, ``delay`` is how far arrivals may come out of order.  Time is that of the arrivals: looks
     pass as the watermark does, so the answer does not depend on how files fall into batches.
-    Needs the RocksDB state store.
+    Needs the RocksDB state store, as ``run_to_table`` sets it.
     """
     empty = F.lit(None)
     files = arrivals.select(F.col("job").cast("string").alias("job"), empty.cast("bigint").alias("want"), F.col("arrived").alias("at"))
@@ -246,9 +266,12 @@ def require_complete(status: DataFrame, job: str) -> DataFrame:
     return status.filter(F.when(F.col("status") == "failed", missing).otherwise(F.lit(True)))
 
 
-def follow_rank_stats(spark: SparkSession, path: str, prefix: str = "", one_per_line: bool = False) -> DataFrame:
+def follow_rank_stats(
+    spark: SparkSession, path: str, prefix: str = "", one_per_line: bool = False, files_a_batch: int | None = None
+) -> DataFrame:
     """Rank statistics documents as they are written, a file or a line each."""
     reader = spark.readStream.schema(schemas.rank_stats_cycles(prefix)).option("multiLine", not one_per_line)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
     names = {f"{prefix}{n}": n for n in schemas.PREFIXED}
     stream = reader.json(path)
     return stream.withColumnsRenamed(names) if prefix else stream
@@ -261,6 +284,7 @@ def stats_to_table(
     prefix: str = "",
     one_per_line: bool = False,
     name: str = "summary",
+    files_a_batch: int | None = None,
 ) -> DataFrame:
     """Keep a summary of all documents seen so far; returns its state after the last batch."""
     out = new_path(spark, name)
@@ -268,7 +292,7 @@ def stats_to_table(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
 
-    state = summary(follow_rank_stats(spark, path, prefix, one_per_line))
+    state = summary(follow_rank_stats(spark, path, prefix, one_per_line, files_a_batch))
     _without_rows(spark, f"{out}/none", T.StructType([*state.schema, T.StructField("batch", T.LongType())]))
     _each_batch(state, name, "complete", write)
     states = spark.read.parquet(f"{out}/*")

@@ -138,3 +138,30 @@ def test_ranges(spark):
     assert ranges.check_unique(out.filter("k = 3"), ["item"]).first().n_unique == 40001
     with pytest.raises(Exception, match="duplicate"):
         ranges.check_unique(df.unionByName(df), ["k"]).collect()
+
+
+def test_ranges_are_counted_as_if_listed(spark):
+    import random
+
+    from rankflow.functions.ranges import check_ranges, range_counts
+
+    rng = random.Random(6)
+    rows, want = [], {}
+    for g in range(12):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            lo = rng.randint(0, 60)
+            parts.append((lo, lo + rng.choice([0, 0, 3, 20])))
+        listed = [i for lo, hi in parts for i in range(lo, hi + 1)]
+        rows.append((g % 5, ",".join(f"{lo}-{hi}" if hi > lo else f" {lo}" for lo, hi in parts)))
+        want.setdefault(g % 5, []).extend(listed)
+    df = spark.createDataFrame(rows, "g int, spec string")
+    expected = {g: (len(v), len(set(v)), len(v) - len(set(v))) for g, v in want.items()}
+    for limits in ({}, {"group_rows": 2}):
+        got = {r.g: tuple(map(int, tuple(r)[1:])) for r in range_counts(df, "spec", ["g"], **limits).collect()}
+        assert got == expected
+    wide = spark.createDataFrame([(1, "0-999999999,1000000000-4000000000"), (2, "5-4000000000,7")], "g int, spec string")
+    assert {r.g: int(r.n_repeated) for r in range_counts(wide, "spec", ["g"]).collect()} == {1: 0, 2: 1}
+    assert check_ranges(wide.filter("g = 1"), "spec", ["g"]).count() == 1
+    with pytest.raises(Exception, match="repeated members in ranges: 1"):
+        check_ranges(wide, "spec", ["g"]).collect()

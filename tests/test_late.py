@@ -5,17 +5,9 @@ import pytest
 from rankflow.plans import new_path
 from rankflow.streaming import require_all, run_to_table, watch_jobs
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 START, WAIT = 1_700_000_000, 60
 
 
-@pytest.fixture
-def rocks(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
 def stream_of(spark, batches, schema):
     """Parquet files as a stream, one file a batch, in the order given."""
     path = new_path(spark, "arrivals")
@@ -24,7 +16,7 @@ def stream_of(spark, batches, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_looks_and_missing_jobs(spark, rocks):
+def test_looks_and_missing_jobs(spark):
     at = lambda look, extra=0: START + WAIT + 15 * look + extra
     batches = [
         [("a", START + 5), ("a", START + 50), ("b", START + 59), ("d", START + 1)],

@@ -426,3 +426,21 @@ def test_python_stages_leave_other_stages_rows_alone(spark):
     got = tasks.run_stages(df, stages, ["g"], fan_in=2)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(g, *row) for g in ("a", "b", None)], key=str)
     assert tuple(tasks.run_stages(df.filter("g = 'a'"), stages, fan_in=2).first()) == row
+
+
+def test_middle_values_by_counting_equal_the_sorted_median(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    groups = {g: [rng.randint(-(2**g), 2**g) for _ in range(rng.randint(1, 60))] for g in range(0, 60, 3)}
+    groups |= {100: [7] * 50, 101: [5], 102: [1, 2], 103: [-(2**40), 2**40], 104: [3, 3, 3, 9], None: [4, 1, 2]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [(5, None), (100, None), (200, None)]
+    df = spark.createDataFrame(rows, "g int, v long")
+    got = {r.g: (r.n, r.low, r.high) for r in experiments.middle_values(df, ["g"], "v").collect()}
+    assert got == {g: (len(v), statistics.median_low(v), statistics.median_high(v)) for g, v in groups.items()}
+    assert experiments.middle_values(df.limit(0), ["g"], "v").count() == 0
+    plain = df.withColumn("run", F.monotonically_increasing_id())
+    one, two = (sorted(map(tuple, f(plain, ["g"], ["run"], "v").collect()), key=str) for f in (
+        experiments.config_median, experiments.config_median_counted))
+    assert one == two

@@ -133,3 +133,23 @@ def test_null_keys_come_first(spark, limit, group):
         for at, r in enumerate(mine):
             total += r[2]
             assert got[r[2]] == (at + 1, total, mine[at - 1][2] if at else None)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 16, 3])
+def test_running_maximum_in_split_groups(spark, limit):
+    import random
+
+    from rankflow.plans import running_max
+
+    rng = random.Random(limit)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, rng.choice([None, *range(1000)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, at long, tie long, v long")
+    want = {}
+    for g in ("a", "b", None):
+        most = None
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for _, _, tie, v in own:
+            want[tie] = most
+            most = v if most is None else most if v is None else max(most, v)
+    got = running_max(df, ["g"], ["at", "tie"], "v", "before", group_rows=limit)
+    assert {r.tie: r.before for r in got.collect()} == want

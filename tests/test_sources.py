@@ -323,3 +323,14 @@ def test_only_stale_groups_are_written_again(spark, tmp_path):
     put("02/y.csv", [(7, "t")])
     put("03/z.csv", [(6, "u")])
     assert run() == (["01", "02", "03"], [])
+
+
+def test_one_listing_in_class_order(spark, tmp_path):
+    rows = [(i, f'say "{i}"', mode) for i, mode in enumerate(["b", "a", "c"] * 40)]
+    df = spark.createDataFrame(rows, "n int, symbol string, mode string").repartition(5)
+    sinks.write_class_listing(df, str(tmp_path / "l"), ["c", "a", "b"], ["n"])
+    lines = [line for part in sorted((tmp_path / "l").glob("part-*")) for line in part.read_text().splitlines()]
+    want = [r for mode in "cab" for r in rows if r[2] == mode]
+    assert lines == ['"n","symbol","mode"'] + [f'"{n}","say ""{n}""","{mode}"' for n, _, mode in want]
+    with pytest.raises(Exception, match="unknown class b"):
+        sinks.write_class_listing(df, str(tmp_path / "m"), ["c", "a"], ["n"])
