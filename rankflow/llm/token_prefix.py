@@ -100,7 +100,8 @@ class PrefixCounter:
         last, count = [-1], [0]
         token, fits, longest = self.token.get, self.fits, self.longest
         for end in range(1, len(piece) + 1):
-            whole = token(piece[:end])
+            # No longer prefix is a token, and copying it would cost its length each time.
+            whole = token(piece[:end]) if end <= longest else None
             if whole is not None:
                 last.append(whole)
                 count.append(1)
