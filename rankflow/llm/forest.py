@@ -131,14 +131,20 @@ def _levels(rows_at: np.ndarray, ids_at: np.ndarray, enough: int, k: int) -> np.
 
 
 def best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best rows; ``scores`` may be off by rounding and -inf where a row does not count."""
-    at = np.flatnonzero(scores > -np.inf)
-    if len(at) > k:
-        least = np.partition(scores[at], len(at) - k)[len(at) - k]
-        at = at[scores[at] >= least - 1e-9 * (1 + abs(least))]
-    exact = (vectors[at] * query[None, :]).sum(axis=1)
-    order = np.lexsort((ids[at], -exact))[:k]
-    return ids[at[order]], exact[order]
+    """Places and exact scores of the best rows of the k best ids; ``scores`` may be off by rounding and -inf where a row does not count."""
+    counting, most = np.flatnonzero(scores > -np.inf), k
+    while True:
+        at = counting
+        if len(at) > most:
+            least = np.partition(scores[at], len(at) - most)[len(at) - most]
+            at = at[scores[at] >= least - 1e-9 * (1 + abs(least))]
+        exact = (vectors[at] * query[None, :]).sum(axis=1)
+        order = np.lexsort((ids[at], -exact))
+        first = np.sort(np.unique(ids[at[order]], return_index=True)[1])
+        # Ids that repeat take up places: look at more rows.
+        if len(first) >= k or len(at) == len(counting):
+            return at[order[first[:k]]], exact[order[first[:k]]]
+        most *= 4
 
 
 def _enough(index: DataFrame, counts: np.ndarray, single: np.ndarray, depth: int, dim: int, k: int) -> int:
@@ -156,12 +162,13 @@ def _enough(index: DataFrame, counts: np.ndarray, single: np.ndarray, depth: int
             scores[ids[:, None] == own[None, :]] = -np.inf
             trees = batch.column(2)
             for q in range(len(ids)):
-                found, exact = best(scores[q], np.arange(len(own)), vectors, asked[q], k)
+                found, exact = best(scores[q], own, vectors, asked[q], k)
                 at = pa.array(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(found), q)), pa.array(own[found]), pa.array(exact), trees.take(at)], names=["q", "id", "score", "own"])
 
     scored = index.select("id", "vector", "own").mapInArrow(run, "q long, id long, score double, own array<long>")
+    scored = scored.groupBy("q", "id").agg(F.max("score").alias("score"), F.max_by("own", "score").alias("own"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     truth = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).collect()
     if not truth:
@@ -240,7 +247,7 @@ def nearest(vectors: DataFrame, asked, k: int = 20, key: str = "vec_id", vector:
                     score[ids == own[i]] = -np.inf
                     found, exact = best(score, ids, rows, asks[i], k)
                     out["query_id"].append(np.full(len(found), own[i]))
-                    out["vec_id"].append(found)
+                    out["vec_id"].append(ids[found])
                     out["score"].append(exact)
         columns = [np.concatenate(c) if c else np.empty(0) for c in out.values()]
         kinds = [pa.int64(), pa.int64(), pa.float64()]
