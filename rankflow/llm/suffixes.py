@@ -163,9 +163,9 @@ def _ranked_batch(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch |
 
 
 def _with_list(rows: DataFrame, stretches: DataFrame, how: str) -> DataFrame:
-    """Texts with the list of their stretches; a list is bounded by its text."""
+    """Texts with their different stretches, also where many equal rows have found them; a list is bounded by its text."""
     fields = [c for c in stretches.columns if c not in KEYS]
-    lists = stretches.groupBy(*KEYS).agg(F.collect_list(F.struct(*fields)).alias("list"))
+    lists = stretches.groupBy(*KEYS).agg(F.collect_set(F.struct(*fields)).alias("list"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "list")
     both = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), how)
     return both.select(*rows.columns, "list")
