@@ -305,15 +305,16 @@ def decode(docs: DataFrame, path: str, pieces: str = "pieces", to: str = "decode
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """Per row: n_chars, n_pieces, pieces_crc32 of the sampled pieces, and whether they decode to the text."""
+    """Per row: n_chars, n_pieces, the sampled pieces, their pieces_crc32, and whether they decode to the text."""
     rows, kinds = _seeded(docs, key, text, [key], seed)
-    results = {"n_chars": "long", "n_pieces": "long", "pieces_crc32": "long", "lossless": "boolean"}
+    results = {"n_chars": "long", "n_pieces": "long", "pieces": "array<int>", "pieces_crc32": "long", "lossless": "boolean"}
 
     def of(own, texts, ids, starts):
         spans = [ids[starts[i] : starts[i + 1]] for i in range(len(texts))]
         return [
             pa.array(list(map(len, texts)), pa.int64()),
             pa.array(np.diff(starts), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())),
             pa.array([zlib.crc32(s.astype("<u4").tobytes()) for s in spans], pa.int64()),
             pa.array([own.decode(s) == t for s, t in zip(spans, texts, strict=True)], pa.bool_()),
         ]
