@@ -42,7 +42,7 @@ WORD = re.compile(f"[^{SPACE}]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: A stop behind a letter without capitals, whose form no rule changes.
 STOP = "([a-z\u00e0-\u00f6\u00f8-\u00ff])([.,])"
-#: A worker forgets the ids of words once they have so many ids together.
+#: Once the words a worker remembers have so many ids together, it keeps the most frequent ones with half of them.
 MEMO_IDS = 1_500_000
 #: Combinations of each depth, and rounds of the solver.
 COMBINATIONS, ROUNDS = 4096, 400
@@ -61,11 +61,20 @@ class WordIds:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         self.has_special = bool(special)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.used = np.empty(0, np.int64)  # in how many batches each word was
+
+    def forget_rare(self) -> None:
+        """Keep the words that were in most batches, with at most half of ``MEMO_IDS`` ids."""
+        length = np.diff(self.starts)
+        order = np.argsort(-self.used, kind="stable")
+        kept = np.sort(order[np.cumsum(length[order]) <= MEMO_IDS // 2])
+        words = list(self.known)
+        self.flat = self._gather(kept, length[kept])
+        self.starts = np.concatenate([[0], np.cumsum(length[kept])])
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.used = self.used[kept] // 2
 
     def odd(self, text: str) -> bool:
         """Whether splitting at white space would not do."""
@@ -89,6 +98,7 @@ class WordIds:
         ends = len(self.flat) + np.cumsum(lengths)
         self.starts = np.concatenate([self.starts, ends])
         self.flat = np.concatenate([self.flat, np.fromiter(ids, np.uint32, int(lengths.sum()))])
+        self.used = np.concatenate([self.used, np.zeros(len(lengths), np.int64)])
 
     def _gather(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends = np.cumsum(length)
@@ -107,9 +117,10 @@ class WordIds:
         coded = lists.flatten().dictionary_encode()
         different = coded.dictionary.to_pylist()
         if len(self.flat) > MEMO_IDS:
-            self.forget()
+            self.forget_rare()
         self.learn(different)
         numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        self.used[numbers] += 1
         place = numbers[coded.indices.to_numpy()]
         length = self.starts[place + 1] - self.starts[place]
         ends = np.concatenate([[0], np.cumsum(length)])
@@ -339,9 +350,11 @@ def _cut_pieces(rows: DataFrame, broken: DataFrame, path: str, end_id: int, wind
     texts = rows.withColumn("text_hash", F.xxhash64("text"))
     own = broken.select(
         F.col("doc_id").alias("k"), F.col("text_hash").alias("h"), "n_tokens", "rest", "number", "sequence_id", "offset", "head")
+    # Only texts of broken remainders move; of repeated rows one text serves all.
+    wanted = own.select("k", "h").distinct()
+    texts = texts.join(wanted, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text_hash"])
     found = own.join(texts, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-    # Repeated rows find each other's texts.
-    found = found.dropDuplicates(["rest", "number"])
     found = found.select("doc_id", "text", "n_tokens", "rest", "sequence_id", "offset", "head")
 
     def run(batches):

@@ -376,3 +376,45 @@ def test_pieces_are_lossless_seeded_and_drawn_by_weight(spark, odd_docs):
     rows = pieces.decode(pieces.encode(odd_docs, PIECE), PIECE).collect()
     assert all((r.text or "") == r.decoded for r in rows) and all(r.word == "own" for r in rows)
     assert all(r.lossless for r in pieces.digests(odd_docs, PIECE).collect())
+
+
+def test_one_long_word_is_counted_in_linear_time():
+    import time
+
+    rng = random.Random(2)
+    own = token_prefix.counter(BYTE)
+    library = Tokenizer.from_file(BYTE)
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(20_000)), "ab" * 8_000 + "é" * 3_000):
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    began = time.process_time()
+    assert own.count("".join(rng.choice("abcdefgh") for _ in range(1_000_000))) > 200_000
+    assert time.process_time() - began < 60
+
+
+def test_repeated_ids_do_not_push_neighbours_out(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, (x[0] * 3 + 0.001 * j).tolist()) for j in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = forest.nearest(df, F.col("vec_id") == 0, k=20).orderBy("rank").collect()
+    scores = {}
+    for i, v in rows[1:]:
+        scores[i] = max(scores.get(i, -np.inf), float(np.dot(np.array(v, np.float32).astype(float), x[0].astype(float))))
+    want = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+    assert len(got) == 20 and got[0].vec_id == 500 and len({r.vec_id for r in got} & set(want)) >= 18
+
+
+def test_packing_keeps_frequent_words_and_whole_results(spark, monkeypatch):
+    own = packing.WordIds(WORD)
+    monkeypatch.setattr(packing, "MEMO_IDS", 60)
+    library = Tokenizer.from_file(WORD)
+    rng = random.Random(5)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(500)}x", "ß"]) for _ in range(20)) for _ in range(4)]
+        flat, ends = own.ids(texts)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    assert {"the", "of", "and"} <= set(own.known)
+    docs = spark.createDataFrame([(1, "same words again " * 900)] * 40, DOCS)
+    rows = packing.pack(docs, WORD, end_id=1, window=2048).collect()
+    assert sum(r.length for r in rows) == 40 * rows[0].doc_tokens
