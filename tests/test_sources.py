@@ -334,3 +334,21 @@ def test_one_listing_in_class_order(spark, tmp_path):
     assert lines == ['"n","symbol","mode"'] + [f'"{n}","say ""{n}""","{mode}"' for n, _, mode in want]
     with pytest.raises(Exception, match="unknown class b"):
         sinks.write_class_listing(df, str(tmp_path / "m"), ["c", "a"], ["n"])
+
+
+def test_lines_of_the_tools(spark):
+    report = [
+        "# Overhead,Command,Object,Symbol", "     3.68%  ,solver@node1,libmpi.so.12.1.1                  ,[.] progress_wait",
+        "12.00%,solver,libm,[k] f(int, char[])", "3.68%,solver,libm", " 1.5%,a,b,c,[.] g", "x%,a,b,[.] g",
+    ]
+    rows = profiles.profile_rows(spark.createDataFrame([(r,) for r in report], "line string"))
+    assert [tuple(r) for r in rows.collect()] == [
+        (3.68, "solver@node1", "libmpi.so.12.1.1", "progress_wait"), (12.0, "solver", "libm", ")"), (1.5, "a", "b,c", "g")]
+    trace = [
+        "Thread 4 (Thread 0x7ffff50d9700 (LWP 39252)):", "#0  0x00007ffff7 in poll () from libc.so",
+        "#1  0x0000555 in wait_here (n=3, f=0x5 <g>) at src/a.cpp:12", "#2  main (argc=1) at src/main.cpp:3",
+        "Thread 3 (Thread 0x7ffff50d9701 (LWP 39253)):", "#0  work (x=1) at src/b.cpp:7", "Thread 9 is not a head line",
+    ]
+    lines = spark.createDataFrame([("f", i, line) for i, line in enumerate(trace)], "file string, line_no long, line string")
+    frames = profiles.stack_frames(lines, "src/", wait="wait_here").orderBy("stack")
+    assert [(r.symbol, r.waiting) for r in frames.collect()] == [("wait_here", True), ("work", False)]
