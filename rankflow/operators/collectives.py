@@ -134,10 +134,11 @@ def translate(ranks: DataFrame, comm: str, rank: str, table: DataFrame) -> DataF
         F.col("comm").alias("_comm"), F.col("new_rank").alias("_rank"),
         F.col("parent_comm").alias("_up"), F.col("origin_rank").alias("_origin"),
     ), "jumps")
-    comms = cut(jumps.select(F.col("_comm").alias("_known")).distinct(), "comms")
-    rounds, moved = comms.count().bit_length(), True
+    comms = jumps.select(F.col("_comm").alias("_known")).distinct()
+    rounds, moved = 0, True
     while moved:
-        if rounds < 0:
+        # More than 64 levels are rare enough to count the communicators, of which no path has more.
+        if rounds > 6 and rounds > comms.count().bit_length():
             raise ValueError("communicators are nested in a cycle")
         further = jumps.select(
             F.col("_comm").alias("_up"), F.col("_rank").alias("_origin"), F.struct("_up", "_origin").alias("_next")
@@ -147,7 +148,7 @@ def translate(ranks: DataFrame, comm: str, rank: str, table: DataFrame) -> DataF
             F.coalesce("_next._origin", "_origin").alias("_origin"), F.col("_next").isNotNull().alias("_moved"),
         ), "jumps")
         moved = not jumps.filter("_moved").isEmpty()
-        rounds -= 1
+        rounds += 1
     lost = jumps.join(comms, F.col("_up") == F.col("_known"), "left_semi").select("_up", "_origin").first()
     if lost is not None:
         raise ValueError(f"no rank {lost[1]} in communicator {lost[0]}")
