@@ -18,7 +18,8 @@ Defined cases: a null text counts as empty; an empty text has no pieces;
 repeated rows get the same pieces; a null key seeds like any other value.
 Characters outside the vocabulary, and the character that stands for blanks
 inside pieces, are written as bytes, so that decoding always gives back the
-text.  Other columns are kept, except those with the names of the results.
+text.  Other columns are kept, except those with the names of the results.  Texts are worked on
+whole, of any length; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ All work is done by column functions inside the scan: no shuffle, no Python.
 Defined cases: a null text counts as empty; an empty text has no words, lines
 or symbols and fails ``few_words``; repeated rows each get their own ledger row;
 other columns are kept, except those with the ledger's own names, which are
-replaced.
+replaced; texts are judged whole, of any length; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ no bucket is cut, and no bucket of unbounded size reaches a task.
 Defined cases: null and empty texts and texts without words have fingerprint
 zero, which links like any other; equal fingerprints are one node, whatever
 number of documents has them; repeated rows each get a row; a null id is kept,
-but never becomes a component's id unless no other id is there.
+but never becomes a component's id unless no other id is there; texts are read whole,
+of any length; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ is unique are done; the others are counted by the hash of all their bytes.
 
 Defined cases: a null text counts as empty; texts under 400 bytes lose nothing;
 repeated rows repeat each other; rows are told apart by id and text, so repeated
-and null ids are fine; overlapping repeats inside one text count.
+and null ids are fine; overlapping repeats inside one text count; texts of any length are
+worked on whole, one at a time; an empty table gives an empty table.
 """
 
 from __future__ import annotations

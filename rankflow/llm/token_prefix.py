@@ -13,7 +13,8 @@ begin or end tokens; a special string inside the text is one token.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows
 each get a row; all other columns are kept, except those with the names of the
-results, which are replaced.
+results, which are replaced; texts are worked on whole, in time linear in their length; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations

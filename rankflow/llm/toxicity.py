@@ -16,7 +16,8 @@ id; everything else covers all rows.
 Defined cases: a null text counts as empty and gets the severity of no features;
 null labels and labels without a text are left out, of several labels of an id
 the largest counts; without toxic examples nothing is called toxic; repeated
-rows each get a row; other columns are kept, except those with result names.
+rows each get a row; other columns are kept, except those with result names; texts are
+read whole, of any length; an empty table gives an empty table.
 """
 
 from __future__ import annotations
