@@ -69,12 +69,14 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hashes of ``key``; the same in every run.
 
     Where there are many more, a bound on the hash drops most of them first, so that no task
-    has to sort what all others have kept.  Callers select narrow columns.
+    has to sort what all others have kept; where few keys repeat and it would leave too few, it
+    is not used.  The rows are the same either way.  Callers select narrow columns.
     """
     total, space = df.count(), 1 << 30
     place = F.pmod(F.xxhash64(key), F.lit(space))
     if total > 8 * rows:
-        df = df.filter(place < math.ceil(space * 2 * rows / total))
+        likely = df.filter(place < math.ceil(space * 2 * rows / total))
+        df = likely if likely.limit(rows).count() == rows else df
     return df.orderBy(place, F.xxhash64(key), *df.columns).limit(rows)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankflow.llm import attention, chat, forest, near_copies, pieces, quality, simhash, suffixes, token_prefix
+from rankflow.llm.tables import hash_sample
 
 BYTE, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 OPERATORS = {
@@ -37,3 +38,12 @@ def test_vectors_and_conversations_with_clashing_columns(spark):
         messages = chat.conversation_messages(given)
         found.append(sorted((r.tree, r.formatted) for r in chat.format_paths(messages, chat.best_paths(messages)).collect()))
     assert found[0] == found[1] and [t for t, _ in found[0]] == [1, 2]
+
+
+@pytest.mark.parametrize("ids", [1, 3, 20_000])
+def test_a_sample_is_never_short_and_has_the_smallest_hashes(spark, ids):
+    df = spark.range(20_000).select((F.col("id") % ids).alias("doc_id"), F.col("id").alias("n"))
+    got = hash_sample(df, "doc_id", 500).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    want = df.orderBy(place, F.xxhash64("doc_id"), "doc_id", "n").limit(500).collect()
+    assert len(got) == 500 and sorted(got) == sorted(want)
