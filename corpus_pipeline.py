@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import near_copies, packing, quality, suffixes, toxicity
+from rankflow.llm import near_copies, packing, quality, simhash, suffixes, toxicity
 from rankflow.llm.tables import table
 from rankflow.plans import cut
 
@@ -36,8 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest id."""
-    return unboxed(near_copies.one_of_each(boxed(docs)), docs)
+    """One document of each group of near copies, the one with the smallest id.
+
+    Linked are fingerprints at 4 or fewer differing bits, and sets of five-word shingles of similarity 0.8 or more.
+    """
+    rows = boxed(docs)
+    return unboxed(near_copies.one_of_each(rows, groups=simhash.near_duplicates(rows)), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
-A 64-bit SimHash does not find these: at similarity 0.8 two fingerprints differ in
+A 64-bit SimHash alone does not find these: at similarity 0.8 two fingerprints differ in
 about ten bits, and at a radius that holds nearly all such pairs blocks of a
-fingerprint tell nothing apart.  So candidates come from ``BANDS`` bands of ``ROWS``
+fingerprint tell nothing apart.  So its groups may be given (``groups``) and are joined
+with those found here.  Here candidates come from ``BANDS`` bands of ``ROWS``
 minima over the hashed shingles (two texts of similarity s meet in a band with chance
 s ** ROWS, at 0.8 in one of the bands at least with 0.998), and every candidate pair is
 verified on the shingles themselves before it is linked.
@@ -195,8 +196,20 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, text_hash, root) of every row; rows of one root are linked by pairs of that similarity."""
+def _group_links(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest node of each group (text_hash, root) to its others."""
+    at = rows.select("text_hash", "node").distinct().join(groups.select("text_hash", F.col("root").alias("group")).distinct(), "text_hash")
+    at = cut(at.select("group", "node").distinct(), "placed")
+    ends = at.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("group", "a")
+    return at.join(ends, "group").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, root) of every row; rows of one root are linked by pairs of that similarity.
+
+    ``groups`` (text_hash, root) are texts that another method has linked, as ``simhash.near_duplicates``
+    does; they are linked here too, so a root is a component of both methods' links.
+    """
     rows = cut(banded(docs, key, text), "banded")
     # Texts with the same words have the same bands.
     nodes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -234,10 +247,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     blocks = _block_pairs(member.filter(F.col("n") > SMALL), texts, least)
     cross = cross.unionByName(blocks).distinct().join(seen, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(cross, texts, least))
+    if groups is not None:
+        links = links.unionByName(_group_links(rows, groups))
     roots = components(cut(links, "links")).select("node", "root")
     return rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near copies: the one with the smallest id."""
-    return first_of_each(docs, near_copies(docs, key, text, least), key, text)
+    return first_of_each(docs, near_copies(docs, key, text, least, groups), key, text)

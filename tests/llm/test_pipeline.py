@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rankflow.llm import near_copies
 
 PROSE = [
     " ".join("".join(dice.choice("ka lo mi ru te sa on de".split()) for _ in range(dice.randint(1, 4))) for _ in range(80))
@@ -97,6 +98,15 @@ def test_near_copies_of_similarity_080_to_095_go_and_others_stay(spark, folder):
     assert left == {2 * i for i in range(120)} | far
 
 
+def test_texts_of_near_fingerprints_go_whatever_their_sets_of_shingles(spark, folder):
+    # A passage said 60 times outweighs the tails in a fingerprint, but not among the different shingles.
+    common = " ".join([" ".join(f"w{i}" for i in range(21))] * 60)
+    texts = {1: f"{common} {PROSE[0][:90]}", 2: f"{common} {PROSE[1][:90]}", 3: PROSE[2], 4: PROSE[3], 5: f"{PROSE[3]} end"}
+    assert near_copies.similarity(*(set(near_copies.shingles(texts[i])) for i in (1, 2))) < near_copies.LEAST
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, folder).collect()} == {1, 3, 4}
+
+
 def test_shared_passages_of_51_words_go_and_of_50_stay(spark, folder):
     dice = random.Random(51)
     words = lambda n: " ".join("".join(dice.choice("abcdefgh") for _ in range(dice.randint(2, 6))) for _ in range(n))
