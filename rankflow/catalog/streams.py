@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +26,31 @@ from rankflow.streaming import (
 )
 
 
-def in_files(df: DataFrame, column: str, parts: int) -> str:
-    """Write a table as ``parts`` files, to be followed one a batch; returns their folder."""
-    path = new_path(df.sparkSession, "followed")
-    for part in range(parts):
-        own = df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == part)
-        own.coalesce(1).write.mode("append").parquet(path)
+def growing(spark: SparkSession, path: str, parts: Iterable[DataFrame], form: str = "parquet") -> Iterator[int]:
+    """Add each part to a folder when its turn comes, in as many files as it has tasks."""
+    for turn, part in enumerate(parts):
+        part.write.mode("append").format(form).save(path)
+        yield turn
+
+
+def split(df: DataFrame, column: str, parts: int) -> list[DataFrame]:
+    """The rows of a table in parts; those of one key are in one part."""
+    return [df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == part) for part in range(parts)]
+
+
+def empty_folder(df: DataFrame, name: str) -> str:
+    """A folder for rows like ``df``'s, to be opened as a stream before it grows."""
+    path = new_path(df.sparkSession, name)
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(path)
     return path
 
 
 @query("stream_dedup", f"SELECT DISTINCT trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM ({SQL_LINES})")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stream = open_table(spark, in_files(docs, "doc_id", 3), docs.schema, maxFilesPerTrigger=1)
-    return run_to_table(seen_once(stripped_lines(stream, "text"), ["line"]), "lines")
+    path = empty_folder(docs, "followed")
+    lines = stripped_lines(open_table(spark, path, docs.schema), "text")
+    return run_to_table(seen_once(lines, ["line"]), "lines", growing(spark, path, split(docs, "doc_id", 3)))
 
 
 SECONDS = "epoch_us(ts) // 1000000"
@@ -52,19 +65,21 @@ SECONDS = "epoch_us(ts) // 1000000"
        CAST(4 AS BIGINT) AS n_batches, TRUE AS grows FROM n""",
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four files, a batch each; three times as many jobs are planned as write anything, and one more."""
+    """Four parts, a batch each; three times as many jobs are planned as write anything, and one more."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     total = events.agg(F.count_distinct("user_id") * 3 + 1).first()[0]
-    stream = open_table(spark, in_files(events, "user_id", 4), events.schema, maxFilesPerTrigger=1)
+    path = empty_folder(events, "followed")
+    stream = open_table(spark, path, events.schema)
     seen = stream.select("user_id", F.call_function("div", micros("ts"), F.lit(1000000)).alias("arrived"))
-    steps = arrivals(seen, "user_id", F.lit(total), F.lit(1704067200), F.max("last_seen"))
+    grown = growing(spark, path, split(events, "user_id", 4))
+    steps = arrivals(seen, "user_id", F.lit(total), F.lit(1704067200), F.max("last_seen"), growth=grown)
     done = F.transform(F.array_sort(F.collect_list(F.struct("batch", "jobs_done"))), lambda b: b["jobs_done"])
     return steps.agg(
         F.max_by("jobs_done", "batch").alias("jobs_done"),
         F.max_by("percent", "batch").alias("percent"),
         F.max_by("minutes_left", "batch").alias("minutes_left"),
         F.count_distinct("batch").alias("n_batches"),
-        # A user's rows are all in one file, so every batch brings new jobs.
+        # A user's rows are all in one part, so every batch brings new jobs.
         (F.size(F.array_distinct(done)) == F.size(done)).alias("grows"),
     )
 
@@ -85,17 +100,21 @@ def stream_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = events.groupBy(F.col("user_id").alias("job")).agg(F.count(F.lit(1)).alias("want"), F.max("event_id").alias("last"))
     wait = expected.agg(first_wait_seconds(F.sum("want"))).first()[0]
     last = events.join(expected, events["user_id"] == expected["job"]).filter("event_id = last").select("user_id", "event_id")
-    files, path = events.select(F.col("user_id").cast("string").alias("job"), "event_id"), new_path(spark, "arrivals")
+    files = events.select(F.col("user_id").cast("string").alias("job"), "event_id")
     last = last.select(F.col("user_id").cast("string").alias("job"), "event_id")
     late = last.filter("job % 3 = 1")
     clock = spark.range(1).select(F.lit("clock").alias("job"), F.col("id").alias("event_id"))
     on_time = files.join(last.filter("job % 3 <> 0"), ["job", "event_id"], "left_anti")
-    for rows, arrived in ((on_time, 30), (late, wait + 37), (clock, 7200)):
-        rows.select("job", F.lit(LOOKS_START + arrived).cast("bigint").alias("arrived")).coalesce(1).write.mode("append").parquet(path)
-    wanted = in_files(expected.select(F.col("job").cast("string").alias("job"), "want"), "job", 1)
-    stream = open_table(spark, path, "job string, arrived bigint", maxFilesPerTrigger=1)
-    jobs = open_table(spark, wanted, "job string, want bigint", maxFilesPerTrigger=1)
-    return run_to_table(watch_jobs(stream, jobs, LOOKS_START, wait), "status")
+    parts = [
+        rows.select("job", F.lit(LOOKS_START + arrived).cast("bigint").alias("arrived"))
+        for rows, arrived in ((on_time, 30), (late, wait + 37), (clock, 7200))
+    ]
+    wanted = new_path(spark, "wanted")
+    expected.select(F.col("job").cast("string").alias("job"), "want").write.parquet(wanted)
+    path = empty_folder(parts[0], "arrivals")
+    jobs = open_table(spark, wanted, "job string, want bigint")
+    status = watch_jobs(open_table(spark, path, "job string, arrived bigint"), jobs, LOOKS_START, wait)
+    return run_to_table(status, "status", growing(spark, path, parts))
 
 
 SQL_GATE = "1706000000000000"
@@ -132,7 +151,8 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hostname": F.col("event_type"), "thread_rank": F.col("user_id"), "elapsed_cycles": hundredths("value")
     })
     events = table(spark, sf_dir, "events")
-    for part in range(3):
-        events.filter(F.col("event_id") % 3 == part).select(doc).coalesce(1).write.mode("append").text(path)
-    rows = stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles"), one_per_line=True, files_a_batch=1)
+    parts = [events.filter(F.col("event_id") % 3 == part).select(doc) for part in range(3)]
+    parts[0].limit(0).write.text(path)
+    grown = growing(spark, path, parts, "text")
+    rows = stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles"), one_per_line=True, growth=grown)
     return rows.withColumn("mean_elapsed", F.round("mean_elapsed", 6))

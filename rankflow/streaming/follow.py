@@ -6,7 +6,7 @@ folder, so a query resumes after the loss of an executor or the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import partial
 from itertools import accumulate
@@ -82,31 +82,30 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(STORE, before)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append stream over what is there now and return the written table; its state is kept in RocksDB."""
+#: What a run over what is there now waits for: nothing.
+NOW = (None,)
+
+
+def run_to_table(stream: DataFrame, name: str, growth: Iterable = NOW) -> DataFrame:
+    """Run an append stream over what is there now and return the written table; its state is kept in RocksDB.
+
+    The stream resumes after each step of ``growth``, which may add files to its folders.
+    """
     spark = stream.sparkSession
-    out = new_path(spark, name)
-    with rocks_state(spark):
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", new_path(spark, f"{name}-state"))
-            .trigger(availableNow=True)
-            .start()
-        )
-    query.awaitTermination()
+    out, state = new_path(spark, name), new_path(spark, f"{name}-state")
+    for _ in growth:
+        with rocks_state(spark):
+            writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _each_batch(stream: DataFrame, name: str, mode: str, write) -> None:
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", new_path(stream.sparkSession, f"{name}-state"))
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+def _each_batch(stream: DataFrame, name: str, mode: str, write, growth: Iterable = NOW) -> None:
+    state = new_path(stream.sparkSession, f"{name}-state")
+    for _ in growth:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(write)
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _without_rows(spark: SparkSession, out: str, schema: T.StructType | str) -> None:
@@ -114,7 +113,9 @@ def _without_rows(spark: SparkSession, out: str, schema: T.StructType | str) ->
     spark.createDataFrame([], schema).write.mode("append").parquet(out)
 
 
-def arrivals(stream: DataFrame, job: str, total: Column, started: Column, now: Column, name: str = "progress") -> DataFrame:
+def arrivals(
+    stream: DataFrame, job: str, total: Column, started: Column, now: Column, name: str = "progress", growth: Iterable = NOW
+) -> DataFrame:
     """Progress after each batch: jobs done, percent of all jobs, minutes left.
 
     A job is done when its first output arrives; ``started`` and ``now`` are
@@ -134,7 +135,7 @@ def arrivals(stream: DataFrame, job: str, total: Column, started: Column, now: C
         # One folder per batch: a batch that is run again replaces its own row.
         row.write.mode("overwrite").parquet(f"{out}/{batch_id}")
 
-    _each_batch(done, name, "complete", write)
+    _each_batch(done, name, "complete", write, growth)
     return spark.read.parquet(f"{out}/*")
 
 
@@ -285,6 +286,7 @@ def stats_to_table(
     one_per_line: bool = False,
     name: str = "summary",
     files_a_batch: int | None = None,
+    growth: Iterable = NOW,
 ) -> DataFrame:
     """Keep a summary of all documents seen so far; returns its state after the last batch."""
     out = new_path(spark, name)
@@ -294,6 +296,6 @@ def stats_to_table(
 
     state = summary(follow_rank_stats(spark, path, prefix, one_per_line, files_a_batch))
     _without_rows(spark, f"{out}/none", T.StructType([*state.schema, T.StructField("batch", T.LongType())]))
-    _each_batch(state, name, "complete", write)
+    _each_batch(state, name, "complete", write, growth)
     states = spark.read.parquet(f"{out}/*")
     return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")

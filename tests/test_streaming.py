@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankflow.catalog import streams
 from rankflow.operators.timers import timer_stats
+from rankflow.plans import new_path
 from rankflow.streaming import (
     arrivals,
     first_wait_seconds,
@@ -88,3 +90,20 @@ def test_rank_statistics_as_they_arrive(spark, write):
     path = write("s/stats_rank_1.json", '{"hostname": "h",\n "x_thread_rank": 1, "elapsed_cycles": 30}')
     out = stats_to_table(spark, path, lambda df: timer_stats(df, ["hostname"], "elapsed_cycles"), prefix="x_")
     assert tuple(out.first()) == ("h", 10, 30, 20.0)
+
+
+def test_followed_tables_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, monkeypatch):
+    rows = [(i, f"line {i}\nsaid by all\n line {i % 7} ") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    folders = []
+
+    def noted(session, name):
+        folders.append((name, new_path(session, name)))
+        return folders[-1][1]
+
+    monkeypatch.setattr(streams, "new_path", noted)
+    got = [r.line for r in streams.stream_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({f"line {i}" for i in range(400)} | {"said by all"})
+    files = spark.read.parquet(dict(folders)["followed"]).select(F.col("_metadata.file_path").alias("f"), "doc_id")
+    per_part = files.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part")).agg(F.count_distinct("f").alias("n")).collect()
+    assert len(per_part) == 3 and all(r.n == 4 for r in per_part)
