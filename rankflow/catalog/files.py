@@ -209,9 +209,18 @@ def channel_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         send_rank=F.col("l_suppkey"),
         recv_rank=F.col("l_partkey"),
     ).toDF(*schemas.channel_headers("app ")).write.csv(path, header=True)
-    return traces.read_channels(spark, path, "app ").groupBy(
-        "channel_type", F.col("send_process").cast("bigint").alias("send_process")
-    ).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("recv_rank").alias("n_recv_ranks"))
+    rows = traces.read_channels(spark, path, "app ")
+    # Ranks are counted as bits of words of 64, so that a task holds a row for each word, not for each rank.
+    rank = F.col("recv_rank").cast("bigint")
+    words = rows.groupBy(
+        "channel_type", F.col("send_process").cast("bigint").alias("send_process"), F.shiftright(rank, 6).alias("word")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(rank, F.lit(64)).cast("int"))).alias("bits"),
+    )
+    return words.groupBy("channel_type", "send_process").agg(
+        F.sum("n").alias("n"), F.sum(F.coalesce(F.bit_count("bits").cast("bigint"), F.lit(0))).alias("n_recv_ranks")
+    )
 
 
 @query(

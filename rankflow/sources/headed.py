@@ -20,12 +20,18 @@ def _ddl(names: Iterable[str], kinds: Kinds) -> str:
 
 
 def header_lines(lines: DataFrame) -> DataFrame:
-    """``(file, head)``: the first line of each file of a text scan; one row per file."""
+    """``(file, head)``: the first line of each file of a text scan; one row per file.
+
+    The first line's number is found first, then its text: a minimum of numbers is kept in a
+    hash table of files, while one of texts would sort every line of a block.
+    """
     first = lines.select(
         F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), "value",
-    )
-    return first.filter("block = 0").groupBy(FILE).agg(F.min_by("value", "id").alias("head"))
+    ).filter("block = 0")
+    least = first.groupBy(FILE).agg(F.min("id").alias("_first")).select("_first")
+    # One number a file; without the hint every line is shuffled before the numbers' size is known.
+    return first.join(F.broadcast(least), F.col("id") == F.col("_first")).select(FILE, F.col("value").alias("head"))
 
 
 def read_united(

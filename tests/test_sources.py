@@ -352,3 +352,25 @@ def test_lines_of_the_tools(spark):
     lines = spark.createDataFrame([("f", i, line) for i, line in enumerate(trace)], "file string, line_no long, line string")
     frames = profiles.stack_frames(lines, "src/", wait="wait_here").orderBy("stack")
     assert [(r.symbol, r.waiting) for r in frames.collect()] == [("wait_here", True), ("work", False)]
+
+
+def test_headers_and_ranks_are_found_without_sorting_lines_or_holding_each_rank(spark, tmp_path):
+    from rankflow.catalog import files
+    from rankflow.sources.headed import header_lines
+
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"a{i},b\n" + "".join(f"{j},0\n" for j in range(9, -1, -1)))
+    heads = header_lines(spark.read.text(str(tmp_path)))
+    assert sorted((r["_file"][-5:], r["head"]) for r in heads.collect()) == [(f"{i}.csv", f"a{i},b") for i in range(3)]
+    rows = [(s, r) for s in (3, 20, None) for r in [*range(200), None, -1, -64, -65, 1 << 20]] * 2
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/t/lineitem.parquet")
+    got = files.channel_list(spark, f"{tmp_path}/t")
+    found, want = {(r.channel_type, r.send_process): (r.n, r.n_recv_ranks) for r in got.collect()}, {}
+    for s, r in rows:
+        own = "process" if s is not None and r is not None and int(s / 16) == int(r / 16) else "direct_mpi"
+        n, ranks = want.get((own, s if s is None else s // 16), (0, frozenset()))
+        want[own, s if s is None else s // 16] = (n + 1, ranks | ({r} - {None}))
+    assert found == {k: (n, len(ranks)) for k, (n, ranks) in want.items()}
+    for df in (heads, got):
+        plan = df._jdf.queryExecution().toString()
+        assert "SortAggregate" not in plan and "count(distinct" not in plan.lower()
