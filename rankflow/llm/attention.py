@@ -7,17 +7,20 @@ trained in numpy: gradients for the network, expected counts for the E_k.  Texts
 are read in windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; the overlap
 is context only, so each id is scored once, in batches of masked attention.
 
-Words are written as ids of a byte-level vocabulary that start with a blank, so ids
-and words determine each other.  The network gives a word's first id, p(x1 | context),
-and A, the probability of its other ids and of ending there.  Of the training tokens
-that begin with x1, C in number and V different ones, c are the word itself; so its
-probability is p(x1 | context) times (1 - m) (max(c - D, 0) / C + D V / C A) + m A,
-a proper distribution.  D is fixed; m is chosen on the sample, each word's own
-occurrence taken off its count.
-
-What is learned from: word counts come from all training texts, id frequencies
-(which smooth the E_k), C and V from all their words.  The network's weights are fitted on
-``SAMPLE`` training texts, chosen by a hash of the id, read whole.
+A word is written as an id, the longest entry of a byte-level vocabulary that it starts
+with (a blank before it), and the bytes behind.  The network reads and predicts these ids:
+p(x1 | context).  A, the probability of the bytes behind and of ending there, comes from
+counted pairs of bytes.  Of the training tokens that begin with x1, C in number and V
+different ones, c are the word itself; so its probability is p(x1 | context) times
+(1 - m) (max(c - D, 0) / C + D V / C A) + m A, which adds up to at most one.  D is fixed;
+m is the weight under which all training tokens are most likely, each one's own occurrence
+taken off its count.
+
+What is learned from: everything from all training texts.  Word counts, C, V, pairs of
+bytes and m come from the table of counted words.  The network starts from ``STEPS`` steps
+on ``SAMPLE`` texts; then every task goes on from there over all of its training texts, and
+the tasks' weights are averaged by the ids they read, their expected counts added up.  The
+last digits of a score thus depend on how the table is split into tasks.
 
 Counts of the ``FREQUENT`` most frequent words of at most ``WORD_BYTES`` bytes (a bounded
 table) go to all tasks; other words are joined with the table of counts.
@@ -30,7 +33,6 @@ are read; texts are scored whole, of any length; an empty table gives an empty t
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -41,19 +43,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.tables import cut_batch, hash_sample, map_rows, present
+from rankflow.llm.tables import Memo, cut_batch, hash_sample, map_rows, present
 from rankflow.plans import cut
 
-WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES = 32, 24, 16, 32, 40
-SAMPLE, STEPS, BATCH = 1500, 400, 512
+WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES = 16, 12, 8, 16, 16
+SAMPLE, STEPS, BATCH = 1500, 400, 1024
+#: Windows of one step and its rate where tasks go on from the first steps.
+READ, RATE = 4096, 0.002
+#: Numbers in one row of what a task has learned.
+BLOCK = 1024
 FREQUENT, WORD_BYTES = 1 << 18, 64
 DISCOUNT = 0.75
 #: Batches over which expected counts fade.
 HORIZON = 200
 #: Pseudo-counts by which corpus frequencies smooth each class.
 SMOOTH = 200.0
-#: Words counted inside a task before they are handed on, and ids remembered by a worker.
-COUNTED, REMEMBERED = 500_000, 3_000_000
+#: Pseudo-counts by which all bytes smooth the bytes behind each byte.
+SPREAD = 16.0
+#: Weights m to choose from.
+MIXES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.5, 0.7)
+#: Words counted inside a task before they are handed on, and words whose first id a worker remembers.
+COUNTED, REMEMBERED = 500_000, 500_000
 
 
 @dataclass
@@ -85,42 +95,76 @@ class Tokens:
 
 
 class Subwords:
-    """Ids of words (each with a blank before it) under a byte-level vocabulary file."""
+    """Entries of a byte-level vocabulary file that begin a word."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.size = self.library.get_vocab_size()
-        self.end = self.library.token_to_id("<|endoftext|>")
+        library = Tokenizer.from_file(path)
+        self.size, self.end = library.get_vocab_size(), library.token_to_id("<|endoftext|>")
+        # The file writes bytes as printable characters: these as themselves, the others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.entry = {}
+        for token, at in library.get_vocab().items():
+            if token[0] == "Ġ" and all(c in shown for c in token):
+                self.entry[bytes(shown[c] for c in token[1:])] = at
+        self.longest = min(255, max(map(len, self.entry)))
         self.starts_word = np.zeros(self.size, bool)
-        for token, at in self.library.get_vocab().items():
-            self.starts_word[at] = token.startswith("Ġ")
-        self.starts_word[self.end] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = {b"": 0}
-        self.starts, self.flat = np.array([0, 1]), np.array([self.end], np.int32)
-
-    def ids(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all tokens, how many each token has) in order."""
-        if len(self.flat) > REMEMBERED:
-            self.forget()
-        new = [w for w in tokens.words if w not in self.known]
-        if new:
-            found = [e.ids for e in self.library.encode_batch_fast([" " + w.decode() for w in new], add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
-        place = np.fromiter(map(self.known.__getitem__, tokens.words), np.int64, len(tokens.words))[tokens.place]
-        size = self.starts[place + 1] - self.starts[place]
-        ends = np.cumsum(size)
-        take = np.repeat(self.starts[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[take], size
+        self.starts_word[[*self.entry.values(), self.end]] = True
+        self.known = Memo(self.split, REMEMBERED, 64)
+
+    def split(self, word: bytes) -> int:
+        """First id of a word and the bytes it stands for, as id * 256 + bytes."""
+        for n in range(min(len(word), self.longest), -1, -1):
+            at = self.entry.get(word[:n])
+            if at is not None:
+                return at << 8 | n
+        raise ValueError("vocabulary without a blank")
+
+    def first(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, how many bytes it stands for) of every word; the empty word is the end."""
+        known = self.known
+        both = np.fromiter((known[w] if w else self.end << 8 for w in words), np.int64, len(words))
+        return both >> 8, both & 255
+
+
+@dataclass
+class Bytes:
+    """Natural logarithms of p(byte | byte before), 256 standing for the end of the word."""
+
+    log: np.ndarray
+
+    @staticmethod
+    def pairs(words: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the pair in the table, word, words' first pairs) of the bytes behind each word's first id.
+
+        The byte before is the last one of the first id, or 256 where that is the blank alone.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        begin, many = np.cumsum(sizes) - sizes, sizes - known + 1
+        starts = np.cumsum(many) - many
+        word = np.repeat(np.arange(len(words)), many)
+        at = known[word] + np.arange(len(word)) - starts[word]
+        flat = np.append(flat, 256)
+        now = np.where(at < sizes[word], flat[np.minimum(begin[word] + at, len(flat) - 1)], 256)
+        before = np.where(at > 0, flat[begin[word] + at - 1], 256)
+        return before * 257 + now, word, starts
+
+    @classmethod
+    def counted(cls, counts: np.ndarray) -> Bytes:
+        counts = counts.reshape(257, 257).astype(float)
+        every = counts.sum(axis=0) + 1.0
+        smooth = counts + SPREAD * every / every.sum()
+        return cls(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
+
+    def ends(self, words: list[bytes], known: np.ndarray) -> np.ndarray:
+        """log A of every word; the end of a text has no bytes to come."""
+        pair, _, starts = self.pairs(words, known)
+        found = np.add.reduceat(self.log.ravel()[pair], starts) if len(words) else np.zeros(0)
+        found[[not w for w in words]] = 0.0
+        return found
 
 
 _SUBWORDS: dict[str, Subwords] = {}
@@ -158,24 +202,79 @@ class Network:
     def attend(self, inputs: np.ndarray, score_from: int = 0) -> tuple[np.ndarray, tuple]:
         """Class shares at every place of the windows [window, place] from ``score_from`` on."""
         w = self.weights
-        x = w["embed"][inputs]
-        asked = x[:, score_from:]
-        q, k, v = asked @ w["q"], x @ w["k"], x @ w["v"]
-        gap = np.arange(score_from, inputs.shape[1])[:, None] - np.arange(inputs.shape[1])[None, :]
-        far = np.where(gap >= 0, w["far"][np.clip(gap, 0, None)], np.float32(-1e9))
+        many, long = inputs.shape
+        x = w["embed"][inputs.ravel()]
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        mixed = (x @ np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)).reshape(many, long, -1)
+        q, k, v = mixed[:, score_from:, :WIDTH], mixed[:, :, WIDTH : 2 * WIDTH], mixed[:, :, 2 * WIDTH :]
+        gap = np.arange(score_from, long)[:, None] - np.arange(long)[None, :]
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(1 / np.sqrt(WIDTH))
-        s += far
-        s -= s.max(axis=2, keepdims=True)
+        s += np.where(gap >= 0, w["far"][np.clip(gap, 0, None)], np.float32(-1e9))
+        np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        both = np.concatenate([asked, s @ v], axis=2)
+        total = s.reshape(-1, long) @ np.ones(long, np.float32)
+        # A place whose every share is too small to tell looks at nothing.
+        s /= np.maximum(total, np.float32(1e-30)).reshape(many, -1, 1)
+        x = x.reshape(many, long, WIDTH)
+        both = np.concatenate([x[:, score_from:], s @ v], axis=2).reshape(-1, 2 * WIDTH)
         h = np.maximum(both @ w["h"] + w["hb"], 0)
         z = h @ w["o"] + w["ob"]
-        z -= z.max(axis=2, keepdims=True)
+        z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
-        return z, (x, q, k, v, s, both, h, gap)
+        z /= (z @ np.ones(CLASSES, np.float32))[:, None]
+        return z.reshape(many, -1, CLASSES), (x, q, k, v, s, both, h, gap)
+
+    def gradients(self, inputs: np.ndarray, goal: np.ndarray, exists: np.ndarray, expected: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the windows' mean negative log probability; their expected counts are added to ``expected``."""
+        w, skip = self.weights, WINDOW - STRIDE
+        share, (x, q, k, v, s, both, h, gap) = self.attend(inputs, skip)
+        many = len(inputs)
+        share, real = share.reshape(-1, CLASSES), exists.ravel()
+        posterior = share * self.emission[goal.ravel()]
+        posterior *= (real / np.maximum(posterior @ np.ones(CLASSES, np.float32), 1e-30))[:, None]
+        _add_rows(expected, goal.ravel(), posterior)
+        dz = (share * real[:, None] - posterior) * np.float32(1 / max(real.sum(), 1))
+        grad = {"o": h.T @ dz, "ob": dz.sum(axis=0)}
+        dh = (dz @ w["o"].T) * (h > 0)
+        grad |= {"h": both.T @ dh, "hb": dh.sum(axis=0)}
+        dboth = (dh @ w["h"].T).reshape(many, STRIDE, -1)
+        da = dboth[:, :, WIDTH:]
+        ds = da @ v.transpose(0, 2, 1)
+        ds *= s
+        ds -= s * (ds.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(many, STRIDE, 1)
+        grad["far"] = np.bincount(np.clip(gap, 0, None).ravel(), np.where(gap >= 0, ds.sum(axis=0), 0).ravel(), WINDOW).astype(np.float32)
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        # q holds its scale already.
+        dq, dk, dv = scale * (ds @ k), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ da
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        grad |= {"q": flat(x[:, skip:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+        dx = (flat(dk) @ w["k"].T + flat(dv) @ w["v"].T).reshape(x.shape)
+        dx[:, skip:] += (flat(dq) @ w["q"].T).reshape(many, STRIDE, -1) + dboth[:, :, :WIDTH]
+        grad["embed"] = np.zeros_like(w["embed"])
+        _add_rows(grad["embed"], inputs.ravel(), flat(dx))
+        return grad
+
+
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, repeated places included."""
+    for k in range(rows.shape[1]):
+        total[:, k] += np.bincount(at, rows[:, k], len(total))
+
+
+class Adam:
+    """Steps of Adam on a network's weights."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.weights, self.steps = weights, 0
+        self.moments = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in weights.items()}
+
+    def step(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for name, g in grad.items():
+            a, b = self.moments[name]
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            self.weights[name] -= (rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
 
 
 def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +302,9 @@ def gather(ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, text: np.ndarr
 
 
 def train(network: Network, ids: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, end: int, steps: int = STEPS) -> Network:
-    """Fit the network to the windows of a sample, in a seeded order."""
+    """Fit the network to the windows of some texts, in a seeded order."""
     first, text = windows_of(sizes)
-    rng, w = np.random.default_rng(13), network.weights
-    moments = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in w.items()}
+    rng, adam = np.random.default_rng(13), Adam(network.weights)
     expected = network.emission * 0
     floor = (SMOOTH * frequency)[:, None]
     order = np.empty(0, np.int64)
@@ -215,42 +313,44 @@ def train(network: Network, ids: np.ndarray, sizes: np.ndarray, frequency: np.nd
             order = np.concatenate([order, rng.permutation(len(first))])
         batch, order = order[:BATCH], order[BATCH:]
         inputs, goal, exists = gather(ids, sizes, first[batch], text[batch], end)
-        skip = WINDOW - STRIDE
-        share, (x, q, k, v, s, both, h, gap) = network.attend(inputs, skip)
-        joint = share * network.emission[goal]
-        posterior = joint / np.maximum(joint.sum(axis=2, keepdims=True), 1e-30)
-        dz = ((share - posterior) * exists[:, :, None] / max(exists.sum(), 1)).astype(np.float32)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        grad = {"o": flat(h).T @ flat(dz), "ob": flat(dz).sum(axis=0)}
-        dh = (dz @ w["o"].T) * (h > 0)
-        grad |= {"h": flat(both).T @ flat(dh), "hb": flat(dh).sum(axis=0)}
-        dboth = dh @ w["h"].T
-        da = dboth[:, :, WIDTH:]
-        ds = da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        grad["far"] = np.bincount(np.clip(gap, 0, None).ravel(), np.where(gap >= 0, ds.sum(axis=0), 0).ravel(), WINDOW).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(WIDTH))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ da
-        asked = x[:, skip:]
-        grad |= {"q": flat(asked).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, skip:] += dq @ w["q"].T + dboth[:, :, :WIDTH]
-        grad["embed"] = np.zeros_like(w["embed"])
-        np.add.at(grad["embed"], inputs.ravel(), flat(dx))
-        rate = 0.02 * min(1, 4 * (1 - step / (steps + 1)))
-        for name, g in grad.items():
-            a, b = moments[name]
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            w[name] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         # Expected counts, older ones fading while the network still moves.
         expected *= 1 - 1 / max(2, min(step / 2, HORIZON))
-        np.add.at(expected, goal[exists], posterior[exists].astype(np.float32))
+        adam.step(network.gradients(inputs, goal, exists, expected), 0.02 * min(1, 4 * (1 - step / (steps + 1))))
         emission = expected + floor
         network.emission = (emission / emission.sum(axis=0)).astype(np.float32)
     return network
 
 
+class Reader:
+    """A task's copy of the network, which goes on over the task's texts and adds up its expected counts."""
+
+    def __init__(self, network: Network):
+        self.network = Network({name: x.copy() for name, x in network.weights.items()}, network.emission)
+        self.adam, self.expected, self.read = Adam(self.network.weights), np.zeros_like(network.emission), 0
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray, end: int) -> None:
+        first, text = windows_of(sizes)
+        for at in range(0, len(first), READ):
+            inputs, goal, exists = gather(ids, sizes, first[at : at + READ], text[at : at + READ], end)
+            self.adam.step(self.network.gradients(inputs, goal, exists, self.expected), RATE)
+        self.read += len(ids)
+
+    def learned(self) -> np.ndarray:
+        """The ids read, the weights times that, and the expected counts, one after the other."""
+        weights = [x.ravel().astype(float) * self.read for x in self.network.weights.values()]
+        return np.concatenate([[self.read], *weights, self.expected.ravel()])
+
+
+def merged(network: Network, learned: np.ndarray, frequency: np.ndarray) -> Network:
+    """The network of all tasks, from the sum of what they have learned."""
+    at, weights = 1, {}
+    for name, x in network.weights.items():
+        weights[name] = (learned[at : at + x.size] / max(learned[0], 1)).reshape(x.shape).astype(np.float32) if learned[0] else x
+        at += x.size
+    emission = learned[at:].reshape(network.emission.shape) + (SMOOTH * frequency)[:, None]
+    return Network(weights, (emission / emission.sum(axis=0)).astype(np.float32))
+
+
 def id_scores(network: Network, ids: np.ndarray, sizes: np.ndarray, begins: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Natural logarithms of p(id | before) and of p(a word begins | before) at every place."""
     first, text = windows_of(sizes)
@@ -266,36 +366,22 @@ def id_scores(network: Network, ids: np.ndarray, sizes: np.ndarray, begins: np.n
     return np.log(np.maximum(p, 1e-37)), np.log(np.clip(b, 1e-37, 1))
 
 
-def text_sizes(tokens: Tokens, size: np.ndarray) -> np.ndarray:
-    """Ids of each text."""
-    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(tokens.many)]
-    return np.diff(np.concatenate([[0], ends]))
-
-
-def word_scores(network: Network, own: Subwords, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of all texts: its first id, log p(first id), log A."""
-    ids, size = own.ids(tokens)
-    word_ends, text_words = np.cumsum(size), np.cumsum(tokens.many)
-    p, b = id_scores(network, ids, text_sizes(tokens, size), own.starts_word, own.end)
-    starts = word_ends - size
-    # A word begins here anyway, and ends where the next one begins.
-    first = p[starts] - b[starts]
-    rest = np.add.reduceat(p, starts) - p[starts] if len(starts) else np.zeros(0)
-    inner = np.ones(len(starts), bool)
-    inner[text_words - 1] = False
-    at = np.flatnonzero(inner)
-    rest[at] += b[starts[at + 1]]
-    return ids[starts], first.astype(np.float64), np.minimum(rest.astype(np.float64), 0.0)
-
-
-def _count_words(rows: DataFrame) -> DataFrame:
-    """(word, c) of all tokens of the rows; counted inside tasks first."""
+def _read(rows: DataFrame, path: str, network: Network) -> tuple[DataFrame, DataFrame]:
+    """What all tasks find in their texts: (word, c) of their tokens, counted inside tasks first,
+    and (block, part), blocks of what each one's network has learned."""
+    start = rows.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
         counts: Counter = Counter()
+        own, reader = subwords(path), Reader(start.value)
+
+        def row(words, counts, blocks, parts):
+            columns = [pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "c", "block", "part"])
 
         def handed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+            none = [None] * len(counts)
+            out = row(list(counts), list(counts.values()), none, none)
             counts.clear()
             return out
 
@@ -303,34 +389,63 @@ def _count_words(rows: DataFrame) -> DataFrame:
             tokens = Tokens.of(batch.column(0).to_pylist())
             found = np.bincount(tokens.place, minlength=len(tokens.words)).tolist()
             counts.update({w: n for w, n in zip(tokens.words, found, strict=True) if n})
+            reader.learn(own.first(tokens.words)[0][tokens.place], tokens.many, own.end)
             if len(counts) > COUNTED:
                 yield handed()
         yield handed()
+        if reader.read:
+            learned = reader.learned().astype(np.float32)
+            parts = [learned[at : at + BLOCK].tobytes() for at in range(0, len(learned), BLOCK)]
+            none = [None] * len(parts)
+            yield row(none, none, list(range(len(parts))), parts)
+
+    found = cut(rows.mapInArrow(run, "word binary, c long, block int, part binary"), "read")
+    words = found.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
+    return words, found.filter("block IS NOT NULL").select("block", "part")
+
+
+def _sum_blocks(parts: DataFrame, network: Network) -> np.ndarray:
+    """What all tasks have learned, added up by tasks that hold some blocks each; its size is the network's."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                numbers = np.frombuffer(part.as_buffer(), np.float32)
+                if block in total:
+                    total[block] += numbers
+                else:
+                    total[block] = numbers.astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["block", "part"])
 
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    sums = parts.repartition(16, "block").mapInArrow(run, "block int, part binary").orderBy("block").toArrow()
+    size = 1 + sum(x.size for x in network.weights.values()) + network.emission.size
+    return np.frombuffer(b"".join(sums["part"].to_pylist()), float) if sums.num_rows else np.zeros(size)
 
 
-def _id_counts(vocabulary: DataFrame, path: str, size: int) -> np.ndarray:
-    """Three numbers per subword id, over all counted tokens: how often it occurs, how often
-    a token begins with it (C), and how many different ones do (V); bounded by the vocabulary file."""
+def _id_counts(vocabulary: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all counted tokens: how many begin with each subword id (C) and how many different
+    ones (V), and how often each pair of bytes stands behind a first id; both bounded."""
 
     def run(batches):
-        own, total = subwords(path), np.zeros((3, size), np.int64)
+        own, total = subwords(path), np.zeros((2, size + 257 * 257), np.int64)
         for batch in batches:
             words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            ids, many = own.ids(Tokens(words, np.arange(len(words)), np.ones(len(words), np.int64)))
-            first = ids[np.cumsum(many) - many]
-            total[0] += np.bincount(ids, np.repeat(counts, many), size).astype(np.int64)
-            total[1] += np.bincount(first, counts, size).astype(np.int64)
-            total[2] += np.bincount(first, minlength=size)
+            first, known = own.first(words)
+            total[0, :size] += np.bincount(first, counts, size).astype(np.int64)
+            total[1, :size] += np.bincount(first, minlength=size)
+            full = np.array([bool(w) for w in words], bool)
+            pair, word, _ = Bytes.pairs(words, known)
+            # Each different word counts once: A stands in for words that were not seen.
+            total[0, size:] += np.bincount(pair[full[word]], minlength=257 * 257)
         at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["id", "n", "c", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["id", "c", "v"])
 
-    counted = vocabulary.mapInArrow(run, "id long, n long, c long, v long")
-    found = counted.groupBy("id").agg(*[F.sum(x).alias(x) for x in "ncv"]).toArrow()
-    out = np.zeros((3, size), np.int64)
-    out[:, found["id"].to_numpy()] = [found[x].to_numpy() for x in "ncv"]
-    return out
+    counted = vocabulary.mapInArrow(run, "id long, c long, v long")
+    found = counted.groupBy("id").agg(*[F.sum(x).alias(x) for x in "cv"]).toArrow()
+    out = np.zeros((2, size + 257 * 257), np.int64)
+    out[:, found["id"].to_numpy()] = [found[x].to_numpy() for x in "cv"]
+    return out[:, :size], out[0, size:]
 
 
 def _parts(firsts: np.ndarray, c: np.ndarray, v: np.ndarray, mix: float) -> tuple[np.ndarray, np.ndarray]:
@@ -341,19 +456,23 @@ def _parts(firsts: np.ndarray, c: np.ndarray, v: np.ndarray, mix: float) -> tupl
     return each, np.where(seen, each * DISCOUNT * v[firsts] + mix, 1.0)
 
 
-def _choose_mix(network: Network, own: Subwords, tokens: Tokens, counts: dict[bytes, int], c_first, v_first) -> float:
-    """The weight m under which the sample is most likely, each word's own occurrence taken off its count."""
-    if not len(tokens.many):
-        return 1.0
-    firsts, _, rest = word_scores(network, own, tokens)
-    a = np.exp(rest)
-    c = tokens.each(counts, 1) - 1.0
-    grid = [0.0003, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.5, 0.7]
-    found = []
-    for mix in grid:
-        each, own_part = _parts(firsts, c_first, v_first, mix)
-        found.append(np.log(np.maximum(c - DISCOUNT, 0) * each + own_part * a + 1e-300).sum())
-    return grid[int(np.argmax(found))]
+def _choose_mix(vocabulary: DataFrame, path: str, spelled: Bytes, c_first: np.ndarray, v_first: np.ndarray) -> float:
+    """The weight m under which all training tokens are most likely, each one's own occurrence taken off its count."""
+
+    def run(batches):
+        own, total = subwords(path), np.zeros(len(MIXES))
+        for batch in batches:
+            words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            firsts, known = own.first(words)
+            a = np.exp(spelled.ends(words, known))
+            for i, mix in enumerate(MIXES):
+                each, own_part = _parts(firsts, c_first, v_first, mix)
+                likely = np.maximum(counts - 1 - DISCOUNT, 0) * each + own_part * a
+                total[i] += counts @ np.log(np.maximum(likely, 1e-300))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(MIXES)), pa.int32()), pa.array(total)], names=["mix", "sum"])
+
+    sums = vocabulary.mapInArrow(run, "mix int, sum double").groupBy("mix").agg(F.sum("sum").alias("sum")).collect()
+    return MIXES[max(sums, key=lambda r: (r["sum"], r["mix"]))["mix"]]
 
 
 def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,14 +481,7 @@ def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), present(text).alias("text"))
     own = subwords(path)
     training = rows.filter("NOT held_out")
-    vocabulary = cut(_count_words(training.select("text")), "vocabulary")
-    totals = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = int(totals.n or 0), int(totals.v)
-    n_id, c_first, v_first = _id_counts(vocabulary, path, own.size)
-    frequency = (n_id + 0.01) / (n_id + 0.01).sum()
-    top = vocabulary.filter(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
-
+    network = Network.fresh(own.size, np.full(own.size, 1 / own.size))
     # Ids and text hashes are chosen first; at most SAMPLE of them are broadcast to fetch the texts.
     hashed = training.withColumn("text_hash", F.xxhash64("text"))
     chosen = hash_sample(hashed.select("doc_id", "text_hash"), "doc_id", SAMPLE).distinct()
@@ -377,23 +489,37 @@ def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str =
     texts = hashed.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
     texts = texts.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"])
     sample = texts.orderBy("text_hash", "doc_id").toArrow()["text"].to_pylist()
-    network = Network.fresh(own.size, frequency)
     if sample:
         tokens = Tokens.of(sample)
-        ids, size = own.ids(tokens)
-        network = train(network, ids, text_sizes(tokens, size), frequency, own.end)
-    mix = _choose_mix(network, own, Tokens.of(sample[:300]), frequent, c_first, v_first)
-    own.forget()
-    shared = spark.sparkContext.broadcast((network, frequent, c_first, v_first))
+        ids = own.first(tokens.words)[0][tokens.place]
+        # Where the tasks start from; what they start with is fitted again on all texts.
+        frequency = (np.bincount(ids, minlength=own.size) + 0.01) / (len(ids) + 0.01 * own.size)
+        network = train(Network.fresh(own.size, frequency), ids, tokens.many, frequency, own.end)
+
+    words, parts = _read(training.select("text"), path, network)
+    vocabulary = cut(words, "vocabulary")
+    totals = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = int(totals.n or 0), int(totals.v)
+    (c_first, v_first), pairs = _id_counts(vocabulary, path, own.size)
+    frequency = (c_first + 0.01) / (c_first + 0.01).sum()
+    network, spelled = merged(network, _sum_blocks(parts, network), frequency), Bytes.counted(pairs)
+    mix = _choose_mix(vocabulary, path, spelled, c_first, v_first) if n else 1.0
+    top = vocabulary.filter(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    shared = spark.sparkContext.broadcast((network, spelled, frequent, c_first, v_first))
     floor = n + 0.5 * (v + 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        net, counts, c_of, v_of = shared.value
+        net, spelling, counts, c_of, v_of = shared.value
         encoder = subwords(path)
         tokens = Tokens.of(batch.column(2).to_pylist())
-        firsts, begun, rest = word_scores(net, encoder, tokens)
+        firsts, known = encoder.first(tokens.words)
         each, own_part = _parts(firsts, c_of, v_of, mix)
-        own_part *= np.exp(rest)
+        own_part *= np.exp(spelling.ends(tokens.words, known))
+        each, own_part = each[tokens.place], own_part[tokens.place]
+        p, b = id_scores(net, firsts[tokens.place], tokens.many, encoder.starts_word, encoder.end)
+        # A word begins here anyway.
+        begun = np.minimum(p - b, 0).astype(np.float64)
         many = tokens.many
         c = tokens.each(counts, -1)
         begin = np.cumsum(many) - many

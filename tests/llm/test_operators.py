@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from rankflow.llm import attention, chat, forest, packing, pieces, quality, simhash, suffixes, token_prefix, toxicity
 from rankflow.llm.components import components
+from rankflow.llm.tables import hash_sample
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 DOCS = "doc_id long, text string"
@@ -149,6 +150,68 @@ def test_scores_count_as_the_contract_says(spark, odd_docs):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score <= 1e-9
 
 
+def _first_ids(texts):
+    own, tokens = attention.subwords(BYTE), attention.Tokens.of(texts)
+    return own.first(tokens.words)[0][tokens.place], tokens.many
+
+
+def test_the_network_learns_from_every_training_text(spark):
+    own = attention.subwords(BYTE)
+    texts = ["one two one two"] * 5 + ["", "three", "four five " * 40] * 3
+    docs = spark.createDataFrame([*enumerate(texts)], DOCS).repartition(3)
+    start = attention.Network.fresh(own.size, np.full(own.size, 1 / own.size))
+    words, parts = attention._read(docs.select("text"), BYTE, start)
+    learned = attention._sum_blocks(parts, start)
+    ids, sizes = _first_ids(texts)
+    assert learned[0] == len(ids) == words.agg(F.sum("c")).first()[0]
+    expected = learned[-start.emission.size :].reshape(start.emission.shape).sum(axis=1)
+    assert np.allclose(expected, np.bincount(ids, minlength=own.size), atol=1e-3)
+    whole = attention.merged(start, learned, np.full(own.size, 1 / own.size))
+    assert whole.weights["o"].shape == start.weights["o"].shape and not np.array_equal(whole.weights["o"], start.weights["o"])
+
+
+def test_order_of_words_outside_the_first_texts_counts(spark, monkeypatch):
+    monkeypatch.setattr(attention, "SAMPLE", 3)
+    names = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    begun = {r.doc_id for r in hash_sample(names, "doc_id", 3).collect()}
+    dice, found = random.Random(3), []
+    for mixed in (False, True):
+        rows = [(-1, "red green blue " * 30)]
+        for i in range(200):
+            words = ["red", "green", "blue"] * 30
+            if mixed and i not in begun:
+                dice.shuffle(words)
+            rows.append((i, " ".join(words)))
+        scored = attention.score(spark.createDataFrame(rows, DOCS), BYTE, F.col("doc_id") == -1)
+        found.append(scored.filter("doc_id = -1").first())
+    assert found[0].base_score == found[1].base_score and found[0].score > found[1].score + 1
+
+
+def test_mixing_weight_is_the_likeliest_over_all_words(spark):
+    counts = {f"w{i}".encode(): 1 + 400 // (i + 1) for i in range(600)} | {b"": 90}
+    table = spark.createDataFrame(list(counts.items()), "word binary, c long").repartition(3)
+    own = attention.subwords(BYTE)
+    (c_of, v_of), pairs = attention._id_counts(table, BYTE, own.size)
+    spelled = attention.Bytes.counted(pairs)
+    first = {w: own.split(w) if w else own.end << 8 for w in counts}
+    for w, at in first.items():
+        assert not w or max(k for k in range(len(w) + 1) if w[:k] in own.entry) == at & 255
+    by_id = Counter()
+    for w, at in first.items():
+        by_id[at >> 8] += counts[w]
+    assert {i: n for i, n in enumerate(c_of.tolist()) if n} == by_id and v_of.sum() == len(counts)
+    likely = {}
+    for m in attention.MIXES:
+        likely[m] = 0
+        for w, c in counts.items():
+            at, known = first[w] >> 8, first[w] & 255
+            behind = [*(w[known - 1 :] if known else [256, *w]), 256]
+            a = math.exp(sum(spelled.log[x, y] for x, y in zip(behind, behind[1:]))) if w else 1
+            seen = (max(c - 1.75, 0) + 0.75 * int(v_of[at]) * a) / int(c_of[at])
+            likely[m] += c * math.log((1 - m) * seen + m * a)
+    assert attention._choose_mix(table, BYTE, spelled, c_of, v_of) == max(likely, key=likely.get)
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
