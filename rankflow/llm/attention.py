@@ -10,14 +10,14 @@ is context only, so each id is scored once, in batches of masked attention.
 A word is written as an id, the longest entry of a byte-level vocabulary that it starts
 with (a blank before it), and the bytes behind.  The network reads and predicts these ids:
 p(x1 | context).  A, the probability of the bytes behind and of ending there, comes from
-counted pairs of bytes.  Of the training tokens that begin with x1, C in number and V
+counted bytes after the three bytes before them.  Of the training tokens that begin with x1, C in number and V
 different ones, c are the word itself; so its probability is p(x1 | context) times
 (1 - m) (max(c - D, 0) / C + D V / C A) + m A, which adds up to at most one.  D is fixed;
 m is the weight under which all training tokens are most likely, each one's own occurrence
 taken off its count.
 
-What is learned from: everything from all training texts.  Word counts, C, V, pairs of
-bytes and m come from the table of counted words.  The network starts from ``STEPS`` steps
+What is learned from: everything from all training texts.  Word counts, C, V, counts
+of bytes and m come from the table of counted words.  The network starts from ``STEPS`` steps
 on ``SAMPLE`` texts; then every task goes on from there over all of its training texts, and
 the tasks' weights are averaged by the ids they read, their expected counts added up.  The
 last digits of a score thus depend on how the table is split into tasks.
@@ -58,8 +58,8 @@ DISCOUNT = 0.75
 HORIZON = 200
 #: Pseudo-counts by which corpus frequencies smooth each class.
 SMOOTH = 200.0
-#: Pseudo-counts by which all bytes smooth the bytes behind each byte.
-SPREAD = 16.0
+#: Factors that put the three bytes before a byte into one of ``CONTEXTS`` places, and the pseudo-counts that smooth what follows.
+FACTORS, CONTEXTS, SPREAD = (1, 67, 1543), 1 << 14, 4.0
 #: Weights m to choose from.
 MIXES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.5, 0.7)
 #: Words counted inside a task before they are handed on, and words whose first id a worker remembers.
@@ -131,38 +131,44 @@ class Subwords:
 
 @dataclass
 class Bytes:
-    """Natural logarithms of p(byte | byte before), 256 standing for the end of the word."""
+    """p(byte | three bytes before) by counts, smoothed by p(byte | byte before); 256 stands for the end of the word.
 
-    log: np.ndarray
+    Before the first byte of a word there are blanks, also written 256.
+    """
 
-    @staticmethod
-    def pairs(words: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the pair in the table, word, words' first pairs) of the bytes behind each word's first id.
+    one: np.ndarray  # [byte before, byte]: probability
+    counts: np.ndarray  # [context, byte]
+    totals: np.ndarray
+    #: Size of both tables of counts.
+    SIZE = (257 + CONTEXTS) * 257
 
-        The byte before is the last one of the first id, or 256 where that is the blank alone.
-        """
+    @staticmethod
+    def behind(words: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in both tables of the bytes behind each word's first id and of its end, and each word's first of them."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        flat = np.append(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), 256)
         begin, many = np.cumsum(sizes) - sizes, sizes - known + 1
         starts = np.cumsum(many) - many
         word = np.repeat(np.arange(len(words)), many)
         at = known[word] + np.arange(len(word)) - starts[word]
-        flat = np.append(flat, 256)
-        now = np.where(at < sizes[word], flat[np.minimum(begin[word] + at, len(flat) - 1)], 256)
-        before = np.where(at > 0, flat[begin[word] + at - 1], 256)
-        return before * 257 + now, word, starts
+        place = begin[word] + at
+        byte = np.where(at < sizes[word], flat[np.minimum(place, len(flat) - 1)], 256)
+        before = [np.where(at >= k, flat[np.maximum(place - k, 0)], 256) for k in (1, 2, 3)]
+        context = sum(b * f for b, f in zip(before, FACTORS, strict=True)) % CONTEXTS
+        return before[0] * 257 + byte, context * 257 + byte, starts
 
     @classmethod
     def counted(cls, counts: np.ndarray) -> Bytes:
-        counts = counts.reshape(257, 257).astype(float)
-        every = counts.sum(axis=0) + 1.0
-        smooth = counts + SPREAD * every / every.sum()
-        return cls(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
+        pairs, longer = counts[: 257 * 257].reshape(257, 257), counts[257 * 257 :].reshape(CONTEXTS, 257)
+        every = pairs.sum(axis=0) + 1.0
+        one = pairs + SPREAD * every / every.sum()
+        return cls(one / one.sum(axis=1, keepdims=True), longer.astype(np.float32), longer.sum(axis=1).astype(float))
 
     def ends(self, words: list[bytes], known: np.ndarray) -> np.ndarray:
         """log A of every word; the end of a text has no bytes to come."""
-        pair, _, starts = self.pairs(words, known)
-        found = np.add.reduceat(self.log.ravel()[pair], starts) if len(words) else np.zeros(0)
+        pair, longer, starts = self.behind(words, known)
+        p = (self.counts.ravel()[longer] + SPREAD * self.one.ravel()[pair]) / (self.totals[longer // 257] + SPREAD)
+        found = np.add.reduceat(np.log(p), starts) if len(words) else np.zeros(0)
         found[[not w for w in words]] = 0.0
         return found
 
@@ -425,25 +431,27 @@ def _sum_blocks(parts: DataFrame, network: Network) -> np.ndarray:
 
 def _id_counts(vocabulary: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all counted tokens: how many begin with each subword id (C) and how many different
-    ones (V), and how often each pair of bytes stands behind a first id; both bounded."""
+    ones (V), and the counts of the bytes behind first ids; both of fixed size."""
 
     def run(batches):
-        own, total = subwords(path), np.zeros((2, size + 257 * 257), np.int64)
+        own, total, behind = subwords(path), np.zeros((2, size), np.int64), np.zeros(Bytes.SIZE, np.int64)
         for batch in batches:
             words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             first, known = own.first(words)
-            total[0, :size] += np.bincount(first, counts, size).astype(np.int64)
-            total[1, :size] += np.bincount(first, minlength=size)
-            full = np.array([bool(w) for w in words], bool)
-            pair, word, _ = Bytes.pairs(words, known)
+            total[0] += np.bincount(first, counts, size).astype(np.int64)
+            total[1] += np.bincount(first, minlength=size)
             # Each different word counts once: A stands in for words that were not seen.
-            total[0, size:] += np.bincount(pair[full[word]], minlength=257 * 257)
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in total)], names=["id", "c", "v"])
+            full = np.flatnonzero([bool(w) for w in words])
+            pair, longer, _ = Bytes.behind([words[i] for i in full], known[full])
+            at, many = np.unique(np.concatenate([pair, longer + 257 * 257]), return_counts=True)
+            behind[at] += many
+        at, more = np.flatnonzero(total[0]), np.flatnonzero(behind)
+        ids, c = np.concatenate([at, size + more]), np.concatenate([total[0][at], behind[more]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c), pa.array(np.append(total[1][at], np.zeros(len(more), np.int64)))], names=["id", "c", "v"])
 
     counted = vocabulary.mapInArrow(run, "id long, c long, v long")
     found = counted.groupBy("id").agg(*[F.sum(x).alias(x) for x in "cv"]).toArrow()
-    out = np.zeros((2, size + 257 * 257), np.int64)
+    out = np.zeros((2, size + Bytes.SIZE), np.int64)
     out[:, found["id"].to_numpy()] = [found[x].to_numpy() for x in "cv"]
     return out[:, :size], out[0, size:]
 
@@ -500,9 +508,9 @@ def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str =
     vocabulary = cut(words, "vocabulary")
     totals = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(totals.n or 0), int(totals.v)
-    (c_first, v_first), pairs = _id_counts(vocabulary, path, own.size)
+    (c_first, v_first), behind = _id_counts(vocabulary, path, own.size)
     frequency = (c_first + 0.01) / (c_first + 0.01).sum()
-    network, spelled = merged(network, _sum_blocks(parts, network), frequency), Bytes.counted(pairs)
+    network, spelled = merged(network, _sum_blocks(parts, network), frequency), Bytes.counted(behind)
     mix = _choose_mix(vocabulary, path, spelled, c_first, v_first) if n else 1.0
     top = vocabulary.filter(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))

@@ -191,8 +191,8 @@ def test_mixing_weight_is_the_likeliest_over_all_words(spark):
     counts = {f"w{i}".encode(): 1 + 400 // (i + 1) for i in range(600)} | {b"": 90}
     table = spark.createDataFrame(list(counts.items()), "word binary, c long").repartition(3)
     own = attention.subwords(BYTE)
-    (c_of, v_of), pairs = attention._id_counts(table, BYTE, own.size)
-    spelled = attention.Bytes.counted(pairs)
+    (c_of, v_of), counted = attention._id_counts(table, BYTE, own.size)
+    spelled = attention.Bytes.counted(counted)
     first = {w: own.split(w) if w else own.end << 8 for w in counts}
     for w, at in first.items():
         assert not w or max(k for k in range(len(w) + 1) if w[:k] in own.entry) == at & 255
@@ -200,13 +200,28 @@ def test_mixing_weight_is_the_likeliest_over_all_words(spark):
     for w, at in first.items():
         by_id[at >> 8] += counts[w]
     assert {i: n for i, n in enumerate(c_of.tolist()) if n} == by_id and v_of.sum() == len(counts)
+
+    def spelling(w):
+        padded = [256, 256, 256, *w, 256]
+        return [(tuple(padded[k : k + 3]), padded[k + 3]) for k in range(len(w) + 1)]
+
+    pairs, triples = Counter(), Counter()
+    for w, at in first.items():
+        for before, y in spelling(w)[at & 255 :] if w else ():
+            pairs[before[2], y] += 1
+            triples[before, y] += 1
+    every = {y: 1 + sum(n for (_, z), n in pairs.items() if z == y) for y in range(257)}
+    follows = {}
+    for before, x in {(b, b[2]) for b, _ in triples}:
+        one = {y: pairs[x, y] + 4 * every[y] / sum(every.values()) for y in every}
+        seen = sum(n for (b, _), n in triples.items() if b == before)
+        follows |= {(before, y): (triples[before, y] + 4 * one[y] / sum(one.values())) / (seen + 4) for y in every}
     likely = {}
     for m in attention.MIXES:
         likely[m] = 0
         for w, c in counts.items():
             at, known = first[w] >> 8, first[w] & 255
-            behind = [*(w[known - 1 :] if known else [256, *w]), 256]
-            a = math.exp(sum(spelled.log[x, y] for x, y in zip(behind, behind[1:]))) if w else 1
+            a = math.prod(follows[before, y] for before, y in spelling(w)[known:]) if w else 1
             seen = (max(c - 1.75, 0) + 0.75 * int(v_of[at]) * a) / int(c_of[at])
             likely[m] += c * math.log((1 - m) * seen + m * a)
     assert attention._choose_mix(table, BYTE, spelled, c_of, v_of) == max(likely, key=likely.get)
