@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.tables import Memo, cut_batch, hash_sample, map_rows, present
+from rankflow.llm.tables import cut_batch, hash_sample, map_rows, present
 from rankflow.plans import cut
 
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES = 16, 12, 8, 16, 16
 SAMPLE, STEPS, BATCH = 1500, 400, 1024
 #: Windows of one step and its rate where tasks go on from the first steps.
 READ, RATE = 4096, 0.002
+#: Windows whose arrays are held at once; a step adds up its gradients over as many parts as it takes.
+PART = 1024
 #: Numbers in one row of what a task has learned.
 BLOCK = 1024
 FREQUENT, WORD_BYTES = 1 << 18, 64
@@ -62,8 +64,13 @@ SMOOTH = 200.0
 FACTORS, CONTEXTS, SPREAD = (1, 67, 1543), 1 << 14, 4.0
 #: Weights m to choose from.
 MIXES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.5, 0.7)
-#: Words counted inside a task before they are handed on, and words whose first id a worker remembers.
-COUNTED, REMEMBERED = 500_000, 500_000
+#: Words counted inside a task before they are handed on.
+COUNTED = 500_000
+
+
+def word_list(column: pa.Array) -> list[bytes]:
+    """Words of a column; by way of numpy, for Arrow's own list makes an object per value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 @dataclass
@@ -80,9 +87,9 @@ class Tokens:
         column = pc.replace_substring_regex(pc.ascii_lower(pa.array(texts, pa.string())), "[\\t-\\r]", " ")
         lists = pc.split_pattern(column, " ")
         coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = word_list(coded.dictionary)
         place = coded.indices.to_numpy().astype(np.int64)
-        full = np.array([bool(w) for w in words], bool)[place] if len(words) else np.zeros(0, bool)
+        full = (pc.binary_length(coded.dictionary).to_numpy() > 0)[place]
         offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(texts) else 0)
         ends = np.concatenate([[0], np.cumsum(full)])[offsets]
         place = np.insert(place[full], ends[1:], len(words))
@@ -91,7 +98,7 @@ class Tokens:
 
     def each(self, of: dict[bytes, int], missing: int) -> np.ndarray:
         """A number per token, looked up once per different word."""
-        return np.fromiter((of.get(w, missing) for w in self.words), np.int64, len(self.words))[self.place]
+        return np.fromiter(map(of.get, self.words, repeat(missing)), np.int64, len(self.words))[self.place]
 
 
 class Subwords:
@@ -112,7 +119,12 @@ class Subwords:
         self.longest = min(255, max(map(len, self.entry)))
         self.starts_word = np.zeros(self.size, bool)
         self.starts_word[[*self.entry.values(), self.end]] = True
-        self.known = Memo(self.split, REMEMBERED, 64)
+        self.blank = self.split(b"")
+        #: (bytes, entries, id * 256 + bytes) of the entries of each length, longest first.
+        self.lengths = []
+        for n in sorted({len(e) for e in self.entry if e}, reverse=True):
+            entries = [e for e in self.entry if len(e) == n]
+            self.lengths.append((n, pa.array(entries, pa.binary()), np.array([self.entry[e] << 8 | n for e in entries])))
 
     def split(self, word: bytes) -> int:
         """First id of a word and the bytes it stands for, as id * 256 + bytes."""
@@ -124,8 +136,18 @@ class Subwords:
 
     def first(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(first id, how many bytes it stands for) of every word; the empty word is the end."""
-        known = self.known
-        both = np.fromiter((known[w] if w else self.end << 8 for w in words), np.int64, len(words))
+        column = pa.array(words, pa.binary())
+        sizes = pc.binary_length(column).to_numpy()
+        both = np.where(sizes > 0, self.blank, self.end << 8)
+        left = np.flatnonzero(sizes)
+        # Entries of one length at a time, for the words that no longer one begins.
+        for n, entries, found in self.lengths:
+            able = left[sizes[left] >= n]
+            if len(able):
+                heads = pc.binary_slice(column.take(pa.array(able)), 0, n)
+                at = pc.index_in(heads, value_set=entries).fill_null(-1).to_numpy()
+                both[able[at >= 0]] = found[at[at >= 0]]
+                left = left[both[left] == self.blank]
         return both >> 8, both & 255
 
 
@@ -232,14 +254,28 @@ class Network:
 
     def gradients(self, inputs: np.ndarray, goal: np.ndarray, exists: np.ndarray, expected: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the windows' mean negative log probability; their expected counts are added to ``expected``."""
+        each = np.float32(1 / max(exists.sum(), 1))
+        posterior, dx = np.empty((goal.size, CLASSES), np.float32), np.empty((inputs.size, WIDTH), np.float32)
+        grad: dict[str, np.ndarray] = {}
+        for at in range(0, len(inputs), PART):
+            part = slice(at, at + PART)
+            goals, places = slice(at * STRIDE, (at + PART) * STRIDE), slice(at * WINDOW, (at + PART) * WINDOW)
+            found = self._part_gradients(inputs[part], goal[part].ravel(), exists[part].ravel(), each, posterior[goals], dx[places])
+            grad = {name: grad[name] + x for name, x in found.items()} if grad else found
+        _add_rows(expected, goal.ravel(), posterior)
+        grad["embed"] = np.zeros_like(self.weights["embed"])
+        _add_rows(grad["embed"], inputs.ravel(), dx)
+        return grad
+
+    def _part_gradients(self, inputs, goal, real, each: np.float32, posterior: np.ndarray, dx: np.ndarray) -> dict[str, np.ndarray]:
+        """What some windows add to all gradients but that of the embedding; for this ``dx`` is filled, by place, and ``posterior`` by goal."""
         w, skip = self.weights, WINDOW - STRIDE
         share, (x, q, k, v, s, both, h, gap) = self.attend(inputs, skip)
         many = len(inputs)
-        share, real = share.reshape(-1, CLASSES), exists.ravel()
-        posterior = share * self.emission[goal.ravel()]
+        share = share.reshape(-1, CLASSES)
+        np.multiply(share, self.emission[goal], out=posterior)
         posterior *= (real / np.maximum(posterior @ np.ones(CLASSES, np.float32), 1e-30))[:, None]
-        _add_rows(expected, goal.ravel(), posterior)
-        dz = (share * real[:, None] - posterior) * np.float32(1 / max(real.sum(), 1))
+        dz = (share * real[:, None] - posterior) * each
         grad = {"o": h.T @ dz, "ob": dz.sum(axis=0)}
         dh = (dz @ w["o"].T) * (h > 0)
         grad |= {"h": both.T @ dh, "hb": dh.sum(axis=0)}
@@ -254,10 +290,9 @@ class Network:
         dq, dk, dv = scale * (ds @ k), ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ da
         flat = lambda a: a.reshape(-1, a.shape[-1])
         grad |= {"q": flat(x[:, skip:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = (flat(dk) @ w["k"].T + flat(dv) @ w["v"].T).reshape(x.shape)
-        dx[:, skip:] += (flat(dq) @ w["q"].T).reshape(many, STRIDE, -1) + dboth[:, :, :WIDTH]
-        grad["embed"] = np.zeros_like(w["embed"])
-        _add_rows(grad["embed"], inputs.ravel(), flat(dx))
+        by_window = dx.reshape(x.shape)
+        by_window[:] = (flat(dk) @ w["k"].T + flat(dv) @ w["v"].T).reshape(x.shape)
+        by_window[:, skip:] += (flat(dq) @ w["q"].T).reshape(many, STRIDE, -1) + dboth[:, :, :WIDTH]
         return grad
 
 
@@ -362,10 +397,10 @@ def id_scores(network: Network, ids: np.ndarray, sizes: np.ndarray, begins: np.n
     first, text = windows_of(sizes)
     begin_share = network.emission[begins].sum(axis=0)
     p, b = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
-    for at in range(0, len(first), 1024):
-        inputs, goal, exists = gather(ids, sizes, first[at : at + 1024], text[at : at + 1024], end)
+    for at in range(0, len(first), PART):
+        inputs, goal, exists = gather(ids, sizes, first[at : at + PART], text[at : at + PART], end)
         share, _ = network.attend(inputs, WINDOW - STRIDE)
-        place = (first[at : at + 1024, None] + np.arange(STRIDE)[None, :])[exists]
+        place = (first[at : at + PART, None] + np.arange(STRIDE)[None, :])[exists]
         share = share[exists]
         p[place] = np.einsum("ij,ij->i", share, network.emission[goal[exists]])
         b[place] = share @ begin_share
@@ -436,7 +471,7 @@ def _id_counts(vocabulary: DataFrame, path: str, size: int) -> tuple[np.ndarray,
     def run(batches):
         own, total, behind = subwords(path), np.zeros((2, size), np.int64), np.zeros(Bytes.SIZE, np.int64)
         for batch in batches:
-            words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words, counts = word_list(batch.column(0)), batch.column(1).to_numpy()
             first, known = own.first(words)
             total[0] += np.bincount(first, counts, size).astype(np.int64)
             total[1] += np.bincount(first, minlength=size)
@@ -470,7 +505,7 @@ def _choose_mix(vocabulary: DataFrame, path: str, spelled: Bytes, c_first: np.nd
     def run(batches):
         own, total = subwords(path), np.zeros(len(MIXES))
         for batch in batches:
-            words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words, counts = word_list(batch.column(0)), batch.column(1).to_numpy()
             firsts, known = own.first(words)
             a = np.exp(spelled.ends(words, known))
             for i, mix in enumerate(MIXES):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -170,6 +171,37 @@ def test_the_network_learns_from_every_training_text(spark):
     assert whole.weights["o"].shape == start.weights["o"].shape and not np.array_equal(whole.weights["o"], start.weights["o"])
 
 
+def test_a_step_holds_the_arrays_of_one_part_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = attention.Network.fresh(50, np.full(50, 0.02))
+    sizes = np.full(attention.READ, attention.STRIDE)
+    sizes[7] = 5
+    ids = rng.integers(0, 50, sizes.sum())
+    inputs, goal, exists = attention.gather(ids, sizes, *attention.windows_of(sizes), 0)
+    expected, peaks, found = [np.zeros((50, attention.CLASSES)) for _ in range(2)], [], []
+    for part, into in zip((attention.PART, attention.READ), expected, strict=True):
+        monkeypatch.setattr(attention, "PART", part)
+        tracemalloc.start()
+        found.append(net.gradients(inputs, goal, exists, into))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert 2 * peaks[0] < peaks[1]
+    assert np.allclose(*expected, rtol=1e-4) and math.isclose(expected[0].sum(), exists.sum(), rel_tol=1e-4)
+    assert found[0].keys() == found[1].keys() == net.weights.keys()
+    assert all(np.allclose(found[0][name], found[1][name], rtol=1e-3, atol=1e-6) for name in found[0])
+
+
+def test_first_ids_of_whole_batches_are_the_longest_entries():
+    own, dice = attention.subwords(BYTE), random.Random(8)
+    words = [b"", b"a" * 300, "日本語です".encode(), b"\xff\xfe", b"th\x00", *list(own.entry)[::50]]
+    words += ["".join(dice.choices("therandofing.", k=dice.randint(1, 20))).encode() for _ in range(2000)]
+    first, known = own.first(words)
+    for word, at, n in zip(words, first.tolist(), known.tolist(), strict=True):
+        longest = max(k for k in range(len(word) + 1) if word[:k] in own.entry)
+        assert (at, n) == ((own.entry[word[:longest]], longest) if word else (own.end, 0))
+    assert [len(x) for x in own.first([])] == [0, 0]
+
+
 def test_order_of_words_outside_the_first_texts_counts(spark, monkeypatch):
     monkeypatch.setattr(attention, "SAMPLE", 3)
     names = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
