@@ -23,7 +23,8 @@ the tasks' weights are averaged by the ids they read, their expected counts adde
 last digits of a score thus depend on how the table is split into tasks.
 
 Counts of the ``FREQUENT`` most frequent words of at most ``WORD_BYTES`` bytes (a bounded
-table) go to all tasks; other words are joined with the table of counts.
+table) go to all tasks; other words are joined with the table of counts.  Tasks get their
+texts in small Arrow batches; a task's steps do not depend on where these end.
 
 Defined cases: a null text counts as empty, and an empty text has its end token; a
 null id counts as the text ''; repeated rows each get a row; without training texts
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.tables import cut_batch, hash_sample, map_rows, present
+from rankflow.llm.tables import cut_batch, hash_sample, map_rows, present, small_batches
 from rankflow.plans import cut
 
 WINDOW, STRIDE, WIDTH, HIDDEN, CLASSES = 16, 12, 8, 16, 16
@@ -96,9 +97,9 @@ class Tokens:
         # Empty strings between blanks are no words; their place is left to the ends.
         return cls([*words, b""], place, np.diff(ends) + 1)
 
-    def each(self, of: dict[bytes, int], missing: int) -> np.ndarray:
-        """A number per token, looked up once per different word."""
-        return np.fromiter(map(of.get, self.words, repeat(missing)), np.int64, len(self.words))[self.place]
+    def each(self, words: pa.Array, numbers: np.ndarray) -> np.ndarray:
+        """A number per token, looked up once per different word; the last number is that of words not among ``words``."""
+        return numbers[pc.index_in(pa.array(self.words, pa.binary()), value_set=words).fill_null(len(numbers) - 1).to_numpy()][self.place]
 
 
 class Subwords:
@@ -368,16 +369,33 @@ class Reader:
     def __init__(self, network: Network):
         self.network = Network({name: x.copy() for name, x in network.weights.items()}, network.emission)
         self.adam, self.expected, self.read = Adam(self.network.weights), np.zeros_like(network.emission), 0
+        #: Inputs, goals and which of these exist of windows that do not fill a step yet.
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.many = 0
 
     def learn(self, ids: np.ndarray, sizes: np.ndarray, end: int) -> None:
+        """Go on over some texts; a step takes ``READ`` windows, however the texts are dealt to calls."""
         first, text = windows_of(sizes)
-        for at in range(0, len(first), READ):
-            inputs, goal, exists = gather(ids, sizes, first[at : at + READ], text[at : at + READ], end)
-            self.adam.step(self.network.gradients(inputs, goal, exists, self.expected), RATE)
+        at = 0
+        while at < len(first):
+            part = slice(at, at + READ - self.many)
+            self.held.append(gather(ids, sizes, first[part], text[part], end))
+            self.many += len(first[part])
+            at = part.stop
+            if self.many == READ:
+                self.step()
         self.read += len(ids)
 
+    def step(self) -> None:
+        """A step over the windows held."""
+        if self.held:
+            inputs, goal, exists = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.many = [], 0
+            self.adam.step(self.network.gradients(inputs, goal, exists, self.expected), RATE)
+
     def learned(self) -> np.ndarray:
         """The ids read, the weights times that, and the expected counts, one after the other."""
+        self.step()
         weights = [x.ravel().astype(float) * self.read for x in self.network.weights.values()]
         return np.concatenate([[self.read], *weights, self.expected.ravel()])
 
@@ -520,6 +538,12 @@ def _choose_mix(vocabulary: DataFrame, path: str, spelled: Bytes, c_first: np.nd
 
 def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    with small_batches(docs.sparkSession):
+        return _score(docs, path, held_out, key, text)
+
+
+def _score(docs: DataFrame, path: str, held_out, key: str, text: str) -> DataFrame:
+    """What ``score`` returns; all Python work is done when it does."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), present(text).alias("text"))
     own = subwords(path)
@@ -548,12 +572,13 @@ def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str =
     network, spelled = merged(network, _sum_blocks(parts, network), frequency), Bytes.counted(behind)
     mix = _choose_mix(vocabulary, path, spelled, c_first, v_first) if n else 1.0
     top = vocabulary.filter(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True))
+    # As Arrow and numpy: a dictionary of Python objects takes ten times the memory in every worker.
+    frequent = pa.array(word_list(top["word"]), pa.binary()), np.append(top["c"].to_numpy(), -1)
     shared = spark.sparkContext.broadcast((network, spelled, frequent, c_first, v_first))
     floor = n + 0.5 * (v + 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        net, spelling, counts, c_of, v_of = shared.value
+        net, spelling, (counted, counts), c_of, v_of = shared.value
         encoder = subwords(path)
         tokens = Tokens.of(batch.column(2).to_pylist())
         firsts, known = encoder.first(tokens.words)
@@ -564,7 +589,7 @@ def score(docs: DataFrame, path: str, held_out, key: str = "doc_id", text: str =
         # A word begins here anyway.
         begun = np.minimum(p - b, 0).astype(np.float64)
         many = tokens.many
-        c = tokens.each(counts, -1)
+        c = tokens.each(counted, counts)
         begin = np.cumsum(many) - many
         here = c >= 0
         base = np.where(here, np.log10((np.maximum(c, 0) + 0.5) / floor), 0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,9 @@ BLANK_BYTES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)) + BLANK_BYTES, bytes(range(97, 123)) + b" " * 6)
 #: Texts handled at once inside a task; bounds what numpy holds beside one Arrow batch.
 CHUNK_CHARS = 1 << 21
+#: Bytes at which Spark ends an Arrow batch inside ``small_batches``; a row more still fits in ``CHUNK_CHARS``, unless its text is long.
+BATCH_BYTES = 3 << 19
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +69,24 @@ def cut_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of queries run inside end at ``BATCH_BYTES``, or with a text that is longer.
+
+    Else they hold as many rows as the session allows, whatever their texts: an executor keeps each
+    running task's batch as vectors and once more as the bytes it sends, and its Python worker keeps it too.
+    """
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, before)
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hashes of ``key``; the same in every run.
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rankflow.llm import attention, chat, forest, packing, pieces, quality, simhash, suffixes, token_prefix, toxicity
+from rankflow.llm import attention, chat, forest, packing, pieces, quality, simhash, suffixes, tables, token_prefix, toxicity
 from rankflow.llm.components import components
 from rankflow.llm.tables import hash_sample
 
@@ -192,6 +192,49 @@ def test_a_step_holds_the_arrays_of_one_part_only(monkeypatch):
     assert all(np.allclose(found[0][name], found[1][name], rtol=1e-3, atol=1e-6) for name in found[0])
 
 
+def test_a_tasks_steps_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(attention, "READ", 8)
+    dice = np.random.default_rng(5)
+    sizes = np.array([30, 1, 200, 0, 77, 12, 13])
+    ids = dice.integers(0, 50, sizes.sum())
+    found = []
+    for cuts in ([], [2], [1, 3, 4, 6]):
+        reader = attention.Reader(attention.Network.fresh(50, np.full(50, 0.02)))
+        for part in np.split(np.arange(len(sizes)), cuts):
+            begin = sizes[: part[0]].sum()
+            reader.learn(ids[begin : begin + sizes[part].sum()], sizes[part], 0)
+        found.append(reader.learned())
+        assert reader.adam.steps == -(-sum(-(-sizes // attention.STRIDE)) // 8)
+    assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2])
+
+
+def test_scoring_gets_small_batches(spark, monkeypatch):
+    before, limits = spark.conf.get(tables.ARROW_BYTES, None), []
+    own = attention.cut
+
+    def noted(df, name):
+        limits.append((name, int(spark.conf.get(tables.ARROW_BYTES).rstrip("b"))))
+        return own(df, name)
+
+    monkeypatch.setattr(attention, "cut", noted)
+    docs = spark.createDataFrame([(i, f"word{i} " * 20) for i in range(6)], DOCS)
+    assert attention.score(docs, BYTE, F.col("doc_id") == -1).count() == 6
+    assert {"read", "scored"} <= {name for name, _ in limits} and all(n <= tables.CHUNK_CHARS for _, n in limits)
+    assert spark.conf.get(tables.ARROW_BYTES, None) == before
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("many words "), 400).alias("text"))
+    with tables.small_batches(spark):
+        found = long.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in found) == 3000 and max(r.bytes for r in found) <= tables.CHUNK_CHARS and len(found) < 20
+    assert spark.conf.get(tables.ARROW_BYTES, None) == before
+
+
 def test_first_ids_of_whole_batches_are_the_longest_entries():
     own, dice = attention.subwords(BYTE), random.Random(8)
     words = [b"", b"a" * 300, "日本語です".encode(), b"\xff\xfe", b"th\x00", *list(own.entry)[::50]]
